@@ -189,5 +189,10 @@ def normalise_text(c: Column | str) -> Column:
 
 
 def percent_label(x: Column | str, decimals: int = 1) -> Column:
-    """0.1234 → ``'12.3%'`` (display projection only)."""
-    return F.format_string(f"%.{decimals}f%%", _c(x) * 100)
+    """0.1234 → ``'12.3%'`` (display projection only).
+
+    Rounds half-to-even on the exact binary value, as Python's ``format``
+    does (``format_number`` uses DecimalFormat; its grouping commas are
+    removed)."""
+    txt = F.regexp_replace(F.format_number(_c(x) * 100, decimals), ",", "")
+    return F.concat(txt, F.lit("%"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprobe.operators._util import broadcast_if_small
+from tabprobe.operators._util import broadcast_if_small, persist
 from tabprobe.operators.ranks import average_ranks
 from tabprobe.operators.stats import numeric_columns
 from tabprobe.sources.io import col
@@ -83,25 +83,22 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _corr_from_moments(summed)
 
 
-def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Spearman = Pearson of average ranks, ranked per pair over the rows where
-    both values are present (pandas' pairwise-complete rule).
+def _ranked_column(df: DataFrame, c: str) -> DataFrame:
+    """Replace column ``c`` by its average rank (rank table joined on the value;
+    broadcast only when its distinct-value count is small)."""
+    r = average_ranks(df.select(col(c).alias("_val")).withColumn("_k", F.lit(0)), ["_k"], "_val")
+    r = persist(r.select(F.col("_val").alias(f"_rv_{c}"), F.col("rank").alias(f"_rk_{c}")))
+    out = df.join(broadcast_if_small(r), col(c) == F.col(f"_rv_{c}"), "left")
+    return out.drop(c, f"_rv_{c}").withColumnRenamed(f"_rk_{c}", c)
 
-    Rows are expanded to one record per pair (k(k+1)/2 per row); the two
-    sides are ranked with the distributed rank and joined back on
-    (pair, value) — no row id and no single-partition window."""
-    cols = list(columns)
-    k = len(cols)
-    x = df.select(*[F.nanvl(col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}")
-                    for i in range(k) for c in [cols[i]]])
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+def _spearman_pairs_expanded(x: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
     recs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
                               F.col(f"c{i}").alias("x"), F.col(f"c{j}").alias("y")) for i, j in pairs])
     long = x.select(F.inline(recs)).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     rx = average_ranks(long, ["i", "j"], "x").select("i", "j", "x", F.col("rank").alias("rx"))
     ry = average_ranks(long, ["i", "j"], "y").select("i", "j", "y", F.col("rank").alias("ry"))
     ranked = long.join(rx, ["i", "j", "x"]).join(ry, ["i", "j", "y"])
-    # ranks have a known mean (n+1)/2 per pair; moments via SQL aggregates
     m = ranked.groupBy("i", "j").agg(
         F.count(F.lit(1)).cast("double").alias("n"),
         F.sum("rx").alias("sx"), F.sum("ry").alias("sy"),
@@ -110,6 +107,39 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _corr_from_moments(m)
 
 
+def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Spearman = Pearson of average ranks, ranked per pair over the rows where
+    both values are present (pandas' pairwise-complete rule).
+
+    Columns without NULLs share one ranking: each is ranked once with the
+    distributed rank and its rank replaces the value (k joins), then the
+    partial-moment Pearson runs on the ranks.  Pairs that involve a column
+    with NULLs are expanded to one record per (row, pair), both sides are
+    ranked within the pair and joined back on (pair, value) — no row id and
+    no single-partition window."""
+    cols = list(columns)
+    k = len(cols)
+    x = df.select(*[F.nanvl(col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}")
+                    for i, c in enumerate(cols)])
+    nulls = x.agg(*[F.count_if(F.col(f"c{i}").isNull()) for i in range(k)]).first()
+    full = [i for i in range(k) if nulls[i] == 0]
+    parts = []
+    if full:
+        ranked = x.select(*[f"c{i}" for i in full])
+        for i in full:
+            ranked = _ranked_column(ranked, f"c{i}")
+        sub = pearson_pairs(ranked, [f"c{i}" for i in full])
+        remap = F.create_map(*[v for a, i in enumerate(full) for v in (F.lit(a), F.lit(i))])
+        parts.append(sub.select(remap[F.col("i")].alias("i"), remap[F.col("j")].alias("j"), "n", "corr"))
+    rest = [(i, j) for i in range(k) for j in range(i, k) if not (i in full and j in full)]
+    if rest:
+        parts.append(_spearman_pairs_expanded(x, rest))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def correlation_long(df: DataFrame, columns: Sequence[str] | None = None,
                      method: str = "pearson") -> DataFrame | None:
     """Full k×k matrix as ``var1, var2, corr`` rows (both orders and the

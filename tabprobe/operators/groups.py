@@ -100,7 +100,8 @@ def median_by(df: DataFrame, keys: Sequence[str], value: str, **qkw) -> DataFram
     from tabprobe.operators.quantiles import exact_quantiles
     keys = list(keys)
     src = _nonnull_keys(df, keys).select(*[col(k) for k in keys], col(value).alias("_val"))
-    qkw.setdefault("approx_start", False)
+    # low-accuracy sketches keep per-group state small when groups are many
+    qkw.setdefault("accuracy", 1000)
     q = exact_quantiles(src, keys, "_val", [0.5], **qkw)
     return q.select(*keys, F.col("q").alias("median"))
 

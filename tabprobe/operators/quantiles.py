@@ -2,22 +2,25 @@
 
 Spark's exact ``percentile`` keeps a value→count map per group, which does not
 fit once a column (or a hot group) has billions of distinct values.  This
-module finds the exact order statistics in a few distributed passes:
-
-1. per target (group keys, probability ``p``): ``n``, min, max and an
-   approximate bracket from ``percentile_approx`` around rank ``(n-1)p``;
-2. one counting pass validates the bracket (rows below / inside); an invalid
-   bracket falls back to ``[min, max]``;
-3. while a bracket still holds more than ``max_bracket`` rows, a histogram
-   pass splits it into ``bins`` equal-width buckets and keeps the bucket(s)
-   holding ranks ``floor(h)`` and ``ceil(h)`` — counts only, shuffled as
-   ``(target, bucket)`` partial aggregates;
-4. the final pass keeps the bracket rows, collapses ties with
-   ``groupBy(target, value).count()`` and walks a window over at most
-   ``max_bracket`` distinct values per target.
-
-Every intermediate target table is checkpointed to the shared checkpoint
-folder, so iteration does not grow the lineage.
+module finds the exact order statistics with a few distributed passes over
+the values and small per-target tables (target = group keys × probability):
+
+1. one aggregate per group: ``n``, min, max and — when asked — a
+   ``percentile_approx`` bracket around each target rank ``(n-1)p``;
+2. each target gets a bracket ``[lo, hi]`` that must hold few rows:
+   ``[min, max]`` when the group is small, the sketch bracket when the
+   sketch's rank error guarantees a small bracket, otherwise histogram
+   refinement: a pass splits the bracket into ``bins`` equal-width buckets
+   (``(target, bucket)`` counts, combined map side) and keeps the bucket(s)
+   holding ranks ``floor(h)`` and ``ceil(h)``, until at most
+   ``max_bracket`` rows remain;
+3. the final pass maps each value to (below | inside | above) its bracket,
+   counts ``(target, side, value)`` (ties collapse map side) and walks a
+   window over at most ``max_bracket + 2`` rows per target.  If a sketch
+   bracket turns out not to contain the rank, that target is refined and
+   selected again.
+
+Target tables are checkpointed into the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -32,69 +35,10 @@ from tabprobe.operators._util import persist as _persist
 from tabprobe.sources.io import col
 
 
-
-def _maybe_broadcast(t: DataFrame, n_rows: int) -> DataFrame:
-    return broadcast_if_small(t, n_rows=n_rows)
-
-
-def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str,
-                    probs: Sequence[float], accuracy: int = 10_000,
-                    max_bracket: int = 100_000, bins: int = 1024,
-                    max_rounds: int = 12, approx_start: bool = True) -> DataFrame:
-    """Quantiles of ``value`` per ``keys`` group.
-
-    Returns ``keys…, p, n, q`` (``n`` non-null values; ``q`` NULL when n = 0),
-    with pandas/DuckDB linear interpolation: ``h=(n-1)p``,
-    ``q = x[floor h] + (h - floor h)(x[ceil h] - x[floor h])``.
-    """
-    keys = list(keys)
-    kcols = [col(k) for k in keys]
-    base = (long_df.select(*kcols, col(value).cast("double").alias("_v"))
-            .filter(F.col("_v").isNotNull() & ~F.isnan("_v")))
-    probs = [float(p) for p in probs]
-    margin = 3.0 / accuracy
-
-    stats = base.groupBy(*keys).agg(F.count("_v").alias("_n"), F.min("_v").alias("_min"),
-                                     F.max("_v").alias("_max"))
-    plist = F.array(*[F.lit(p) for p in probs])
-    t = stats.select("*", F.explode(plist).alias("p"))
-    h = (F.col("_n") - 1) * F.col("p")
-    t = _persist(t.withColumn("_klo", F.floor(h).cast("long"))
-                  .withColumn("_khi", F.ceil(h).cast("long"))
-                  .withColumn("_frac", h - F.floor(h))
-                  .withColumn("_lo", F.col("_min")).withColumn("_hi", F.col("_max"))
-                  .withColumn("_below", F.lit(0).cast("long")).withColumn("_inside", F.col("_n")))
-    n_targets, n_big = t.agg(F.count(F.lit(1)), F.count_if(F.col("_n") > max_bracket)).first()
-    on = keys
-    tcols = t.columns
-
-    if approx_start and n_big:
-        # Sketch bracket around each target rank, only for groups too big to sort.
-        br = []
-        for p in probs:
-            br += [max(0.0, p - margin), min(1.0, p + margin)]
-        gbig = t.filter(F.col("_n") > max_bracket).select(*keys).distinct()
-        sk = (base.join(_maybe_broadcast(gbig, n_big), on).groupBy(*keys)
-              .agg(F.percentile_approx("_v", br, accuracy).alias("_br")))
-        sk = sk.select(*keys, F.posexplode(F.array(*[
-            F.struct(F.element_at("_br", 2 * i + 1).alias("_alo"), F.element_at("_br", 2 * i + 2).alias("_ahi"))
-            for i in range(len(probs))])).alias("_i", "_s"))
-        sk = sk.select(*keys, F.element_at(plist, F.col("_i") + 1).alias("p"), "_s._alo", "_s._ahi")
-        cnt = (base.join(_maybe_broadcast(sk, n_big * len(probs)), on)
-               .groupBy(*keys, "p", "_alo", "_ahi")
-               .agg(F.count_if(F.col("_v") < F.col("_alo")).alias("_abelow"),
-                    F.count_if(F.col("_v").between(F.col("_alo"), F.col("_ahi"))).alias("_ainside")))
-        t2 = t.join(cnt, keys + ["p"], "left")
-        ok = (F.col("_abelow").isNotNull() & (F.col("_abelow") <= F.col("_klo"))
-              & (F.col("_abelow") + F.col("_ainside") > F.col("_khi")))
-        t = _persist(t2.select(
-            *[c for c in tcols if c not in ("_lo", "_hi", "_below", "_inside")],
-            F.when(ok, F.col("_alo")).otherwise(F.col("_lo")).alias("_lo"),
-            F.when(ok, F.col("_ahi")).otherwise(F.col("_hi")).alias("_hi"),
-            F.when(ok, F.col("_abelow")).otherwise(F.col("_below")).alias("_below"),
-            F.when(ok, F.col("_ainside")).otherwise(F.col("_inside")).alias("_inside"),
-        ))
-
+def _refine(base: DataFrame, t: DataFrame, keys: list[str], max_bracket: int, bins: int,
+            max_rounds: int) -> DataFrame:
+    """Shrink ``[_lo, _hi]`` (with exact ``_below``/``_inside``) of targets in
+    ``t`` until each holds at most ``max_bracket`` rows."""
     for _ in range(max_rounds):
         big = t.filter((F.col("_inside") > max_bracket) & (F.col("_lo") < F.col("_hi")))
         n_big = big.count()
@@ -103,7 +47,7 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str,
         bsel = big.select(*keys, "p", "_lo", "_hi", "_below", "_klo", "_khi")
         width = F.col("_hi") - F.col("_lo")
         b = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * bins), F.lit(bins - 1)).cast("int")
-        hist = (base.join(_maybe_broadcast(bsel, n_big), on)
+        hist = (base.join(broadcast_if_small(bsel.select(*keys, "p", "_lo", "_hi"), n_rows=n_big), keys)
                 .filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
                 .groupBy(*keys, "p", b.alias("_b"))
                 .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax")))
@@ -111,6 +55,8 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str,
         w = Window.partitionBy(*keys, "p").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         hist = hist.withColumn("_end", F.col("_below") + F.sum("_c").over(w))
         hist = hist.withColumn("_start", F.col("_end") - F.col("_c"))
+        # bucket index is monotone in the value, so [min of first kept bucket,
+        # max of last kept bucket] holds exactly those buckets' rows
         sel = (hist.groupBy(*keys, "p").agg(
             F.min(F.when(F.col("_end") > F.col("_klo"), F.col("_bmin"))).alias("_nlo"),
             F.min(F.when(F.col("_end") > F.col("_klo"), F.col("_start"))).alias("_nbelow"),
@@ -125,18 +71,97 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str,
             F.when(refined, F.col("_nbelow")).otherwise(F.col("_below")).alias("_below"),
             F.when(refined, F.col("_nend") - F.col("_nbelow")).otherwise(F.col("_inside")).alias("_inside"),
         ))
+    return t
+
+
+def _select(base: DataFrame, t: DataFrame, keys: list[str], n_targets: int) -> DataFrame:
+    """Final pass: exact order statistics inside each target's bracket.
+
+    Returns ``keys, p, _xlo, _xhi, _ok`` (``_ok`` false when a rank fell
+    outside the bracket)."""
+    tsel = t.select(*keys, "p", "_lo", "_hi")
+    j = base.join(broadcast_if_small(tsel, n_rows=n_targets), keys)
+    side = F.when(F.col("_v") < F.col("_lo"), F.lit(-1)).when(F.col("_v") > F.col("_hi"), F.lit(1)).otherwise(F.lit(0))
+    vals = (j.groupBy(*keys, "p", side.alias("_side"), F.when(side == 0, F.col("_v")).alias("_x"))
+            .agg(F.count(F.lit(1)).alias("_c")))
+    vals = vals.join(t.select(*keys, "p", "_klo", "_khi"), keys + ["p"])
+    w = (Window.partitionBy(*keys, "p").orderBy("_side", "_x")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    vals = vals.withColumn("_end", F.sum("_c").over(w))
+    first_lo = F.min(F.when(F.col("_end") > F.col("_klo"), F.struct("_end", "_side", "_x")))
+    first_hi = F.min(F.when(F.col("_end") > F.col("_khi"), F.struct("_end", "_side", "_x")))
+    picked = vals.groupBy(*keys, "p").agg(first_lo.alias("_a"), first_hi.alias("_b"))
+    return picked.select(*keys, "p", F.col("_a._x").alias("_xlo"), F.col("_b._x").alias("_xhi"),
+                         ((F.col("_a._side") == 0) & (F.col("_b._side") == 0)).alias("_ok"))
+
 
-    tsel = t.select(*keys, "p", "_lo", "_hi", "_below", "_klo", "_khi")
-    vals = (base.join(_maybe_broadcast(tsel, n_targets), on)
-            .filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-            .groupBy(*keys, "p", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    vals = vals.join(tsel.select(*keys, "p", "_below", "_klo", "_khi"), keys + ["p"])
-    w = Window.partitionBy(*keys, "p").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    vals = vals.withColumn("_end", F.col("_below") + F.sum("_c").over(w))
-    picked = vals.groupBy(*keys, "p").agg(
-        F.min(F.when(F.col("_end") > F.col("_klo"), F.col("_v"))).alias("_xlo"),
-        F.min(F.when(F.col("_end") > F.col("_khi"), F.col("_v"))).alias("_xhi"))
-    out = t.select(*keys, "p", "_n", "_frac").join(picked, keys + ["p"], "left")
+def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str,
+                    probs: Sequence[float], accuracy: int = 10_000,
+                    max_bracket: int = 10_000, bins: int = 1024,
+                    max_rounds: int = 12, approx_start: bool = True) -> DataFrame:
+    """Quantiles of ``value`` per ``keys`` group.
+
+    Returns ``keys…, p, n, q`` (``n`` non-null values; ``q`` NULL when n = 0),
+    with pandas/DuckDB linear interpolation: ``h=(n-1)p``,
+    ``q = x[floor h] + (h - floor h)(x[ceil h] - x[floor h])``.
+    ``approx_start`` seeds brackets from ``percentile_approx`` (use it when
+    groups are few; for many small groups plain refinement is cheaper).
+    """
+    keys = list(keys)
+    v = col(value).cast("double")
+    allv = long_df.select(*[col(k) for k in keys], F.nanvl(v, F.lit(None).cast("double")).alias("_v"))
+    base = allv.filter(F.col("_v").isNotNull())
+    probs = [float(p) for p in probs]
+    margin = 3.0 / accuracy
+    plist = F.array(*[F.lit(p) for p in probs])
+
+    aggs = [F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")]
+    if approx_start:
+        br = []
+        for p in probs:
+            br += [max(0.0, p - margin), min(1.0, p + margin)]
+        aggs.append(F.percentile_approx("_v", br, accuracy).alias("_br"))
+    # groups with only NULL values still get rows (n = 0, q NULL)
+    stats = _persist(allv.groupBy(*keys).agg(*aggs))
+    t = stats.select("*", F.posexplode(plist).alias("_i", "p"))
+    h = (F.col("_n") - 1) * F.col("p")
+    small = F.col("_n") <= max_bracket
+    # the sketch's rank error is at most n/accuracy on each side of the bracket
+    sketch_ok = F.lit(approx_start) & (F.col("_n") * (2 * margin + 2.0 / accuracy) <= max_bracket)
+    if approx_start:
+        slo = F.element_at("_br", F.col("_i") * 2 + 1)
+        shi = F.element_at("_br", F.col("_i") * 2 + 2)
+    else:
+        slo = shi = F.lit(None).cast("double")
+    t = t.select(*keys, "p", "_n", "_min", "_max",
+                 F.floor(h).cast("long").alias("_klo"), F.ceil(h).cast("long").alias("_khi"),
+                 (h - F.floor(h)).alias("_frac"),
+                 F.when(small, F.lit("exact")).when(sketch_ok, F.lit("sketch")).otherwise(F.lit("refine")).alias("_mode"),
+                 F.when(small | ~sketch_ok, F.col("_min")).otherwise(slo).alias("_lo"),
+                 F.when(small | ~sketch_ok, F.col("_max")).otherwise(shi).alias("_hi"),
+                 F.lit(0).cast("long").alias("_below"),
+                 # only "refine" targets carry an exact in-bracket count to shrink
+                 F.when(small | ~sketch_ok, F.col("_n")).otherwise(F.lit(0)).cast("long").alias("_inside"))
+    t = _persist(t.filter(F.col("_n") > 0))
+    n_targets, n_refine = t.agg(F.count(F.lit(1)), F.count_if(F.col("_mode") == "refine")).first()
+    if n_refine:
+        t = _refine(base, t, keys, max_bracket, bins, max_rounds)
+
+    res = _persist(_select(base, t, keys, n_targets))
+    n_bad = res.filter(~F.col("_ok")).count()
+    if n_bad:
+        # a sketch bracket missed its rank: refine those targets from [min, max]
+        bad = t.join(res.filter(~F.col("_ok")).select(*keys, "p"), keys + ["p"], "left_semi")
+        bad = _persist(bad.withColumn("_lo", F.col("_min")).withColumn("_hi", F.col("_max"))
+                       .withColumn("_below", F.lit(0).cast("long")).withColumn("_inside", F.col("_n")))
+        bad = _refine(base, bad, keys, max_bracket, bins, max_rounds)
+        redo = _select(base, bad, keys, n_bad)
+        res = res.filter(F.col("_ok")).unionByName(redo)
+
+    # groups whose values are all NULL keep a row with n = 0 and q NULL
+    allp = stats.select(*keys, "_n", F.explode(plist).alias("p"))
+    frac = t.select(*keys, "p", "_frac")
+    out = allp.join(frac, keys + ["p"], "left").join(res, keys + ["p"], "left")
     qv = F.when(F.col("_frac") == 0, F.col("_xlo")).otherwise(
         F.col("_xlo") + F.col("_frac") * (F.col("_xhi") - F.col("_xlo")))
     return _persist(out.select(*keys, "p", F.col("_n").alias("n"), qv.alias("q")))
