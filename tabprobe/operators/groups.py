@@ -56,6 +56,18 @@ def rate_by_levels(df: DataFrame, key: str, levels: Sequence[str], target: str,
                       F.col(count_name).cast("long").alias(count_name))
 
 
+def count_by_levels(df: DataFrame, key: str, levels: Sequence[str], value: str | None = None,
+                    count_name: str = "count") -> DataFrame:
+    """Non-null count of ``value`` (rows when None) per category level, empty
+    levels included with count 0."""
+    c = F.count(col(value)) if value else F.count(F.lit(1))
+    agg = group_agg(df, [key], c.alias(count_name))
+    grid = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in levels])).alias(key))
+    pos = F.array_position(F.array(*[F.lit(x) for x in levels]), col(key))
+    out = grid.join(agg, [key], "left").fillna(0, [count_name])
+    return out.select(key, (pos - 1).cast("int").alias(f"{key}_ord"), F.col(count_name).cast("long").alias(count_name))
+
+
 def share_of_total(agg_df: DataFrame, value: str, name: str = "share", scale: float = 1.0) -> DataFrame:
     """value / Σ value over the whole (aggregated) table, via a scalar subquery."""
     total = agg_df.select(F.sum(col(value))).scalar()
