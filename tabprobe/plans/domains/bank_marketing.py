@@ -9,6 +9,7 @@ from tabprobe.functions import columns as cx
 from tabprobe.functions import filters as fl
 from tabprobe.operators import groups as gp
 from tabprobe.operators import stats as st
+from tabprobe.plans.domains.common import LazyTables
 from tabprobe.sources.io import col
 
 # Age groups, month numbers and the display month order.
@@ -45,15 +46,15 @@ def kpis(df: DataFrame) -> DataFrame:
 
 
 def results(df: DataFrame) -> dict[str, DataFrame]:
-    return {
-        "kpis": kpis(df),
-        "by_job": gp.rate_by_key(df, ["job"], "y_binary"),
-        "age_hist_by_y": st.histogram(df, ["age"], bins=40, by=["y"]),
-        "by_age_group": gp.rate_by_levels(df, "age_group", AGE_LABELS, "y_binary"),
-        "by_month": gp.sort_by_levels(gp.rate_by_key(df, ["month"], "y_binary", count_name="contacts"),
+    return LazyTables({
+        "kpis": lambda: kpis(df),
+        "by_job": lambda: gp.rate_by_key(df, ["job"], "y_binary"),
+        "age_hist_by_y": lambda: st.histogram(df, ["age"], bins=40, by=["y"]),
+        "by_age_group": lambda: gp.rate_by_levels(df, "age_group", AGE_LABELS, "y_binary"),
+        "by_month": lambda: gp.sort_by_levels(gp.rate_by_key(df, ["month"], "y_binary", count_name="contacts"),
                                       "month", MONTH_ORDER),
-        "econ_scatter": st.scatter_bins(df, "euribor3m", "cons.price.idx"),
-    }
+        "econ_scatter": lambda: st.scatter_bins(df, "euribor3m", "cons.price.idx"),
+    })
 
 
 def run(df: DataFrame, **filters) -> dict[str, DataFrame]:

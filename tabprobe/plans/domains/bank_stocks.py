@@ -10,6 +10,7 @@ from tabprobe.operators import correlation as cr
 from tabprobe.operators import groups as gp
 from tabprobe.operators import series as se
 from tabprobe.operators import stats as st
+from tabprobe.plans.domains.common import LazyTables
 
 NUM_COLS = ["Open", "High", "Low", "Close", "Volume", "Daily_Return"]
 
@@ -34,15 +35,15 @@ def results(df: DataFrame, tickers: list[str], days: int = 365) -> dict[str, Dat
     kpis = df.agg(F.min("Date").alias("first_date"), F.max("Date").alias("last_date"),
                   F.count_distinct("Ticker").alias("tickers"), F.count(F.lit(1)).alias("rows"))
     pivot = se.pivot_returns(df, "Ticker", "Date", "Close", tickers)
-    return {
-        "kpis": kpis.withColumn("mean_daily_return", mean_ret.select("mean_avg_per_group").scalar()),
-        "trading_days": gp.span_by_key(df, "Ticker", "Date"),
-        "return_hist_by_ticker": st.histogram(df, ["Daily_Return"], bins=80, by=["Ticker"]),
-        "series": df.select("Ticker", "Date", "Close", "Normalized", "Volatility_20d", "Volume"),
-        "period_return": se.period_return(df, "Ticker", "Date", "Close", days=days),
-        "return_correlation": cr.correlation_long(pivot, tickers) if len(tickers) > 1 else None,
-        "mean_volume": gp.group_agg(df, ["Ticker"], F.avg("Volume").alias("avg_volume")),
-    }
+    return LazyTables({
+        "kpis": lambda: kpis.withColumn("mean_daily_return", mean_ret.select("mean_avg_per_group").scalar()),
+        "trading_days": lambda: gp.span_by_key(df, "Ticker", "Date"),
+        "return_hist_by_ticker": lambda: st.histogram(df, ["Daily_Return"], bins=80, by=["Ticker"]),
+        "series": lambda: df.select("Ticker", "Date", "Close", "Normalized", "Volatility_20d", "Volume"),
+        "period_return": lambda: se.period_return(df, "Ticker", "Date", "Close", days=days),
+        "return_correlation": lambda: cr.correlation_long(pivot, tickers) if len(tickers) > 1 else None,
+        "mean_volume": lambda: gp.group_agg(df, ["Ticker"], F.avg("Volume").alias("avg_volume")),
+    })
 
 
 def run(df: DataFrame, tickers=None) -> dict[str, DataFrame]:

@@ -10,6 +10,7 @@ from tabprobe.functions import filters as fl
 from tabprobe.operators import correlation as cr
 from tabprobe.operators import groups as gp
 from tabprobe.operators import stats as st
+from tabprobe.plans.domains.common import LazyTables
 from tabprobe.sources.io import sample_n
 
 # Class labels.
@@ -36,17 +37,17 @@ def kpis(df: DataFrame) -> DataFrame:
 def results(df: DataFrame, components: int = 10) -> dict[str, DataFrame]:
     comps = [f"V{i}" for i in range(1, components + 1)]
     hourly = df.withColumn("hour", cx.hour_of_day("Time", whole=True))
-    return {
-        "kpis": kpis(df),
-        "amount_hist_by_class": st.histogram(df, ["Amount"], bins=50, by=["Class_Label"]),
-        "fraud_amount_zoom": st.histogram(df.filter((F.col("Class") == 1) & (F.col("Amount") <= 500)),
+    return LazyTables({
+        "kpis": lambda: kpis(df),
+        "amount_hist_by_class": lambda: st.histogram(df, ["Amount"], bins=50, by=["Class_Label"]),
+        "fraud_amount_zoom": lambda: st.histogram(df.filter((F.col("Class") == 1) & (F.col("Amount") <= 500)),
                                           ["Amount"], bins=30),
-        "amount_by_class": gp.describe_by_class(df, "Amount", "Class_Label"),
-        "fraud_rate_by_hour": gp.group_agg(hourly, ["hour"], F.avg("Class").alias("fraud_rate"),
+        "amount_by_class": lambda: gp.describe_by_class(df, "Amount", "Class_Label"),
+        "fraud_rate_by_hour": lambda: gp.group_agg(hourly, ["hour"], F.avg("Class").alias("fraud_rate"),
                                            F.count("Class").alias("transactions")),
-        "component_sample": sample_n(df.select(*comps, "Class_Label", "Time", "Amount"), 5000, ["Time", "Amount"]),
-        "component_corr": cr.correlation_long(df, comps + ["Amount", "Class"]),
-    }
+        "component_sample": lambda: sample_n(df.select(*comps, "Class_Label", "Time", "Amount"), 5000, ["Time", "Amount"]),
+        "component_corr": lambda: cr.correlation_long(df, comps + ["Amount", "Class"]),
+    })
 
 
 def run(df: DataFrame, **filters) -> dict[str, DataFrame]:

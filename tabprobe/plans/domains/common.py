@@ -29,3 +29,21 @@ def profile_tables(df: DataFrame, stat_cols: Sequence[str], outlier_cols: Sequen
     if corr_cols:
         out["correlation"] = cr.correlation_long(df, corr_cols)
     return out
+
+
+class LazyTables(dict):
+    """Result tables built on first access (values given as callables), so a
+    caller that needs one table does not run the jobs behind the others."""
+
+    def __getitem__(self, key):
+        v = super().__getitem__(key)
+        if callable(v):
+            v = v()
+            super().__setitem__(key, v)
+        return v
+
+    def items(self):
+        return [(k, self[k]) for k in self.keys()]
+
+    def values(self):
+        return [self[k] for k in self.keys()]

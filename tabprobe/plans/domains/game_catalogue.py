@@ -11,6 +11,7 @@ from tabprobe.operators import groups as gp
 from tabprobe.operators import reshape as rs
 from tabprobe.operators import stats as st
 from tabprobe.operators._util import broadcast_if_small
+from tabprobe.plans.domains.common import LazyTables
 
 # Price tiers (right-closed bins).
 TIER_EDGES = [-1, 0, 5, 15, 30, 60, 200]
@@ -41,23 +42,25 @@ def results(df: DataFrame) -> dict[str, DataFrame]:
     tiers = gp.count_by_levels(df, "price_tier", TIER_LABELS, "name")
     genres = rs.explode_tokens(df, "genre", keep=["name", "original_price"], name="genre_item")
     tags = rs.explode_tokens(df.filter(F.col("popular_tags").isNotNull()), "popular_tags", pattern=",", name="tag")
-    median_price = gp.quantile_scalar(df, "original_price", 0.5).select("q").scalar()
-    return {
-        "kpis": df.agg(F.count(F.lit(1)).alias("games"), F.avg("original_price").alias("mean_price"),
+
+    def median_price():
+        return gp.quantile_scalar(df, "original_price", 0.5).select("q").scalar()
+    return LazyTables({
+        "kpis": lambda: df.agg(F.count(F.lit(1)).alias("games"), F.avg("original_price").alias("mean_price"),
                        F.count_if(F.col("is_free") == 1).alias("free_games"),
-                       F.avg("achievements_count").alias("mean_achievements")).withColumn("median_price", median_price),
-        "price_hist": st.histogram(df, ["original_price"], bins=50),
-        "price_box": st.box_summary(df, ["original_price"]),
-        "price_tiers": gp.share_of_total(tiers, "count", "share"),
-        "genres_top20": gp.top_k(gp.group_agg(genres, ["genre_item"], F.count_distinct("name").alias("count"),
+                       F.avg("achievements_count").alias("mean_achievements")).withColumn("median_price", median_price()),
+        "price_hist": lambda: st.histogram(df, ["original_price"], bins=50),
+        "price_box": lambda: st.box_summary(df, ["original_price"]),
+        "price_tiers": lambda: gp.share_of_total(tiers, "count", "share"),
+        "genres_top20": lambda: gp.top_k(gp.group_agg(genres, ["genre_item"], F.count_distinct("name").alias("count"),
                                               F.avg("original_price").alias("avg_price")), "count", 20, ["genre_item"]),
-        "developers_top15": gp.top_k(gp.group_agg(df, ["developer"], F.count_distinct("name").alias("games"),
+        "developers_top15": lambda: gp.top_k(gp.group_agg(df, ["developer"], F.count_distinct("name").alias("games"),
                                                   F.avg("original_price").alias("avg_price")), "games", 15, ["developer"]),
-        "by_release_year": gp.group_agg(df, ["release_year"], F.count_distinct("name").alias("games"),
+        "by_release_year": lambda: gp.group_agg(df, ["release_year"], F.count_distinct("name").alias("games"),
                                         F.avg("original_price").alias("avg_price")),
-        "tags_top20": gp.top_k(gp.group_agg(tags, ["tag"], F.count(F.lit(1)).alias("count")), "count", 20, ["tag"]),
-        "all_genres": gp.distinct_tokens(df, "genre"),
-    }
+        "tags_top20": lambda: gp.top_k(gp.group_agg(tags, ["tag"], F.count(F.lit(1)).alias("count")), "count", 20, ["tag"]),
+        "all_genres": lambda: gp.distinct_tokens(df, "genre"),
+    })
 
 
 def run(df: DataFrame, **filters) -> dict[str, DataFrame]:

@@ -9,6 +9,7 @@ from tabprobe.functions import columns as cx
 from tabprobe.functions import filters as fl
 from tabprobe.operators import groups as gp
 from tabprobe.operators import stats as st
+from tabprobe.plans.domains.common import LazyTables
 
 # Employment-length codes, grade order, interest-rate brackets.
 EMP_YEARS = {"<1": 0, "1": 1, "2": 2, "3": 3, "4": 4, "5": 5, "6": 6, "7": 7, "8": 8, "9": 9, "10+": 10}
@@ -39,18 +40,18 @@ def results(df: DataFrame) -> dict[str, DataFrame]:
     dti = df.withColumn("dti_bin", cx.cut("dti", DTI_EDGES))
     by_purpose = gp.group_agg(df, ["purpose"], F.avg("int_rate").alias("avg_rate"),
                               F.avg("default").alias("default_rate")).orderBy("avg_rate", "purpose")
-    return {
-        "kpis": df.agg(F.count(F.lit(1)).alias("loans"), F.avg("default").alias("default_rate"),
+    return LazyTables({
+        "kpis": lambda: df.agg(F.count(F.lit(1)).alias("loans"), F.avg("default").alias("default_rate"),
                        F.avg("loan_amnt").alias("mean_loan"), F.avg("int_rate").alias("mean_rate"),
                        F.avg("dti").alias("mean_dti")),
-        "by_grade": gp.rate_by_key(df, ["grade"], "default", rate_name="default_rate"),
-        "by_term": gp.group_agg(df, ["term"], F.avg("default").alias("rate")),
-        "income_loan_bins": st.scatter_bins(df, "annual_inc", "loan_amnt"),
-        "lti_box_by_default": st.box_summary(df, ["loan_to_income"], by=["default"]),
-        "by_purpose": by_purpose,
-        "dti_hist_by_default": st.histogram(df, ["dti"], bins=40, by=["default"]),
-        "by_dti_bin": gp.rate_by_levels(dti, "dti_bin", cx.interval_labels(DTI_EDGES), "default"),
-    }
+        "by_grade": lambda: gp.rate_by_key(df, ["grade"], "default", rate_name="default_rate"),
+        "by_term": lambda: gp.group_agg(df, ["term"], F.avg("default").alias("rate")),
+        "income_loan_bins": lambda: st.scatter_bins(df, "annual_inc", "loan_amnt"),
+        "lti_box_by_default": lambda: st.box_summary(df, ["loan_to_income"], by=["default"]),
+        "by_purpose": lambda: by_purpose,
+        "dti_hist_by_default": lambda: st.histogram(df, ["dti"], bins=40, by=["default"]),
+        "by_dti_bin": lambda: gp.rate_by_levels(dti, "dti_bin", cx.interval_labels(DTI_EDGES), "default"),
+    })
 
 
 def run(df: DataFrame, **filters) -> dict[str, DataFrame]:

@@ -9,6 +9,7 @@ from tabprobe.functions import columns as cx
 from tabprobe.functions import filters as fl
 from tabprobe.operators import groups as gp
 from tabprobe.operators import stats as st
+from tabprobe.plans.domains.common import LazyTables
 
 # Month names for the month-of-year table.
 MONTH_NAMES = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
@@ -53,26 +54,28 @@ def results(df: DataFrame, cancellations: DataFrame, sales_rows: DataFrame) -> d
     n_sales = sales_rows.select(F.count(F.lit(1))).scalar()
     cust = gp.group_agg(df, ["CustomerID"], F.sum("Revenue").alias("total_spend"),
                         F.count_distinct("InvoiceNo").alias("orders"), F.avg("Revenue").alias("avg_order"))
-    p95 = gp.quantile_scalar(cust, "total_spend", 0.95).select("q").first()[0]
+
+    def p95():
+        return gp.quantile_scalar(cust, "total_spend", 0.95).select("q").first()[0]
     moy = gp.group_agg(df, ["Month_of_Year"], F.sum("Revenue").alias("revenue"))
-    return {
-        "kpis": kpis.withColumn("mean_order_value", per_inv.select(F.avg("rev")).scalar()),
-        "missing_customer": fl.missing_key_audit(sales_rows, "CustomerID"),
-        "cancellation_rate": df.sparkSession.range(1).select(
+    return LazyTables({
+        "kpis": lambda: kpis.withColumn("mean_order_value", per_inv.select(F.avg("rev")).scalar()),
+        "missing_customer": lambda: fl.missing_key_audit(sales_rows, "CustomerID"),
+        "cancellation_rate": lambda: df.sparkSession.range(1).select(
             F.try_divide(n_canc, n_canc + n_sales).alias("cancellation_rate")),
-        "cancellations_by_country": gp.top_k(gp.group_agg(cancellations, ["Country"],
+        "cancellations_by_country": lambda: gp.top_k(gp.group_agg(cancellations, ["Country"],
                                                           F.count(F.lit(1)).alias("cancellations")),
                                              "cancellations", 10, ["Country"]),
-        "revenue_by_country": revenue_by(df, "Country", 15),
-        "top_products": gp.top_k(gp.group_agg(df, ["Description"], F.sum("Revenue").alias("revenue"),
+        "revenue_by_country": lambda: revenue_by(df, "Country", 15),
+        "top_products": lambda: gp.top_k(gp.group_agg(df, ["Description"], F.sum("Revenue").alias("revenue"),
                                               F.sum("Quantity").alias("qty")), "revenue", 20, ["Description"]),
-        "monthly": revenue_by(df, "Month"),
-        "month_of_year": moy.withColumn("Month_Name", F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]),
+        "monthly": lambda: revenue_by(df, "Month"),
+        "month_of_year": lambda: moy.withColumn("Month_Name", F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]),
                                                                    F.col("Month_of_Year"))),
-        "customers": cust,
-        "spend_hist_p95": st.histogram(cust, ["total_spend"], bins=50, lo=None, hi=p95),
-        "top_customers": gp.top_k(cust, "total_spend", 10, ["CustomerID"]),
-    }
+        "customers": lambda: cust,
+        "spend_hist_p95": lambda: st.histogram(cust, ["total_spend"], bins=50, lo=None, hi=p95()),
+        "top_customers": lambda: gp.top_k(cust, "total_spend", 10, ["CustomerID"]),
+    })
 
 
 def run(df: DataFrame, **filters) -> dict[str, DataFrame]:

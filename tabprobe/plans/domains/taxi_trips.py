@@ -9,6 +9,7 @@ from tabprobe.functions import columns as cx
 from tabprobe.functions import filters as fl
 from tabprobe.operators import groups as gp
 from tabprobe.operators import stats as st
+from tabprobe.plans.domains.common import LazyTables
 
 # Payment codes and trip-distance bins.
 PAYMENT_LABELS = {1: "Credit Card", 2: "Cash", 3: "No Charge", 4: "Dispute", 5: "Unknown"}
@@ -48,21 +49,21 @@ def results(df: DataFrame) -> dict[str, DataFrame]:
     pax = gp.group_agg(df, ["passenger_count"], F.count("fare_amount").alias("trips"),
                        F.avg("fare_amount").alias("avg_fare"))
     wk = gp.group_agg(df, ["weekend"], F.count("fare_amount").alias("trips"))
-    return {
-        "kpis": df.agg(F.count(F.lit(1)).alias("trips"), F.avg("fare_amount").alias("mean_fare"),
+    return LazyTables({
+        "kpis": lambda: df.agg(F.count(F.lit(1)).alias("trips"), F.avg("fare_amount").alias("mean_fare"),
                        F.avg("tip_amount").alias("mean_tip"), F.avg("trip_distance").alias("mean_distance"),
                        F.avg("tipped").alias("tip_rate")),
-        "by_hour": gp.group_agg(df, ["hour"], F.count("fare_amount").alias("trips"),
+        "by_hour": lambda: gp.group_agg(df, ["hour"], F.count("fare_amount").alias("trips"),
                                 F.avg("fare_amount").alias("avg_fare")),
-        "distance_fare_bins": st.scatter_bins(df, "trip_distance", "fare_amount"),
-        "fare_per_mile_by_distance": gp.rate_by_levels(dist, "dist_bin", DIST_LABELS, "fare_per_mile",
+        "distance_fare_bins": lambda: st.scatter_bins(df, "trip_distance", "fare_amount"),
+        "fare_per_mile_by_distance": lambda: gp.rate_by_levels(dist, "dist_bin", DIST_LABELS, "fare_per_mile",
                                                        rate_name="fare_per_mile"),
-        "tip_pct_hist": st.histogram(df, ["tip_pct"], bins=50),
-        "by_payment": gp.group_agg(df, ["payment_label"], F.avg("tipped").alias("tip_rate"),
+        "tip_pct_hist": lambda: st.histogram(df, ["tip_pct"], bins=50),
+        "by_payment": lambda: gp.group_agg(df, ["payment_label"], F.avg("tipped").alias("tip_rate"),
                                    F.avg("tip_amount").alias("avg_tip"), F.count("tipped").alias("count")),
-        "by_passengers": gp.share_of_total(pax, "trips", "share"),
-        "weekday_weekend": wk.withColumn("weekend", cx.recode("weekend", WEEKEND_LABELS)),
-    }
+        "by_passengers": lambda: gp.share_of_total(pax, "trips", "share"),
+        "weekday_weekend": lambda: wk.withColumn("weekend", cx.recode("weekend", WEEKEND_LABELS)),
+    })
 
 
 def run(df: DataFrame, **filters) -> dict[str, DataFrame]:

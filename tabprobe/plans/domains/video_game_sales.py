@@ -10,6 +10,7 @@ from tabprobe.functions import filters as fl
 from tabprobe.operators import groups as gp
 from tabprobe.operators import reshape as rs
 from tabprobe.operators import stats as st
+from tabprobe.plans.domains.common import LazyTables
 
 # Platform → console generation.
 GENERATION = {
@@ -56,21 +57,23 @@ def results(df: DataFrame, genres: list[str] | None = None) -> dict[str, DataFra
     regions = regions.withColumn("Region", F.replace("Region", F.lit("_Sales"), F.lit("")))
     genre_region = gp.group_agg(df, ["Genre"], F.sum("NA_Sales").alias("NA"), F.sum("EU_Sales").alias("EU"),
                                 F.sum("JP_Sales").alias("JP"))
-    p95 = gp.quantile_scalar(df, "Global_Sales", 0.95).select("q").first()[0]
-    return {
-        "kpis": df.agg(F.count(F.lit(1)).alias("games"), F.sum("Global_Sales").alias("sales"),
+
+    def p95():
+        return gp.quantile_scalar(df, "Global_Sales", 0.95).select("q").first()[0]
+    return LazyTables({
+        "kpis": lambda: df.agg(F.count(F.lit(1)).alias("games"), F.sum("Global_Sales").alias("sales"),
                        F.avg("Global_Sales").alias("mean_sales"), F.count_distinct("Platform").alias("platforms"),
                        F.count_distinct("Publisher").alias("publishers")),
-        "platform_top15": gp.top_k(sales_games("Platform"), "sales", 15, ["Platform"]),
-        "by_generation": sales_games("Generation").orderBy(F.desc("sales"), "Generation"),
-        "genre_share": gp.share_of_total(sales_games("Genre"), "sales", "share"),
-        "generation_x_genre": rs.pivot_table(by_gen_genre, ["Generation"], "Genre", "sales", levels=genres,
+        "platform_top15": lambda: gp.top_k(sales_games("Platform"), "sales", 15, ["Platform"]),
+        "by_generation": lambda: sales_games("Generation").orderBy(F.desc("sales"), "Generation"),
+        "genre_share": lambda: gp.share_of_total(sales_games("Genre"), "sales", "share"),
+        "generation_x_genre": lambda: rs.pivot_table(by_gen_genre, ["Generation"], "Genre", "sales", levels=genres,
                                              aggfunc="sum"),
-        "by_year": sales_games("Year"),
-        "by_region": gp.group_agg(regions, ["Region"], F.sum("Sales").alias("sales")),
-        "genre_x_region": rs.melt(genre_region, ["Genre"], var_name="Region", value_name="Sales"),
-        "sales_hist_p95": st.histogram(df, ["Global_Sales"], bins=50, hi=p95),
-    }
+        "by_year": lambda: sales_games("Year"),
+        "by_region": lambda: gp.group_agg(regions, ["Region"], F.sum("Sales").alias("sales")),
+        "genre_x_region": lambda: rs.melt(genre_region, ["Genre"], var_name="Region", value_name="Sales"),
+        "sales_hist_p95": lambda: st.histogram(df, ["Global_Sales"], bins=50, hi=p95()),
+    })
 
 
 def run(df: DataFrame, **filters) -> dict[str, DataFrame]:
