@@ -1 +1,7 @@
+"""Incremental use of the batch operators on Structured Streaming sources.
 
+The reference reads static files only; these helpers let the same
+operators run on a stream of new files without new semantics.
+"""
+
+from tabprobe.streaming.micro_batch import append_results_per_batch, running_class_balance  # noqa: F401

@@ -1,0 +1,54 @@
+"""Micro-batch adapters for the profiling operators.
+
+* :func:`append_results_per_batch` runs any ``DataFrame -> DataFrame``
+  operator on each micro-batch (``foreachBatch``) and appends the result,
+  tagged with the batch id, to a Parquet table — the result sink (S7).
+  Batch results are per batch; re-aggregating them is the caller's choice.
+* :func:`running_class_balance` is the class-balance count (B1) as a
+  stateful streaming aggregate: counts per class kept in the state store
+  and emitted in update mode; percentages come from the sink's snapshot.
+
+Checkpoint locations default to ``<spark.checkpoint.dir>/streams/<name>``
+so they live in the shared folder the cluster names.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tabprobe.session import ensure_checkpoint_dir
+from tabprobe.sources.io import col
+
+
+def _checkpoint(stream_df: DataFrame, name: str, location: str | None) -> str:
+    if location:
+        return location
+    base = ensure_checkpoint_dir(stream_df.sparkSession).rstrip("/")
+    return f"{base}/streams/{name}"
+
+
+def append_results_per_batch(stream_df: DataFrame, op: Callable[[DataFrame], DataFrame], sink_path: str,
+                             name: str, checkpoint_location: str | None = None,
+                             available_now: bool = True) -> StreamingQuery:
+    def each(batch: DataFrame, batch_id: int) -> None:
+        out = op(batch)
+        if out is not None:
+            out.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink_path)
+
+    w = (stream_df.writeStream.foreachBatch(each).queryName(name)
+         .option("checkpointLocation", _checkpoint(stream_df, name, checkpoint_location)))
+    if available_now:
+        w = w.trigger(availableNow=True)
+    return w.start()
+
+
+def running_class_balance(stream_df: DataFrame, target: str, name: str,
+                          checkpoint_location: str | None = None, sink: str = "memory") -> StreamingQuery:
+    counts = stream_df.filter(col(target).isNotNull()).groupBy(col(target)).agg(F.count(F.lit(1)).alias("count"))
+    return (counts.writeStream.outputMode("complete" if sink == "memory" else "update").format(sink)
+            .queryName(name).option("checkpointLocation", _checkpoint(stream_df, name, checkpoint_location))
+            .start())

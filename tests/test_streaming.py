@@ -1,0 +1,31 @@
+import tempfile
+
+from tabprobe.operators import groups as gp
+from tabprobe.operators import quality as qa
+from tabprobe.streaming import append_results_per_batch, running_class_balance
+
+from conftest import SF_SMALL
+
+
+def test_stream_class_balance_matches_batch(spark):
+    src = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    stream = spark.readStream.schema(src.schema).option("pathGlobFilter", "orders.parquet").parquet(SF_SMALL)
+    q = running_class_balance(stream, "o_orderstatus", "balance_test",
+                              checkpoint_location=tempfile.mkdtemp(prefix="tp-stream-"))
+    q.processAllAvailable()
+    q.stop()
+    got = {r.o_orderstatus: r["count"] for r in spark.sql("SELECT * FROM balance_test").collect()}
+    exp = {r.o_orderstatus: r["count"] for r in gp.class_balance(src, "o_orderstatus").collect()}
+    assert got == exp
+
+
+def test_foreach_batch_profile_sink(spark):
+    src = spark.read.parquet(f"{SF_SMALL}/customer.parquet")
+    stream = spark.readStream.schema(src.schema).option("pathGlobFilter", "customer.parquet").parquet(SF_SMALL)
+    out = tempfile.mkdtemp(prefix="tp-sink-") + "/quality"
+    q = append_results_per_batch(stream, qa.data_quality_report, out, "quality_test",
+                                 checkpoint_location=tempfile.mkdtemp(prefix="tp-stream-"))
+    q.awaitTermination(120)
+    rows = spark.read.parquet(out).collect()
+    assert {r.column for r in rows} == set(src.columns)
+    assert sum(r.non_null for r in rows if r.column == "c_custkey") == src.count()
