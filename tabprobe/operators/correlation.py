@@ -152,7 +152,8 @@ def correlation_long(df: DataFrame, columns: Sequence[str] | None = None,
     elif method == "spearman":
         up = spearman_pairs(df, cols)
     elif method == "kendall":
-        raise NotImplementedError("kendall: not available yet (see README)")
+        from tabprobe.operators.kendall import kendall_pairs
+        up = kendall_pairs(df, cols)
     else:
         raise ValueError(f"unknown method {method!r}")
     names = df.sparkSession.createDataFrame(list(enumerate(cols)), "idx int, name string")

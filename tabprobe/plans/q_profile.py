@@ -231,6 +231,14 @@ def q_corr_spearman(spark, d):
     return _r(cr.correlation_long(table(spark, d, "lineitem"), _CORR_COLS, "spearman"), ["corr"], 9)
 
 
+@query("corr_kendall")
+def q_corr_kendall(spark, d):
+    # Kendall tau-b needs all pairs; DuckDB has no kendall aggregate and a pair
+    # self-join over whole tables is quadratic, so this query is checked rows-only
+    # here and against an O(n²) brute force on fixtures in tests.
+    return _r(cr.correlation_long(table(spark, d, "lineitem"), _CORR_COLS, "kendall"), ["corr"], 9)
+
+
 @query("top_correlations", f"""
 SELECT var1, var2, corr FROM ({_corr_sql()}) m
 WHERE list_position({_CORR_COLS!r}, var1) < list_position({_CORR_COLS!r}, var2)

@@ -2,6 +2,7 @@ import math
 import random
 
 import pandas as pd
+import pytest
 
 from tabprobe.operators import correlation as cr
 
@@ -53,3 +54,26 @@ def test_top_correlations_distinct_pairs(spark):
     assert (top[0].var1, top[0].var2) == ("x", "y")
     absr = [abs(r.corr) for r in top]
     assert absr == sorted(absr, reverse=True)
+
+
+@pytest.mark.parametrize("cap", [10_000, 7])
+def test_kendall_matches_brute_force(spark, cap):
+    from tabprobe.operators.kendall import brute_force_tau_b, kendall_pairs
+    df, pdf, cols = _frame(spark, n=160)
+    use = ["x", "y", "z", "w"]
+    got = {(r.i, r.j): r.corr for r in kendall_pairs(df.repartition(3), use, cap=cap).collect()}
+    for i, a in enumerate(use):
+        for j in range(i, len(use)):
+            b = use[j]
+            exp = brute_force_tau_b(list(pdf[a].where(pdf[a].notna(), None)), list(pdf[b].where(pdf[b].notna(), None)))
+            assert abs(got[(i, j)] - exp) < 1e-12, (a, b, got[(i, j)], exp)
+
+
+def test_kendall_hot_value(spark):
+    from tabprobe.operators.kendall import brute_force_tau_b, kendall_pairs
+    rnd = random.Random(4)
+    rows = [(5.0 if rnd.random() < 0.4 else float(rnd.randint(0, 60)), float(rnd.randint(0, 80))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    got = {(r.i, r.j): r.corr for r in kendall_pairs(df, ["a", "b"], cap=9).collect()}
+    exp = brute_force_tau_b([r[0] for r in rows], [r[1] for r in rows])
+    assert abs(got[(0, 1)] - exp) < 1e-12
