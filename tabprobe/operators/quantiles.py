@@ -95,12 +95,34 @@ def _select(base: DataFrame, t: DataFrame, keys: list[str], n_targets: int) -> D
                          ((F.col("_a._side") == 0) & (F.col("_b._side") == 0)).alias("_ok"))
 
 
+# Up to this many values in total, Spark's exact ``percentile`` (a value→count
+# map per group) is used in a single pass: its memory is bounded by the same
+# number.  Larger inputs take the bracket algorithm.
+SMALL_EXACT_VALUES = 5_000_000
+
+
+def _small_exact(allv: DataFrame, keys: list[str], probs: list[float], extra_aggs: dict) -> DataFrame:
+    g = allv.groupBy(*keys).agg(F.count("_v").alias("n"),
+                                F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_qs"),
+                                *[a.alias(k) for k, a in extra_aggs.items()])
+    rows = F.arrays_zip(F.array(*[F.lit(p) for p in probs]).alias("p"), F.col("_qs").alias("q"))
+    out = g.select(*keys, "n", *extra_aggs, F.explode(rows).alias("_pq"))
+    return _persist(out.select(*keys, "_pq.p", "n", F.when(F.col("n") > 0, F.col("_pq.q")).alias("q"),
+                               *extra_aggs))
+
+
 def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str,
                     probs: Sequence[float], accuracy: int = 10_000,
                     max_bracket: int = 10_000, bins: int = 1024,
-                    max_rounds: int = 12, approx_start: bool = True) -> DataFrame:
+                    max_rounds: int = 12, approx_start: bool = True,
+                    extra_aggs: dict | None = None, total_bound: int | None = None) -> DataFrame:
     """Quantiles of ``value`` per ``keys`` group.
 
+    ``extra_aggs`` (name → aggregate over the value column ``_v``, NaN
+    already NULL) are computed in the same first pass and returned on every
+    output row.  ``total_bound`` is a known upper bound on the number of
+    values; at most ``SMALL_EXACT_VALUES`` selects the one-pass path.
+
     Returns ``keys…, p, n, q`` (``n`` non-null values; ``q`` NULL when n = 0),
     with pandas/DuckDB linear interpolation: ``h=(n-1)p``,
     ``q = x[floor h] + (h - floor h)(x[ceil h] - x[floor h])``.
@@ -115,7 +137,12 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str,
     margin = 3.0 / accuracy
     plist = F.array(*[F.lit(p) for p in probs])
 
-    aggs = [F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")]
+    extra_aggs = extra_aggs or {}
+    extra_names = list(extra_aggs)
+    if total_bound is not None and total_bound <= SMALL_EXACT_VALUES:
+        return _small_exact(allv, keys, probs, extra_aggs)
+    aggs = [F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+            *[a.alias(k) for k, a in extra_aggs.items()]]
     if approx_start:
         br = []
         for p in probs:
@@ -159,12 +186,12 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str,
         res = res.filter(F.col("_ok")).unionByName(redo)
 
     # groups whose values are all NULL keep a row with n = 0 and q NULL
-    allp = stats.select(*keys, "_n", F.explode(plist).alias("p"))
+    allp = stats.select(*keys, "_n", *extra_names, F.explode(plist).alias("p"))
     frac = t.select(*keys, "p", "_frac")
     out = allp.join(frac, keys + ["p"], "left").join(res, keys + ["p"], "left")
     qv = F.when(F.col("_frac") == 0, F.col("_xlo")).otherwise(
         F.col("_xlo") + F.col("_frac") * (F.col("_xhi") - F.col("_xlo")))
-    return _persist(out.select(*keys, "p", F.col("_n").alias("n"), qv.alias("q")))
+    return _persist(out.select(*keys, "p", F.col("_n").alias("n"), qv.alias("q"), *extra_names))
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
@@ -174,6 +201,9 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
     by = list(by)
     long = (df.select(*[col(b) for b in by], *[col(c).cast("double").alias(c) for c in columns])
             .unpivot([col(b) for b in by] if by else [], [col(c) for c in columns], "column", "value"))
+    if "total_bound" not in kw:
+        # row count of a plain scan comes from file footers
+        kw["total_bound"] = df.count() * len(columns)
     return exact_quantiles(long, by + ["column"], "value", probs, **kw)
 
 

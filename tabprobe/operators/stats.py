@@ -65,7 +65,9 @@ def descriptive_stats(df: DataFrame, columns: Sequence[str] | None = None,
                       by: Sequence[str] = (), **qkw) -> DataFrame | None:
     """count, mean, std, min, p25, median, p75, max, skew, kurtosis per column.
 
-    Returns ``None`` when no requested column is numeric."""
+    Moments come from one aggregate over the wide frame, quartiles from the
+    exact-quantile engine.  Returns ``None`` when no requested column is
+    numeric."""
     cols = numeric_columns(df, columns)
     if not cols:
         return None

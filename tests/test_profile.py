@@ -107,9 +107,11 @@ def test_quantiles_empty_group_gives_null(spark):
 
 def test_quantiles_invariant_under_repartition(spark):
     df, _ = _rand_frame(spark)
-    a = sorted(tuple(r) for r in column_quantiles(df.repartition(1), ["a", "b"], [0.3]).collect())
-    b = sorted(tuple(r) for r in column_quantiles(df.repartition(13), ["a", "b"], [0.3]).collect())
-    assert a == b
+    for bound in [None, 10**12]:  # one-pass built-in path and bracket path
+        a = sorted(tuple(r) for r in column_quantiles(df.repartition(1), ["a", "b"], [0.3], total_bound=bound).collect())
+        b = sorted(tuple(r) for r in column_quantiles(df.repartition(13), ["a", "b"], [0.3],
+                                                      total_bound=bound).collect())
+        assert a == b
 
 
 def test_outlier_report_iqr_matches_pandas(spark):
