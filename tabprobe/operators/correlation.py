@@ -83,13 +83,20 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _corr_from_moments(summed)
 
 
-def _ranked_column(df: DataFrame, c: str) -> DataFrame:
-    """Replace column ``c`` by its average rank (rank table joined on the value;
-    broadcast only when its distinct-value count is small)."""
-    r = average_ranks(df.select(col(c).alias("_val")).withColumn("_k", F.lit(0)), ["_k"], "_val")
-    r = persist(r.select(F.col("_val").alias(f"_rv_{c}"), F.col("rank").alias(f"_rk_{c}")))
-    out = df.join(broadcast_if_small(r), col(c) == F.col(f"_rv_{c}"), "left")
-    return out.drop(c, f"_rv_{c}").withColumnRenamed(f"_rk_{c}", c)
+def _rank_columns(x: DataFrame, names: list[str]) -> DataFrame:
+    """Replace each column by its average rank.  All columns are ranked in one
+    distributed-rank pass over the unpivoted values; each column's rank table
+    (one row per distinct value) is then joined back on the value, broadcast
+    only when its size allows."""
+    long = x.select(*names).unpivot([], names, "_col", "_val")
+    r = persist(average_ranks(long, ["_col"], "_val"))
+    sizes = {row[0]: row[1] for row in r.groupBy("_col").count().collect()}
+    out = x
+    for c in names:
+        rc = r.filter(F.col("_col") == c).select(F.col("_val").alias(f"_rv_{c}"), F.col("rank").alias(f"_rk_{c}"))
+        out = out.join(broadcast_if_small(rc, n_rows=sizes.get(c, 0)), F.col(c) == F.col(f"_rv_{c}"), "left")
+        out = out.drop(c, f"_rv_{c}").withColumnRenamed(f"_rk_{c}", c)
+    return out
 
 
 def _spearman_pairs_expanded(x: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
@@ -125,9 +132,7 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     full = [i for i in range(k) if nulls[i] == 0]
     parts = []
     if full:
-        ranked = x.select(*[f"c{i}" for i in full])
-        for i in full:
-            ranked = _ranked_column(ranked, f"c{i}")
+        ranked = _rank_columns(x.select(*[f"c{i}" for i in full]), [f"c{i}" for i in full])
         sub = pearson_pairs(ranked, [f"c{i}" for i in full])
         remap = F.create_map(*[v for a, i in enumerate(full) for v in (F.lit(a), F.lit(i))])
         parts.append(sub.select(remap[F.col("i")].alias("i"), remap[F.col("j")].alias("j"), "n", "corr"))
