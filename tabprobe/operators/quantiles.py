@@ -39,8 +39,10 @@ def _refine(base: DataFrame, t: DataFrame, keys: list[str], max_bracket: int, bi
             max_rounds: int) -> DataFrame:
     """Shrink ``[_lo, _hi]`` (with exact ``_below``/``_inside``) of targets in
     ``t`` until each holds at most ``max_bracket`` rows."""
+    if "_stuck" not in t.columns:
+        t = t.withColumn("_stuck", F.lit(False))
     for _ in range(max_rounds):
-        big = t.filter((F.col("_inside") > max_bracket) & (F.col("_lo") < F.col("_hi")))
+        big = t.filter((F.col("_inside") > max_bracket) & (F.col("_lo") < F.col("_hi")) & ~F.col("_stuck"))
         n_big = big.count()
         if n_big == 0:
             break
@@ -64,8 +66,11 @@ def _refine(base: DataFrame, t: DataFrame, keys: list[str], max_bracket: int, bi
             F.max(F.when(F.col("_start") <= F.col("_khi"), F.col("_end"))).alias("_nend")))
         t2 = t.join(sel, keys + ["p"], "left")
         refined = F.col("_nlo").isNotNull()
+        # a bracket whose two ranks sit on two tied values cannot shrink: stop it
+        no_gain = refined & ((F.col("_nend") - F.col("_nbelow")) >= F.col("_inside"))
         t = _persist(t2.select(
-            *[c for c in t.columns if c not in ("_lo", "_hi", "_below", "_inside")],
+            *[c for c in t.columns if c not in ("_lo", "_hi", "_below", "_inside", "_stuck")],
+            (F.col("_stuck") | no_gain).alias("_stuck"),
             F.when(refined, F.col("_nlo")).otherwise(F.col("_lo")).alias("_lo"),
             F.when(refined, F.col("_nhi")).otherwise(F.col("_hi")).alias("_hi"),
             F.when(refined, F.col("_nbelow")).otherwise(F.col("_below")).alias("_below"),
@@ -180,7 +185,8 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str,
         # a sketch bracket missed its rank: refine those targets from [min, max]
         bad = t.join(res.filter(~F.col("_ok")).select(*keys, "p"), keys + ["p"], "left_semi")
         bad = _persist(bad.withColumn("_lo", F.col("_min")).withColumn("_hi", F.col("_max"))
-                       .withColumn("_below", F.lit(0).cast("long")).withColumn("_inside", F.col("_n")))
+                       .withColumn("_below", F.lit(0).cast("long")).withColumn("_inside", F.col("_n"))
+                       .withColumn("_stuck", F.lit(False)))
         bad = _refine(base, bad, keys, max_bracket, bins, max_rounds)
         redo = _select(base, bad, keys, n_bad)
         res = res.filter(F.col("_ok")).unionByName(redo)
