@@ -18,8 +18,8 @@ buckets (and likewise for y); single-value buckets contribute 0.  Every
 sub-problem is again a Kendall S problem with fewer points (at most
 ``8·sqrt(m)`` per stripe, ``m/4`` for the bucket grid), so all problems of
 one level run together as one grouped DataFrame and the recursion ends when
-every problem fits ``cap`` points; those are solved exactly by a weighted
-Fenwick-tree sweep in ``applyInPandas``.  Bucket positions come from the
+every problem fits ``cap`` points; those are solved exactly in
+``applyInPandas`` by a vectorised split-and-count on x (numpy).  Bucket positions come from the
 distributed rank (range partitioning, no single-partition window).
 """
 
@@ -38,44 +38,39 @@ from tabprobe.operators.ranks import average_ranks
 from tabprobe.sources.io import col
 
 
+def _s_sorted(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """Weighted S of points sorted by x: split between two distinct x values,
+    count the cross pairs (every left x is smaller) with a sort of the left
+    y values and prefix sums, recurse on both halves; tiny inputs use the
+    pair-sign matrix."""
+    m = len(x)
+    if m <= 64:
+        dx = np.sign(x[:, None] - x[None, :])
+        dy = np.sign(y[:, None] - y[None, :])
+        return 0.5 * float((w[:, None] * w[None, :] * dx * dy).sum())
+    mid = m // 2
+    lo = int(np.searchsorted(x, x[mid], "left"))
+    hi = int(np.searchsorted(x, x[mid], "right"))
+    if lo == 0 and hi == m:
+        return 0.0  # one x value: every pair ties in x
+    split = hi if lo == 0 or (hi < m and hi - mid < mid - lo) else lo
+    yl, wl = y[:split], w[:split]
+    order = np.argsort(yl, kind="stable")
+    ys, cw = yl[order], np.concatenate(([0.0], np.cumsum(wl[order])))
+    yr, wr = y[split:], w[split:]
+    below = cw[np.searchsorted(ys, yr, "left")]
+    above = cw[-1] - cw[np.searchsorted(ys, yr, "right")]
+    cross = float((wr * (below - above)).sum())
+    return cross + _s_sorted(x[:split], y[:split], w[:split]) + _s_sorted(x[split:], y[split:], w[split:])
+
+
 def _sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exact weighted S of one small problem: sort by x, and for each group of
-    equal x add w·(weight below y − weight above y) of earlier groups."""
-    x = pdf["x"].to_numpy()
-    y = pdf["y"].to_numpy()
+    """Exact weighted S of one small problem (one ``applyInPandas`` group)."""
+    x = pdf["x"].to_numpy(dtype=np.float64)
+    y = pdf["y"].to_numpy(dtype=np.float64)
     w = pdf["w"].to_numpy(dtype=np.float64)
     order = np.lexsort((y, x))
-    x, y, w = x[order], y[order], w[order]
-    ranks = np.searchsorted(np.unique(y), y) + 1
-    size = int(ranks.max()) if len(ranks) else 0
-    tree = np.zeros(size + 1)
-    total = 0.0
-    s = 0.0
-
-    def prefix(i):
-        r = 0.0
-        while i > 0:
-            r += tree[i]
-            i -= i & -i
-        return r
-
-    n = len(x)
-    start = 0
-    while start < n:
-        end = start
-        while end < n and x[end] == x[start]:
-            end += 1
-        for k in range(start, end):
-            below = prefix(ranks[k] - 1)
-            above = total - prefix(ranks[k])
-            s += w[k] * (below - above)
-        for k in range(start, end):
-            i = ranks[k]
-            while i <= size:
-                tree[i] += w[k]
-                i += i & -i
-            total += w[k]
-        start = end
+    s = _s_sorted(x[order], y[order], w[order])
     return pd.DataFrame({"pid": [pdf["pid"].iloc[0]], "s": [s]})
 
 
@@ -137,9 +132,17 @@ def kendall_pairs(df: DataFrame, columns: Sequence[str], cap: int = 20_000) -> D
     k = len(cols)
     x = df.select(*[F.nanvl(col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}")
                     for i, c in enumerate(cols)])
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    # a column against itself has tau-b 1 (NULL when constant): no pair search
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
     recs = F.array(*[F.struct(F.lit(f"{i}-{j}").alias("pid"), F.col(f"c{i}").alias("x"), F.col(f"c{j}").alias("y"))
                      for i, j in pairs])
+    diag = x.agg(*[F.count(f"c{i}").alias(f"n{i}") for i in range(k)],
+                 *[F.count_distinct(f"c{i}").alias(f"d{i}") for i in range(k)])
+    diag = diag.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(i).alias("j"), F.col(f"n{i}").alias("n"),
+                 F.when(F.col(f"d{i}") > 1, F.lit(1.0)).alias("corr")) for i in range(k)])))
+    if not pairs:
+        return diag
     long = x.select(F.inline(recs)).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     pts = long.groupBy("pid", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))
     pts = persist(pts)
@@ -153,9 +156,10 @@ def kendall_pairs(df: DataFrame, columns: Sequence[str], cap: int = 20_000) -> D
     den = (n0 - F.col("n1")) * (n0 - F.col("n2"))
     tau = F.when(den > 0, F.coalesce(F.col("s"), F.lit(0.0)) / F.sqrt(den))
     ij = F.split("pid", "-")
-    return stats.select(ij.getItem(0).cast("int").alias("i"), ij.getItem(1).cast("int").alias("j"),
-                        F.col("n").cast("long").alias("n"),
-                        F.least(F.lit(1.0), F.greatest(F.lit(-1.0), tau)).alias("corr"))
+    off = stats.select(ij.getItem(0).cast("int").alias("i"), ij.getItem(1).cast("int").alias("j"),
+                       F.col("n").cast("long").alias("n"),
+                       F.least(F.lit(1.0), F.greatest(F.lit(-1.0), tau)).alias("corr"))
+    return off.unionByName(diag.select("i", "j", F.col("n").cast("long").alias("n"), "corr"))
 
 
 def brute_force_tau_b(x: Sequence[float | None], y: Sequence[float | None]) -> float:
