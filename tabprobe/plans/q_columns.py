@@ -104,7 +104,7 @@ def q_ratio_columns(spark, d):
 
 @query("product_diff", """
 SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS revenue,
-  2026 - year(l_shipdate) AS age_years
+  CAST(2026 - year(l_shipdate) AS INTEGER) AS age_years
 FROM lineitem
 """)
 def q_product_diff(spark, d):
