@@ -103,6 +103,18 @@ def ingest_csv_to_parquet(spark: SparkSession, csv_path: str, schema: T.StructTy
     return spark.read.parquet(out_path)
 
 
+def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
+                mode: str = "overwrite", max_records_per_file: int = 5_000_000) -> None:
+    """Result sink: write a result table as Parquet (optionally partitioned,
+    e.g. by month, so later reads prune partitions).  Rows are not shuffled
+    by the partition key (a hot key would land in one task); file size is
+    bounded by ``max_records_per_file`` instead."""
+    w = df.write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+
+
 def dataset_audit(spark: SparkSession, sf_dir: str,
                   declared: dict[str, int] | None = None,
                   names: list[str] | None = None) -> DataFrame:

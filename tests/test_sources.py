@@ -78,3 +78,12 @@ def test_duplicates_with_hot_row(spark):
     rows = [(1, "x")] * 400 + [(i, "y") for i in range(800)] + [(5, "y")] * 3
     r = qa.duplicate_summary(spark.createDataFrame(rows, "a int, b string").repartition(5)).first()
     assert (r.total_rows, r.duplicate_rows) == (1203, 399 + 3)
+
+
+def test_write_table_partitioned(spark):
+    from tabprobe.sources.io import write_table
+    out = tempfile.mkdtemp(prefix="tp-out-") + "/t"
+    df = spark.createDataFrame([("2024-01", 1.0), ("2024-02", 2.0)], "month string, v double")
+    write_table(df, out, partition_by=["month"])
+    back = spark.read.parquet(out)
+    assert back.filter("month = '2024-02'").count() == 1
