@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Row bound under which a side table is broadcast; larger tables are joined
 # with a shuffle (AQE may still pick broadcast at runtime).
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 
 def persist(df: DataFrame) -> DataFrame:
