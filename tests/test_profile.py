@@ -153,3 +153,22 @@ def test_box_summary_whiskers(spark):
     r = st.box_summary(df, ["x"]).first()
     assert (r.whisker_low, r.whisker_high, r.outliers) == (1.0, 20.0, 1)
     assert close(r.median, float(np.median(vals)))
+
+
+def test_data_quality_wide_path_matches_narrow(spark):
+    from tabprobe.operators import quality as q2
+    rnd = random.Random(8)
+    rows = [tuple([rnd.choice([None, 0.0, -0.0, 1.5, float("nan")])] + [rnd.randint(0, 5) for _ in range(11)]
+                  + [rnd.choice(["a", "b", None])]) for _ in range(200)]
+    schema = "d double, " + ", ".join(f"i{k} int" for k in range(11)) + ", s string"
+    df = spark.createDataFrame(rows, schema)
+    old = q2.WIDE_DISTINCT_COLUMNS
+    try:
+        wide = {r.column: tuple(r) for r in q2.data_quality_report(df).collect()}
+        q2.WIDE_DISTINCT_COLUMNS = 100
+        narrow = {r.column: tuple(r) for r in q2.data_quality_report(df).collect()}
+    finally:
+        q2.WIDE_DISTINCT_COLUMNS = old
+    assert wide == narrow
+    pdf = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+    assert wide["d"][5] == pdf["d"].nunique() and wide["d"][3] == int(pdf["d"].isna().sum())
