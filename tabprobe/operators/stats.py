@@ -36,11 +36,33 @@ def _kurt_corrected(g2, n):
     return F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
 
 
+# Above this many columns moments are aggregated over the unpivoted values
+# (one small aggregate per (group, column)) instead of one wide aggregate:
+# at sf0.1, 30 columns took 100 s as a 210-expression aggregate and 7 s long.
+WIDE_MOMENT_COLUMNS = 8
+
+
+def _moments_long(df: DataFrame, columns: Sequence[str], by: list[str]) -> DataFrame:
+    long = df.select(*[col(b) for b in by], *[col(c).cast("double").alias(c) for c in columns]).unpivot(
+        [col(b) for b in by] if by else [], [col(c) for c in columns], "column", "_x")
+    x = F.col("_x")
+    m = long.groupBy(*by, "column").agg(
+        F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+        F.min(x).alias("min"), F.max(x).alias("max"), F.skewness(x).alias("_g1"), F.kurtosis(x).alias("_g2"))
+    n = F.col("count").cast("double")
+    const = F.col("min") == F.col("max")
+    skew = F.when(const & (n >= 3), F.lit(0.0)).otherwise(_skew_corrected(F.col("_g1"), n))
+    kurt = F.when(const & (n >= 4), F.lit(0.0)).otherwise(_kurt_corrected(F.col("_g2"), n))
+    return m.select(*by, "column", "count", "mean", "std", "min", "max", skew.alias("skew"), kurt.alias("kurtosis"))
+
+
 def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """count, mean, std (ddof 1), min, max, skew (G1), kurtosis (G2) per column.
 
     Constant columns give skew/kurtosis 0 (pandas), not NULL."""
     by = list(by)
+    if len(columns) > WIDE_MOMENT_COLUMNS:
+        return _moments_long(df, columns, by)
     aggs = []
     for i, c in enumerate(columns):
         x = col(c).cast("double")

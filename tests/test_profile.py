@@ -172,3 +172,18 @@ def test_data_quality_wide_path_matches_narrow(spark):
     assert wide == narrow
     pdf = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
     assert wide["d"][5] == pdf["d"].nunique() and wide["d"][3] == int(pdf["d"].isna().sum())
+
+
+def test_moments_long_path_matches_wide(spark):
+    df, _ = _rand_frame(spark)
+    old = st.WIDE_MOMENT_COLUMNS
+    try:
+        st.WIDE_MOMENT_COLUMNS = 0
+        a = {r.column: r for r in st.moments(df, ["a", "b", "c"], by=["g"]).collect() if r.g == "x"}
+        st.WIDE_MOMENT_COLUMNS = 100
+        b = {r.column: r for r in st.moments(df, ["a", "b", "c"], by=["g"]).collect() if r.g == "x"}
+    finally:
+        st.WIDE_MOMENT_COLUMNS = old
+    for c in "abc":
+        for k in ["count", "mean", "std", "min", "max", "skew", "kurtosis"]:
+            assert close(a[c][k], b[c][k], 1e-9), (c, k)
