@@ -142,9 +142,24 @@ def preview(df: DataFrame, order_by: list[str], n: int = 1000) -> DataFrame:
 def sample_n(df: DataFrame, n: int, key_cols: list[str], seed: int = 42) -> DataFrame:
     """Deterministic fixed-size sample without replacement.
 
-    Rows are ranked by a seeded hash of the key; the ``n`` smallest hashes are
-    kept (per-partition top-n then merge, no global sort).  Frames with fewer
-    than ``n`` rows come back whole.
+    The ``n`` rows with the smallest seeded hash of the key are kept.  The
+    64-bit hash is close to uniform, so a filter ``hash < threshold`` chosen
+    for about ``3n`` rows keeps the candidates (a per-partition filter);
+    only those go through the final ordered ``limit``, instead of every
+    partition sending its own top ``n``.  The threshold is widened until at
+    least ``n`` rows pass, so the result equals the plain top-``n``.  Frames
+    with fewer than ``n`` rows come back whole.
     """
     h = F.xxhash64(F.lit(seed), *[col(c) for c in key_cols])
-    return df.withColumn("_h", h).orderBy("_h", *[col(c) for c in key_cols]).limit(n).drop("_h")
+    keyed = df.withColumn("_h", h)
+    total = df.count()
+    if total > n:
+        frac = min(1.0, 3.0 * n / total)
+        while frac < 1.0:
+            thr = int(-(2 ** 63) + frac * (2 ** 64 - 1))
+            cand = keyed.filter(F.col("_h") < F.lit(thr))
+            if cand.count() >= n:
+                keyed = cand
+                break
+            frac = min(1.0, frac * 2)
+    return keyed.orderBy("_h", *[col(c) for c in key_cols]).limit(n).drop("_h")

@@ -87,3 +87,13 @@ def test_write_table_partitioned(spark):
     write_table(df, out, partition_by=["month"])
     back = spark.read.parquet(out)
     assert back.filter("month = '2024-02'").count() == 1
+
+
+def test_sample_n_equals_plain_top_n(spark):
+    from pyspark.sql import functions as F
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    keys = ["l_orderkey", "l_linenumber"]
+    got = sorted(tuple(r) for r in sample_n(li, 700, keys).collect())
+    h = F.xxhash64(F.lit(42), *[F.col(c) for c in keys])
+    exp = sorted(tuple(r) for r in li.withColumn("_h", h).orderBy("_h", *keys).limit(700).drop("_h").collect())
+    assert got == exp
