@@ -43,7 +43,8 @@ def _distinct_counts_long(df: DataFrame, fields: list) -> DataFrame:
     recs = F.array(*[F.struct(F.lit(f.name).alias("column"), _exact_text(_value(f), f.dataType).alias("v"))
                      for f in fields])
     long = df.select(F.inline(recs)).filter(F.col("v").isNotNull())
-    return long.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("_card"))
+    per_value = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("_k"))
+    return per_value.groupBy("column").agg(F.count(F.lit(1)).alias("_card"), F.sum("_k").alias("_nn"))
 
 
 def _value(f: T.StructField):
@@ -73,7 +74,9 @@ def data_quality_report(df: DataFrame, approx: bool = False) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(fields):
         c = _value(f)
-        aggs.append(F.count(c).alias(f"_nn{i}"))
+        # wide tables take non-null counts of countable columns from the long pass
+        aggs.append((F.lit(None).cast("long") if wide and not isinstance(f.dataType, _NESTED)
+                     else F.count(c)).alias(f"_nn{i}"))
         if isinstance(f.dataType, _NESTED):
             aggs.append(F.lit(None).cast("long").alias(f"_cd{i}"))
             aggs.append(F.lit("").alias(f"_s{i}"))
@@ -99,11 +102,15 @@ def data_quality_report(df: DataFrame, approx: bool = False) -> DataFrame:
     if not wide:
         return report
     cards = _distinct_counts_long(df, countable)
+    rows_total = one.select("_rows").scalar()
     out = report.join(F.broadcast(cards), "column", "left")
     nested = [f.name for f in fields if isinstance(f.dataType, _NESTED)]
-    card = F.when(F.col("column").isin(nested), F.lit(None).cast("long")).otherwise(
-        F.coalesce(F.col("_card"), F.lit(0)).cast("long"))
-    return out.select("column", "dtype", "non_null", "nulls", "null_pct", card.alias("cardinality"), "sample")
+    is_nested = F.col("column").isin(nested)
+    nn = F.when(is_nested, F.col("non_null")).otherwise(F.coalesce(F.col("_nn"), F.lit(0))).cast("long")
+    card = F.when(is_nested, F.lit(None).cast("long")).otherwise(F.coalesce(F.col("_card"), F.lit(0)).cast("long"))
+    return out.select("column", "dtype", nn.alias("non_null"), (rows_total - nn).alias("nulls"),
+                      F.try_divide((rows_total - nn) * F.lit(100.0), rows_total).alias("null_pct"),
+                      card.alias("cardinality"), "sample")
 
 
 def missing_values(report: DataFrame) -> DataFrame:
