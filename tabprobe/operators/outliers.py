@@ -31,8 +31,15 @@ def outlier_report_iqr(df: DataFrame, columns: Sequence[str] | None = None,
                        (F.col("q3") + multiplier * (F.col("q3") - F.col("q1"))).alias("upper_bound"))
     long = df.select(*[col(x) for x in by], *[col(c).cast("double").alias(c) for c in cols]).unpivot(
         [col(x) for x in by] if by else [], [col(c) for c in cols], "column", "value")
-    bounds = persist(bounds)
-    j = long.join(broadcast_if_small(bounds), by + ["column"], "left")
+    if by:
+        bounds = persist(bounds)
+        j = long.join(broadcast_if_small(bounds), by + ["column"], "left")
+    else:
+        # one row per column: inline the bounds as literal maps (no join)
+        b = {r["column"]: (r["lower_bound"], r["upper_bound"]) for r in bounds.collect()}
+        lo = F.create_map(*[x for c, (a, _) in b.items() for x in (F.lit(c), F.lit(a).cast("double"))])
+        hi = F.create_map(*[x for c, (_, z) in b.items() for x in (F.lit(c), F.lit(z).cast("double"))])
+        j = long.withColumn("lower_bound", lo[F.col("column")]).withColumn("upper_bound", hi[F.col("column")])
     out = j.groupBy(*by, "column").agg(
         F.count_if((F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))).alias("outliers"),
         F.count(F.lit(1)).alias("_rows"),
