@@ -140,3 +140,23 @@ def test_period_return(spark):
     for k in "AB":
         exp = last[k] / first.get(k, float("nan")) - 1
         assert (got[k] is None and math.isnan(exp)) or abs(got[k] - exp) < 1e-12
+
+
+def test_series_auto_switches_to_blocks(spark):
+    df, pdf = _stock_frame(spark)
+    old = se.AUTO_BLOCK_ROWS
+    try:
+        se.AUTO_BLOCK_ROWS = 5          # every entity is "large": blocked path
+        out = se.series_features(df, "k", "d", "close", window=20)
+        _check_features(out, _pandas_features(pdf))
+    finally:
+        se.AUTO_BLOCK_ROWS = old
+
+
+def test_pivot_returns_match_pandas(spark):
+    df, pdf = _stock_frame(spark)
+    got = {r.d: (r.A, r.B) for r in se.pivot_returns(df, "k", "d", "close", ["A", "B"]).collect()}
+    exp = pdf.pivot_table(index="d", columns="k", values="close").sort_index().pct_change(fill_method=None).dropna()
+    assert set(got) == set(exp.index)
+    for d, row in exp.iterrows():
+        assert abs(got[d][0] - row["A"]) < 1e-12 and abs(got[d][1] - row["B"]) < 1e-12
