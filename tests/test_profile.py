@@ -187,3 +187,26 @@ def test_moments_long_path_matches_wide(spark):
     for c in "abc":
         for k in ["count", "mean", "std", "min", "max", "skew", "kurtosis"]:
             assert close(a[c][k], b[c][k], 1e-9), (c, k)
+
+
+def test_properties_correlation_symmetric_bounded(spark):
+    from tabprobe.operators import correlation as cr
+    df, _ = _rand_frame(spark)
+    m = {(r.var1, r.var2): r.corr for r in cr.correlation_long(df, ["a", "b", "c"]).collect()}
+    for (a, b), r in m.items():
+        assert m[(b, a)] == r
+        assert r is None or -1.0 <= r <= 1.0
+
+
+def test_properties_outliers_invariant_under_repartition(spark):
+    df, _ = _rand_frame(spark)
+    a = sorted(tuple(r) for r in outlier_report_iqr(df.repartition(1), ["a", "b"]).collect())
+    b = sorted(tuple(r) for r in outlier_report_iqr(df.repartition(16), ["a", "b"]).collect())
+    assert a == b
+
+
+def test_properties_duplicates_plus_distinct_is_rows(spark):
+    df, _ = _rand_frame(spark)
+    sub = df.select("a", "g")
+    r = qa.duplicate_summary(sub).first()
+    assert r.total_rows - r.duplicate_rows == sub.distinct().count()
