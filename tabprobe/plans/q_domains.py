@@ -229,6 +229,11 @@ def bank_view(spark, d) -> DataFrame:
         (F.col("o_totalprice") / 1000).cast("int").alias("duration"),
         (F.lit(1) + F.col("o_orderkey") % 10).cast("int").alias("campaign"),
         F.lit(999).alias("pdays"), (F.col("o_orderkey") % 3).cast("int").alias("previous"),
+        ((F.col("o_orderkey") % 50) / 10 - 2.5).alias("emp.var.rate"),
+        (F.lit(92.0) + (F.col("o_custkey") % 300) / 100).alias("cons.price.idx"),
+        (F.lit(-50.0) + (F.col("o_orderkey") % 250) / 10).alias("cons.conf.idx"),
+        ((F.col("o_totalprice") % 500) / 100).alias("euribor3m"),
+        (F.lit(4900.0) + F.col("o_custkey") % 300).alias("nr.employed"),
         F.when(F.col("o_orderstatus") == "F", "yes").otherwise("no").alias("y"))
 
 
