@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import exact_dedup, license_scan, toxicity
+from tabprobe.llm import exact_dedup, license_scan, quality, toxicity
 from tabprobe.llm.license_texts import KNOWN
 from tabprobe.sources.io import table
 
@@ -77,3 +77,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out()))
     return toxicity.score(docs, model).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs)).withColumn("kept", F.col("score") >= 0.5)
