@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import exact_dedup, license_scan, quality, toxicity
+from tabprobe.llm import exact_dedup, license_scan, ngram_join, quality, toxicity
 from tabprobe.llm.license_texts import KNOWN
 from tabprobe.sources.io import table
 
@@ -83,3 +83,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs)).withColumn("kept", F.col("score") >= 0.5)
+
+
+@query("op9_ngram_join")
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
