@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import exact_dedup, license_scan, ngram_join, packing, quality, toxicity
+from tabprobe.llm import exact_dedup, license_scan, multi_index, ngram_join, packing, quality, toxicity
 from tabprobe.llm.license_texts import KNOWN
 from tabprobe.sources.io import table
 
@@ -99,3 +99,8 @@ def tokenizer_path(name: str) -> str:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query("op3_multi_index")
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
