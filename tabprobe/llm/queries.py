@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import exact_dedup, license_scan, multi_index, ngram_join, packing, quality, toxicity
+from tabprobe.llm import exact_dedup, license_scan, multi_index, ngram_join, packing, quality, toxicity, warc
 from tabprobe.llm.license_texts import KNOWN
 from tabprobe.sources.io import table
 
@@ -104,3 +104,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_multi_index")
 def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op10_warc", f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p WHERE n >= {warc.LEAST_BYTES} GROUP BY h)
+SELECT p.page_id, p.n AS payload_bytes, p.h AS payload_digest,
+       CASE WHEN f.first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
+FROM p LEFT JOIN f ON f.h = p.h
+""")
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
