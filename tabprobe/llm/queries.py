@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import exact_dedup, license_scan, multi_index, ngram_join, packing, quality, toxicity, warc
+from tabprobe.llm import exact_dedup, license_scan, line_dedup, multi_index, ngram_join, packing, quality, toxicity, warc
 from tabprobe.llm.license_texts import KNOWN
 from tabprobe.sources.io import table
 
@@ -116,3 +116,8 @@ FROM p LEFT JOIN f ON f.h = p.h
 """)
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
+@query("op4_line_dedup")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
