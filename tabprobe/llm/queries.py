@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import exact_dedup, license_scan, line_dedup, multi_index, ngram_join, packing, quality, toxicity, warc
+from tabprobe.llm import exact_dedup, license_scan, line_dedup, multi_index, ngram_join, packing, quality, sentencepieces, toxicity, warc
 from tabprobe.llm.license_texts import KNOWN
 from tabprobe.sources.io import table
 
@@ -121,3 +121,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_line_dedup")
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op1_sentencepiece")
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = sentencepieces.load(tokenizer_path("piece_bpe_32k.model"))
+    decoded = sentencepieces.decode(sentencepieces.encode(docs, model), model)
+    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2("text", 256).alias("decoded_sha256"))
