@@ -28,9 +28,11 @@ PREFIX_CHARS = 64
 
 
 def _with_levels(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, buckets: int,
-                 carry: tuple[str, ...] = ()) -> DataFrame:
-    """(*carry, __id, __text, __candidate): whether another row may have an equal text."""
-    base = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{id_col}`").alias("__id"),
+                 carry: bool = False) -> DataFrame:
+    """(__id, __text, __candidate): whether another row may have an equal text; with ``carry`` also __row, all
+    columns in one, so that no name can clash."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")] if carry else []
+    base = docs.select(*row, F.col(f"`{id_col}`").alias("__id"),
                        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
 
     def length_bucket() -> Column:
@@ -80,12 +82,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 prefix_chars: int = PREFIX_CHARS, buckets: int = BUCKETS) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns. Only texts that
     share length and prefix with another are moved."""
-    columns = docs.columns
-    levels = _with_levels(docs, id_col, text_col, prefix_chars, buckets, carry=tuple(columns))
+    levels = _with_levels(docs, id_col, text_col, prefix_chars, buckets, carry=True)
     many = levels.filter("__candidate").withColumn("__sha", _full_hash())
-    keep = (many.groupBy("__sha").agg(F.max("__id").alias("__keep")))
-    kept = (many.join(keep.withColumnRenamed("__sha", "__ksha"),
-                      (F.col("__sha") == F.col("__ksha")) & F.col("__id").eqNullSafe(F.col("__keep")), "left_semi")
+    keep = many.groupBy("__sha").agg(F.max("__id").alias("__keep")).withColumnRenamed("__sha", "__ksha")
+    kept = (many.join(keep, (F.col("__sha") == F.col("__ksha")) & F.col("__id").eqNullSafe(F.col("__keep")), "left_semi")
             .dropDuplicates(["__sha", "__id"]))
-    names = [F.col(f"`{c}`") for c in columns]
-    return levels.filter(~F.col("__candidate")).select(*names).unionByName(kept.select(*names))
+    return levels.filter(~F.col("__candidate")).select("__row").unionByName(kept.select("__row")).select("__row.*")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprobe.llm._common import chunks_by_bytes, mixed, stored, text_array, word_codes, word_hashes
+from tabprobe.llm._common import chunks_by_bytes, mixed, small_batches, stored, text_array, word_codes, word_hashes
 from tabprobe.llm.graph import connected_components
 
 N = 5
@@ -64,7 +64,7 @@ def ngrams(texts: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndar
         for k in range(n):  # positions beyond the text's end stay out, so that short texts give one n-gram
             rolled *= np.uint64(0x9E3779B97F4A7C15)
             ahead = np.zeros(len(h), np.uint64)
-            ahead[:len(h) - k or None] = h[k:]
+            ahead[:max(len(h) - k, 0)] = h[k:]
             rolled += np.where(place + k < count[doc], ahead + np.uint64(k + 1), np.uint64(0))
         starts = np.flatnonzero(place <= np.maximum(count[doc] - n, 0))
         digests = np.zeros((len(texts), 2), np.uint64)
@@ -187,6 +187,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     ``rep_id`` (smallest id of the texts with the same words), ``n_links`` (other documents whose n-gram sets
     have a Jaccard similarity of ``threshold`` or more, copies included) and ``n_ngrams`` (with repeats)."""
     bands, rows = bands_for(threshold, recall)
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     signed = stored(_signed(texts, n, bands, rows), "signatures")
     reps = stored(signed.filter("size > 0 and id is not null").groupBy("d1", "d2").agg(
@@ -255,11 +256,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` whose id is their class's smallest, with all their columns. A fixed number of flags
     of the ids to drop is broadcast; only flagged rows are shuffled."""
     drop = stored(ngram_join(docs, id_col=id_col, text_col=text_col, **options)
-                  .filter(f"class_id <> `{id_col}`").select(F.col(f"`{id_col}`").alias("__drop")).distinct(), "drop")
-    flags = drop.select(F.pmod(F.xxhash64("__drop"), F.lit(BUCKETS)).alias("__flag")).distinct().withColumn("__hit", F.lit(True))
-    marked = (docs.withColumn("__flag", F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(BUCKETS)))
-              .join(F.broadcast(flags), "__flag", "left"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    hit = marked.filter("__hit")
-    kept = hit.join(drop, hit[id_col] == drop["__drop"], "left_anti")
-    return marked.filter("__hit is null").select(*names).unionByName(kept.select(*names))
+                  .filter(f"class_id <> `{id_col}`").select(F.col(f"`{id_col}`").alias("drop")).distinct(), "drop")
+    flags = drop.select(F.pmod(F.xxhash64("drop"), F.lit(BUCKETS)).alias("flag")).distinct().withColumn("hit", F.lit(True))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"))
+    marked = rows.withColumn("flag", F.pmod(F.xxhash64("id"), F.lit(BUCKETS))).join(F.broadcast(flags), "flag", "left")
+    kept = marked.filter("hit").join(drop, F.col("id") == F.col("drop"), "left_anti")
+    return marked.filter("hit is null").select("row").unionByName(kept.select("row")).select("row.*")
