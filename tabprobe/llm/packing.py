@@ -1,9 +1,10 @@
 """Packing of documents into fixed-length sequences along a space-filling curve.
 
-Each document's words are hashed into a vector, projected to ``AXES`` dimensions by fixed random signs and placed on
-a Hilbert curve. Documents are range-partitioned and sorted by that key (ties by id, so that copies of one text
-spread over partitions), tokenised where they land, and cut one after the other into sequences of ``LENGTH`` ids.
-Only the last sequence of a partition is shorter, which is all the padding there is.
+Each document's words are hashed into a frequency vector, projected to ``AXES`` dimensions by fixed random signs and
+placed on a Hilbert curve. Documents are range-partitioned by that key (ties by the id's hash, so that copies of one text
+spread over partitions; the ranges come from ``SAMPLE`` documents, which only decides how even they are), sorted,
+tokenised where they land, and cut one after the other into sequences of ``LENGTH`` ids. Only the last sequence of a
+partition is shorter, which is all the padding there is.
 
 Every id of every document, with the end id behind it, lies in exactly one piece. Sequence numbers are the
 partition's number and a count in it; the order in a partition is fixed by key, id and text, so that a task that
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tabprobe.llm._common import chunks_by_bytes, text_array, word_codes, word_hashes
+from tabprobe.llm._common import chunks_by_bytes, small_batches, text_array, word_codes, word_hashes
 from tabprobe.llm.tokenizing import encoder
 
 LENGTH = 2048
@@ -34,19 +35,16 @@ AXES = 4
 BITS = 15  # AXES * BITS < 64
 FEATURES = 1 << 12
 SEED = 99
+SAMPLE = 20_000
 
 
 def projected(texts: pa.Array) -> np.ndarray:
-    """Texts x AXES: hashed word-count vectors at unit length, projected on random signs."""
+    """Texts x AXES: hashed word frequencies, projected on random signs; a text without words is the origin."""
     codes, offsets, dictionary = word_codes(texts)
-    feature = (word_hashes(dictionary) % np.uint64(FEATURES)).astype(np.int64)[codes]
-    doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    key, n = np.unique(doc * FEATURES + feature, return_counts=True)
     signs = np.random.default_rng(SEED).choice([-1.0, 1.0], (FEATURES, AXES))
-    w = np.sqrt(n)
-    norm = np.sqrt(np.bincount(key // FEATURES, weights=w * w, minlength=len(texts)))
-    return np.stack([np.bincount(key // FEATURES, weights=w * signs[key % FEATURES, k], minlength=len(texts))
-                     for k in range(AXES)], axis=1) / np.maximum(norm, 1e-12)[:, None]
+    own = signs[(word_hashes(dictionary) % np.uint64(FEATURES)).astype(np.int64)]
+    n = np.maximum(np.diff(offsets), 1)
+    return np.stack([np.diff(np.concatenate([[0], np.cumsum(own[:, k][codes])])[offsets]) / n for k in range(AXES)], axis=1)
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -79,21 +77,54 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def curve_keys(texts: pa.Array) -> np.ndarray:
-    squashed = (1 + np.tanh(projected(texts) / 2)) / 2
+    squashed = (1 + np.tanh(4 * projected(texts))) / 2
     return hilbert_keys(np.minimum(squashed * (1 << BITS), (1 << BITS) - 1).astype(np.int64))
 
 
-@F.arrow_udf(LongType())
-def curve_key(texts: pa.Array) -> pa.Array:
-    return pa.array(curve_keys(text_array(texts)))
+def _cuts(keyed: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The (key, tie) pairs at which the partitions after the first begin, for about equal bytes."""
+    key, tie, size = (keyed.column(c).to_numpy() for c in ("key", "tie", "size"))
+    order = np.lexsort((tie, key))
+    total = np.cumsum(size[order] + 1.0)
+    at = np.searchsorted(total, total[-1] * np.arange(1, parts) / parts) if len(order) else np.empty(0, np.int64)
+    return key[order][at], tie[order][at]
+
+
+def _partition(key: np.ndarray, tie: np.ndarray, cut_keys: np.ndarray, cut_ties: np.ndarray) -> np.ndarray:
+    low, high = (np.searchsorted(cut_keys, key, side) for side in ("left", "right"))
+    out = low.copy()
+    for row in np.flatnonzero(low < high):  # keys at which a partition begins: the tie decides
+        out[row] += np.searchsorted(cut_ties[low[row]:high[row]], tie[row], "right")
+    return out
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text",
          length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """One row per piece: ``id_col``, ``start`` (the document's ids before it), ``length``, ``ids`` (binary,
     little-endian unsigned 32 bits), ``doc_tokens``, ``sequence_id``, ``offset`` (in the sequence), ``curve_key``."""
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    keyed = texts.withColumn("key", curve_key("text"))
+    spark = docs.sparkSession
+    small_batches(spark)
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("id"))
+
+    # where partitions begin only decides how even they are: a bounded sample of documents will do
+    chosen = texts.select("id").dropna().distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+
+    @F.arrow_udf(LongType())
+    def key_of(column: pa.Array) -> pa.Array:
+        return pa.array(curve_keys(text_array(column)))
+
+    sampled = (texts.join(F.broadcast(chosen), "id", "left_semi")
+               .select(key_of("text").alias("key"), "tie", F.octet_length("text").alias("size")).toArrow())
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = _cuts(sampled, parts)
+
+    @F.arrow_udf("key long, part int")
+    def placed(column: pa.Array, tie: pa.Array) -> pa.Array:
+        keys = curve_keys(text_array(column))
+        part = _partition(keys, tie.to_numpy(), *cuts)
+        return pa.StructArray.from_arrays([pa.array(keys), pa.array(part, pa.int32())], ["key", "part"])
+
+    keyed = texts.withColumn("at", placed("text", "tie")).select("id", "text", F.col("at.key").alias("key"), F.col("at.part").alias("part"))
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4")
 
@@ -118,6 +149,6 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
                     yield pa.record_batch([batch.column("id").take(pa.array(d)), *long, batch.column("key").take(pa.array(d))],
                                           names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "curve_key"])
 
-    return (keyed.repartitionByRange("key", "id").sortWithinPartitions("key", "id", "text")
+    return (keyed.repartitionById(parts, "part").drop("part").sortWithinPartitions("key", "id", "text")
             .mapInArrow(cut, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, "
                              "offset long, curve_key long").withColumnRenamed("id", id_col))

@@ -8,6 +8,7 @@ once. Texts with other runs of white space are encoded whole.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 
 import numpy as np
@@ -16,11 +17,11 @@ import pyarrow.compute as pc
 
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 UNEVEN_SPACE = f"{_SPACE} | {_SPACE}"
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 
 
 class WordEncoder:
-    """Encodes batches of texts; remembers a bounded number of words."""
+    """Encodes batches of texts; remembers a bounded number of words, the ones of the last batches."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -28,17 +29,22 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode_whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        cut = [0, *itertools.accumulate(4 * len(x) for x in found)]
+        raw = np.array(list(itertools.chain.from_iterable(found)), "<u4").tobytes()
+        return [raw[a:b] for a, b in zip(cut, cut[1:])]
 
     def _words(self, words: list[str]) -> list[bytes]:
         if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        self.known.update(zip(new, self.encode_whole(new)))
-        return [self.known[w] for w in words]
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        known.update({w: older[w] for w in words if w not in known and w in older})
+        new = [w for w in words if w not in known]
+        known.update(zip(new, self.encode_whole(new)))
+        return [known[w] for w in words]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): text i has the ids ``ids[offsets[i]:offsets[i + 1]]``, as little-endian unsigned 32 bits."""
