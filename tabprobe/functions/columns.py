@@ -156,15 +156,21 @@ def _drop_digit_underscores(c: Column) -> Column:
     return F.regexp_replace(c, r"(?<=[0-9])_(?=[0-9])", "")
 
 
+# A plain decimal number: the JVM's cast alone would also read type suffixes such as ``12d``.
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"
+
+
 def clean_money_text(c: Column | str) -> Column:
     """Price text → double: free words → 0, strip ``$`` and ``,``, else parse or NULL.
 
-    NaN results become NULL (they are dropped as missing afterwards)."""
+    Only plain decimal numbers parse; infinities count as numbers, NaN as missing."""
     t = F.lower(F.trim(_c(c)))
-    # Python float() also accepts digit-separating underscores ("1_000.5")
-    num = _drop_digit_underscores(F.regexp_replace(t, r"[$,]", "")).try_cast("double")
-    v = F.when(t.isin(FREE_PRICE_TEXTS), F.lit(0.0)).otherwise(num)
-    return F.nanvl(v, F.lit(None).cast("double"))
+    # digit-separating underscores ("1_000.5") are part of a number
+    bare = F.trim(_drop_digit_underscores(F.regexp_replace(t, r"[$,]", "")))
+    infinite = F.regexp_extract(bare, r"^([+-]?)inf(inity)?$", 1)
+    num = (F.when(bare.rlike(_NUMBER), bare.try_cast("double"))
+           .when(bare.rlike(r"^[+-]?inf(inity)?$"), F.when(infinite == "-", F.lit(float("-inf"))).otherwise(F.lit(float("inf")))))
+    return F.when(t.isin(FREE_PRICE_TEXTS), F.lit(0.0)).otherwise(num)
 
 
 def clean_date_text_year(c: Column | str) -> Column:
@@ -175,9 +181,10 @@ def clean_date_text_year(c: Column | str) -> Column:
 
 
 def clean_leading_int(c: Column | str, default: int = 0) -> Column:
-    """First whitespace-separated token as an int, else ``default``."""
+    """First whitespace-separated token as a 64-bit int, else ``default``."""
     tok = _drop_digit_underscores(F.get(F.split(F.trim(_c(c)), r"\s+"), 0))
-    return F.coalesce(tok.try_cast("int"), F.lit(default))
+    whole = F.when(tok.rlike(r"^[+-]?[0-9]+$"), tok.try_cast("bigint"))
+    return F.coalesce(whole, F.lit(default).cast("bigint"))
 
 
 def split_list(c: Column | str, pattern: str = r",\s*") -> Column:

@@ -47,9 +47,14 @@ def dropna_subset(df: DataFrame, subset: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(subset))
 
 
+# The characters Python's str.strip() removes.
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+              "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def filter_blank(df: DataFrame, name: str) -> DataFrame:
-    """Keep rows whose trimmed text is non-empty (NULL dropped)."""
-    return df.filter(F.trim(col(name)) != "")
+    """Keep rows whose text holds more than white space (NULL dropped)."""
+    return df.filter(F.trim(col(name), F.lit(WHITESPACE)) != "")
 
 
 def split_by(df: DataFrame, cond: Column) -> tuple[DataFrame, DataFrame]:

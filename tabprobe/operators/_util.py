@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabprobe.sources.io import col
+
 # Row bound under which a side table is broadcast; larger tables are joined
 # with a shuffle (AQE may still pick broadcast at runtime).
 BROADCAST_ROWS = 500_000
@@ -22,3 +26,17 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS, n_rows: int |
     e.g. checkpointed)."""
     n = df.count() if n_rows is None else n_rows
     return F.broadcast(df) if n <= limit else df
+
+
+def numeric_frame(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """The group keys and the columns as doubles, under the missing-value rules of every profile operator:
+    NaN is NULL, and rows with a NULL group key belong to no group."""
+    for b in by:
+        df = df.filter(col(b).isNotNull())
+    return df.select(*[col(b) for b in by],
+                     *[F.nanvl(col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
+
+
+def numeric_long(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), value: str = "value") -> DataFrame:
+    """:func:`numeric_frame` unpivoted to (``by``…, ``column``, ``value``)."""
+    return numeric_frame(df, columns, by).unpivot([col(b) for b in by], [col(c) for c in columns], "column", value)

@@ -1,16 +1,14 @@
 """Pairwise-complete correlation matrices (Pearson, Spearman) and top pairs.
 
 Pearson for k columns is computed from partial moments: each task turns its
-Arrow batches into numpy matrices and accumulates, for every column pair,
-``n, Σx, Σy, Σx², Σy², Σxy`` over the rows where both values are present
-(null-masked matrix products).  A task emits k² numbers, the shuffle is
-``partitions × k²`` rows, and ``groupBy(pair)`` sums them.  This replaces
-k(k-1)/2 ``corr`` aggregates (codegen-bound for wide k) with one pass.
-
-Values are shifted by a mean estimated from a bounded sample before
-squaring, so the moment sums do not cancel catastrophically (the result
-does not depend on the shift).  A pair whose variance is (relatively)
-zero yields NULL (pandas NaN) instead of a division error.
+Arrow batches into numpy matrices and keeps, for every column pair over the rows
+where both values are present, ``n``, both means and the centred sums
+``Σ(x-mx)²``, ``Σ(y-my)²``, ``Σ(x-mx)(y-my)`` (null-masked matrix products).  A
+task emits k² numbers; two small aggregates per pair merge them by the
+parallel-variance rule.  This replaces k(k-1)/2 ``corr`` aggregates
+(codegen-bound for wide k) with one pass, and nothing depends on the rows'
+order.  A pair whose spread is no more than rounding error yields NULL (pandas
+NaN) instead of a division error.
 """
 
 from __future__ import annotations
@@ -27,39 +25,75 @@ from tabprobe.operators.ranks import average_ranks
 from tabprobe.operators.stats import numeric_columns
 from tabprobe.sources.io import col
 
-_MOMENT_SCHEMA = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+_MOMENT_SCHEMA = "i int, j int, n double, mx double, my double, vx double, vy double, cxy double"
 
 
-def _partial_moments_fn(k: int, shift: list[float]):
-    c = np.asarray(shift, dtype=np.float64)
+def _merge(a, b):
+    """Moments of two disjoint sets of rows from the moments of each."""
+    na, nb = a[0], b[0]
+    n = na + nb
+    share = np.divide(nb, n, out=np.zeros_like(n), where=n > 0)
+    dx, dy = b[1] - a[1], b[2] - a[2]
+    w = na * share
+    return n, a[1] + dx * share, a[2] + dy * share, a[3] + b[3] + dx * dx * w, a[4] + b[4] + dy * dy * w, a[5] + b[5] + dx * dy * w
 
+
+def _batch_moments(x):
+    """Pairwise moments of a batch (NaN = missing): centred on the column means first, then on each pair's own."""
+    m = ~np.isnan(x)
+    c = np.where(m, x, 0.0).sum(axis=0) / np.maximum(m.sum(axis=0), 1)
+    x0 = np.where(m, x - c, 0.0)
+    mf = m.astype(np.float64)
+    n = mf.T @ mf
+    some = np.maximum(n, 1.0)
+    dx = (x0.T @ mf) / some
+    sq = (x0 * x0).T @ mf
+    vx = np.maximum(sq - n * dx * dx, 0.0)
+    cxy = x0.T @ x0 - n * dx * dx.T
+    mx = np.where(n > 0, c[:, None] + dx, 0.0)
+    return n, mx, mx.T.copy(), vx, vx.T.copy(), cxy
+
+
+def _partial_moments_fn(k: int):
     def fn(batches):
-        n = np.zeros((k, k)); sx = np.zeros((k, k)); sxx = np.zeros((k, k)); sxy = np.zeros((k, k))
-        seen = False
+        total = None
         for b in batches:
             if b.num_rows == 0:
                 continue
-            seen = True
             x = np.column_stack([
                 b.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(k)])
-            m = ~np.isnan(x)
-            mf = m.astype(np.float64)
-            x0 = np.where(m, x - c, 0.0)
-            n += mf.T @ mf
-            sx += x0.T @ mf
-            sxx += (x0 * x0).T @ mf
-            sxy += x0.T @ x0
-        if not seen:
+            own = _batch_moments(x)
+            if total is not None:  # pairs one side has no rows of take the other side's mean
+                own = tuple(own[:1]) + tuple(np.where(own[0] > 0, o, t) for o, t in zip(own[1:3], total[1:3])) + own[3:]
+                total = tuple(total[:1]) + tuple(np.where(total[0] > 0, t, o) for o, t in zip(own[1:3], total[1:3])) + total[3:]
+            total = own if total is None else _merge(total, own)
+        if total is None:
             return
         ii, jj = np.triu_indices(k)
         yield pa.RecordBatch.from_pydict({
             "i": pa.array(ii.astype(np.int32)), "j": pa.array(jj.astype(np.int32)),
-            "n": n[ii, jj], "sx": sx[ii, jj], "sy": sx[jj, ii],
-            "sxx": sxx[ii, jj], "syy": sxx[jj, ii], "sxy": sxy[ii, jj]})
+            **{name: v[ii, jj] for name, v in zip(("n", "mx", "my", "vx", "vy", "cxy"), total)}})
 
     return fn
 
 
+def _corr_from_parts(part: DataFrame) -> DataFrame:
+    """Merge the tasks' moments: the pair's means first, then the centred sums moved to them."""
+    part = part.filter(F.col("n") > 0)
+    tot = part.groupBy("i", "j").agg(F.sum("n").alias("nt"), (F.sum(F.col("n") * F.col("mx")) / F.sum("n")).alias("mxt"),
+                                     (F.sum(F.col("n") * F.col("my")) / F.sum("n")).alias("myt"))
+    dx, dy = F.col("mx") - F.col("mxt"), F.col("my") - F.col("myt")
+    m = part.join(tot, ["i", "j"]).groupBy("i", "j").agg(
+        F.max("nt").alias("n"), F.max("mxt").alias("mx"), F.max("myt").alias("my"),
+        F.sum(F.col("vx") + F.col("n") * dx * dx).alias("vx"), F.sum(F.col("vy") + F.col("n") * dy * dy).alias("vy"),
+        F.sum(F.col("cxy") + F.col("n") * dx * dy).alias("cxy"))
+    n, noise = F.col("n"), 1e-28  # of the squared mean: what rounding leaves of a constant column
+    flat = (n < 2) | (F.col("vx") <= n * noise * F.col("mx") ** 2) | (F.col("vy") <= n * noise * F.col("my") ** 2)
+    r = F.when(flat, F.lit(None).cast("double")).otherwise(F.least(F.lit(1.0), F.greatest(
+        F.lit(-1.0), F.col("cxy") / (F.sqrt("vx") * F.sqrt("vy")))))
+    return m.select("i", "j", n.cast("long").alias("n"), r.alias("corr"))
+
+
 def _corr_from_moments(m: DataFrame) -> DataFrame:
     n = F.col("n")
     cov = F.col("sxy") / n - (F.col("sx") / n) * (F.col("sy") / n)
@@ -77,13 +111,11 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     cols = list(columns)
     x = df.select(*[F.nanvl(col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}")
                     for i, c in enumerate(cols)])
-    # any shift gives the same result algebraically; one near the mean keeps
-    # the moment sums well conditioned, so a bounded sample is enough (no pass)
-    means = x.limit(10_000).agg(*[F.avg(f"c{i}") for i in range(len(cols))]).first()
-    shift = [float(v) if v is not None else 0.0 for v in means]
-    part = x.mapInArrow(_partial_moments_fn(len(cols), shift), _MOMENT_SCHEMA)
-    summed = part.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    return _corr_from_moments(summed)
+    part = _corr_from_parts(x.mapInArrow(_partial_moments_fn(len(cols)), _MOMENT_SCHEMA))
+    # pairs without a common row keep theirs
+    spark = df.sparkSession
+    grid = spark.createDataFrame([(i, j) for i in range(len(cols)) for j in range(i, len(cols))], "i int, j int")
+    return grid.join(part, ["i", "j"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 def _rank_columns(x: DataFrame, names: list[str]) -> DataFrame:

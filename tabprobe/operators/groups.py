@@ -114,7 +114,6 @@ def median_by(df: DataFrame, keys: Sequence[str], value: str, **qkw) -> DataFram
     src = _nonnull_keys(df, keys).select(*[col(k) for k in keys], col(value).alias("_val"))
     # low-accuracy sketches keep per-group state small when groups are many
     qkw.setdefault("accuracy", 1000)
-    qkw.setdefault("total_bound", src.count())
     q = exact_quantiles(src, keys, "_val", [0.5], **qkw)
     return q.select(*keys, F.col("q").alias("median"))
 
@@ -123,7 +122,6 @@ def quantile_scalar(df: DataFrame, value: str, p: float, **qkw) -> DataFrame:
     """One exact quantile of one column as a one-row table (``n``, ``q``)."""
     from tabprobe.operators.quantiles import exact_quantiles
     src = df.select(F.lit(value).alias("column"), col(value).alias("_val"))
-    qkw.setdefault("total_bound", df.count())
     return exact_quantiles(src, ["column"], "_val", [p], **qkw).select("n", "q")
 
 

@@ -25,7 +25,6 @@ distributed rank (range partitioning, no single-partition window).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -160,20 +159,3 @@ def kendall_pairs(df: DataFrame, columns: Sequence[str], cap: int = 20_000) -> D
                        F.col("n").cast("long").alias("n"),
                        F.least(F.lit(1.0), F.greatest(F.lit(-1.0), tau)).alias("corr"))
     return off.unionByName(diag.select("i", "j", F.col("n").cast("long").alias("n"), "corr"))
-
-
-def brute_force_tau_b(x: Sequence[float | None], y: Sequence[float | None]) -> float:
-    """O(n²) reference used by tests."""
-    pts = [(a, b) for a, b in zip(x, y) if a is not None and b is not None
-           and not (isinstance(a, float) and math.isnan(a)) and not (isinstance(b, float) and math.isnan(b))]
-    s = n1 = n2 = 0
-    for i in range(len(pts)):
-        for j in range(i + 1, len(pts)):
-            dx = (pts[i][0] > pts[j][0]) - (pts[i][0] < pts[j][0])
-            dy = (pts[i][1] > pts[j][1]) - (pts[i][1] < pts[j][1])
-            s += dx * dy
-            n1 += dx == 0
-            n2 += dy == 0
-    n0 = len(pts) * (len(pts) - 1) // 2
-    den = (n0 - n1) * (n0 - n2)
-    return s / math.sqrt(den) if den > 0 else float("nan")

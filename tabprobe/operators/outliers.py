@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from tabprobe.operators.quantiles import column_quantiles, quantile_wide
 from tabprobe.operators.stats import numeric_columns
-from tabprobe.operators._util import broadcast_if_small, persist
-from tabprobe.sources.io import col
+from tabprobe.operators._util import broadcast_if_small, numeric_long, persist
 
 
 def outlier_report_iqr(df: DataFrame, columns: Sequence[str] | None = None,
                        multiplier: float = 1.5, by: Sequence[str] = (), **qkw) -> DataFrame | None:
     """Per column: outliers strictly outside ``[q1 - k·iqr, q3 + k·iqr]``, their
-    share of **all** rows (NULLs included), the bounds, min and max.
+    share of **all** rows (missing values included, NULL groups not), the bounds,
+    min and max.  NaN counts as missing.
 
     Quartiles are exact; the counting pass joins the per-(group, column)
     bounds (one row per output row) to the unpivoted values."""
@@ -29,8 +29,7 @@ def outlier_report_iqr(df: DataFrame, columns: Sequence[str] | None = None,
     bounds = qs.select(*by, "column",
                        (F.col("q1") - multiplier * (F.col("q3") - F.col("q1"))).alias("lower_bound"),
                        (F.col("q3") + multiplier * (F.col("q3") - F.col("q1"))).alias("upper_bound"))
-    long = df.select(*[col(x) for x in by], *[col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [col(x) for x in by] if by else [], [col(c) for c in cols], "column", "value")
+    long = numeric_long(df, cols, by)
     if by:
         bounds = persist(bounds)
         j = long.join(broadcast_if_small(bounds), by + ["column"], "left")

@@ -13,9 +13,8 @@ from pyspark.sql import types as T
 from tabprobe.sources.io import col
 
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
-# Duplicate-hash sets up to this many keys are broadcast for the candidate
-# semi join; beyond it the exact grouped path is used.
-DUP_BROADCAST_KEYS = 4_000_000
+# Hash flags for the duplicate check: a table of at most this many rows, whatever the input.
+DUP_FLAGS = 1 << 20
 
 
 def hashable_columns(df: DataFrame) -> list[str]:
@@ -23,27 +22,20 @@ def hashable_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not isinstance(f.dataType, _NESTED)]
 
 
-# Above this many countable columns the distinct counts run as one unpivoted
-# two-stage aggregation: measured at sf0.1 (600k rows), 30 columns took 144 s
-# as a single aggregate with one count(DISTINCT) per column and 18 s two-stage.
-WIDE_DISTINCT_COLUMNS = 10
-
-
-def _exact_text(c, dtype: T.DataType):
-    """Injective text form of a value for distinct counting in a long table:
-    -0.0 is folded into 0.0 (equal values), binary is base64-encoded."""
-    if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return F.when(c == 0, F.lit(0.0).cast(dtype)).otherwise(c).cast("string")
-    if isinstance(dtype, T.BinaryType):
-        return F.base64(c)
-    return c.cast("string")
-
-
-def _distinct_counts_long(df: DataFrame, fields: list) -> DataFrame:
-    recs = F.array(*[F.struct(F.lit(f.name).alias("column"), _exact_text(_value(f), f.dataType).alias("v"))
-                     for f in fields])
-    long = df.select(F.inline(recs)).filter(F.col("v").isNotNull())
-    per_value = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("_k"))
+def _distinct_counts(df: DataFrame, fields: list, approx: bool) -> DataFrame:
+    """(column, _card, _nn) over the unpivoted values. Exact counts shuffle 128-bit hashes of the values, combined
+    map side, so that long texts stay where they are."""
+    recs = []
+    for f in fields:
+        c = _value(f)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = F.when(c == 0, F.lit(0.0).cast(f.dataType)).otherwise(c)  # -0.0 equals 0.0
+        recs.append(F.struct(F.lit(f.name).alias("column"), F.when(c.isNotNull(), F.xxhash64(c)).alias("h1"),
+                             F.when(c.isNotNull(), F.xxhash64(F.lit("second"), c)).alias("h2")))
+    long = df.select(F.inline(F.array(*recs))).filter(F.col("h1").isNotNull())
+    if approx:
+        return long.groupBy("column").agg(F.approx_count_distinct("h1").alias("_card"), F.count(F.lit(1)).alias("_nn"))
+    per_value = long.groupBy("column", "h1", "h2").agg(F.count(F.lit(1)).alias("_k"))
     return per_value.groupBy("column").agg(F.count(F.lit(1)).alias("_card"), F.sum("_k").alias("_nn"))
 
 
@@ -64,52 +56,32 @@ def data_quality_report(df: DataFrame, approx: bool = False) -> DataFrame:
     * sample = the smallest non-null value as text (deterministic stand-in for
       "first row"), '' when the column is empty or nested.
 
-    Counts and samples come from one aggregate.  Distinct counts are part of
-    it for narrow tables; wider tables count them in one unpivoted two-stage
-    aggregation (map-side de-duplication of (column, value)).
+    Samples come from one aggregate, counts and distinct counts from one unpivoted
+    two-stage aggregation (map-side de-duplication of (column, value hash)).
     """
     fields = df.schema.fields
     countable = [f for f in fields if not isinstance(f.dataType, _NESTED)]
-    wide = not approx and len(countable) > WIDE_DISTINCT_COLUMNS
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(fields):
-        c = _value(f)
-        # wide tables take non-null counts of countable columns from the long pass
-        aggs.append((F.lit(None).cast("long") if wide and not isinstance(f.dataType, _NESTED)
-                     else F.count(c)).alias(f"_nn{i}"))
-        if isinstance(f.dataType, _NESTED):
-            aggs.append(F.lit(None).cast("long").alias(f"_cd{i}"))
-            aggs.append(F.lit("").alias(f"_s{i}"))
-        else:
-            if wide:
-                aggs.append(F.lit(None).cast("long").alias(f"_cd{i}"))
-            else:
-                aggs.append((F.approx_count_distinct(c) if approx else F.count_distinct(c)).alias(f"_cd{i}"))
-            aggs.append(F.min(c).cast("string").alias(f"_s{i}"))
+        nested = isinstance(f.dataType, _NESTED)
+        aggs.append((F.count(col(f.name)) if nested else F.lit(None).cast("long")).alias(f"_nn{i}"))
+        aggs.append((F.lit("") if nested else F.min(_value(f)).cast("string")).alias(f"_s{i}"))
     one = df.agg(*aggs)
     rows = F.array(*[
-        F.struct(
-            F.lit(f.name).alias("column"),
-            F.lit(f.dataType.simpleString()).alias("dtype"),
-            F.col(f"_nn{i}").alias("non_null"),
-            (F.col("_rows") - F.col(f"_nn{i}")).alias("nulls"),
-            F.try_divide((F.col("_rows") - F.col(f"_nn{i}")) * F.lit(100.0), F.col("_rows")).alias("null_pct"),
-            F.col(f"_cd{i}").cast("long").alias("cardinality"),
-            F.coalesce(F.col(f"_s{i}"), F.lit("")).alias("sample"),
-        ) for i, f in enumerate(fields)
-    ])
-    report = one.select(F.inline(rows))
-    if not wide:
-        return report
-    cards = _distinct_counts_long(df, countable)
-    rows_total = one.select("_rows").scalar()
-    out = report.join(F.broadcast(cards), "column", "left")
-    nested = [f.name for f in fields if isinstance(f.dataType, _NESTED)]
-    is_nested = F.col("column").isin(nested)
-    nn = F.when(is_nested, F.col("non_null")).otherwise(F.coalesce(F.col("_nn"), F.lit(0))).cast("long")
-    card = F.when(is_nested, F.lit(None).cast("long")).otherwise(F.coalesce(F.col("_card"), F.lit(0)).cast("long"))
-    return out.select("column", "dtype", nn.alias("non_null"), (rows_total - nn).alias("nulls"),
-                      F.try_divide((rows_total - nn) * F.lit(100.0), rows_total).alias("null_pct"),
+        F.struct(F.lit(i).alias("_i"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"),
+                 F.col(f"_nn{i}").alias("_known"), F.lit(isinstance(f.dataType, _NESTED)).alias("_nested"),
+                 F.coalesce(F.col(f"_s{i}"), F.lit("")).alias("sample"), F.col("_rows").alias("_rows"))
+        for i, f in enumerate(fields)])
+    out = one.select(F.inline(rows))
+    if countable:
+        cards = _distinct_counts(df, countable, approx)  # one row per column
+        out = out.join(cards, "column", "left")
+    else:
+        out = out.withColumns({"_card": F.lit(None).cast("long"), "_nn": F.lit(None).cast("long")})
+    nn = F.when(F.col("_nested"), F.col("_known")).otherwise(F.coalesce("_nn", F.lit(0))).cast("long")
+    card = F.when(~F.col("_nested"), F.coalesce("_card", F.lit(0))).cast("long")
+    return out.select("column", "dtype", nn.alias("non_null"), (F.col("_rows") - nn).alias("nulls"),
+                      F.try_divide((F.col("_rows") - nn) * F.lit(100.0), F.col("_rows")).alias("null_pct"),
                       card.alias("cardinality"), "sample")
 
 
@@ -122,32 +94,24 @@ def missing_values(report: DataFrame) -> DataFrame:
 def duplicate_summary(df: DataFrame) -> DataFrame:
     """total_rows, duplicate_rows (rows minus distinct rows), duplicate_pct.
 
-    Nested columns are ignored.  Exact, in two stages: a 64-bit row hash is
-    counted first (8-byte shuffle keys with map-side combine); only rows
-    whose hash occurs more than once are then grouped on their full values,
-    which separates real duplicates from hash collisions.
+    Nested columns are ignored.  Exact, in two stages: 64-bit row hashes are
+    counted first (8-byte shuffle keys, combined map side); rows in a hash flag
+    that holds a repeated hash are then grouped on their full values, which
+    separates real duplicates from hash collisions.  The flags are a table of at
+    most ``DUP_FLAGS`` rows, so that they can be broadcast.
     """
     spark = df.sparkSession
     cols = hashable_columns(df)
+    schema = "total_rows long, duplicate_rows long, duplicate_pct double"
     if not cols:
-        total = df.count()
-        return spark.createDataFrame([(total, 0, 0.0 if total else 0.0)],
-                                     "total_rows long, duplicate_rows long, duplicate_pct double")
-    h = F.xxhash64(*[col(c) for c in cols]).alias("_h")
-    hc = df.select(h).groupBy("_h").agg(F.count(F.lit(1)).alias("_c"))
-    total, singles, multi_keys = hc.agg(
-        F.coalesce(F.sum("_c"), F.lit(0)), F.count_if(F.col("_c") == 1), F.count_if(F.col("_c") > 1)).first()
-    distinct_multi = 0
-    if multi_keys:
-        keys = hc.filter(F.col("_c") > 1).select("_h")
-        if multi_keys <= DUP_BROADCAST_KEYS:
-            cand = df.withColumn("_h", h).join(F.broadcast(keys), "_h", "left_semi")
-            distinct_multi = cand.select(*[col(c) for c in cols]).distinct().count()
-        else:
-            # many repeated hashes: the duplicates dominate, group the full rows
-            distinct_all = df.select(*[col(c) for c in cols]).distinct().count()
-            distinct_multi = distinct_all - singles
-    dups = int(total) - int(singles) - int(distinct_multi)
-    pct = (dups / total * 100.0) if total else 0.0
-    return spark.createDataFrame([(int(total), dups, pct)],
-                                 "total_rows long, duplicate_rows long, duplicate_pct double")
+        return spark.createDataFrame([(df.count(), 0, 0.0)], schema)
+    h = F.xxhash64(*[col(c) for c in cols])
+    flag = F.pmod(h, F.lit(DUP_FLAGS))
+    flags = (df.select(h.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+             .select(F.pmod("_h", F.lit(DUP_FLAGS)).alias("_f")).distinct())
+    rows = df.select(*[col(c) for c in cols], flag.alias("_f"))
+    groups = rows.join(F.broadcast(flags), "_f", "left_semi").groupBy(*[col(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
+    dups = groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("d")).select("d").scalar()
+    total = df.select(F.count(F.lit(1)).alias("t")).scalar()
+    return spark.range(1).select(total.alias("total_rows"), dups.alias("duplicate_rows"),
+                                 F.coalesce(F.try_divide(dups * F.lit(100.0), total), F.lit(0.0)).alias("duplicate_pct"))

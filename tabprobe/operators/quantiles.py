@@ -30,11 +30,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprobe.operators._util import broadcast_if_small
+from tabprobe.operators._util import broadcast_if_small, numeric_long
 from tabprobe.operators._util import persist as _persist
 from tabprobe.sources.io import col
 
 
+_LARGEST = 1.7976931348623157e308  # the largest finite double
+
+
 def _refine(base: DataFrame, t: DataFrame, keys: list[str], max_bracket: int, bins: int,
             max_rounds: int) -> DataFrame:
     """Shrink ``[_lo, _hi]`` (with exact ``_below``/``_inside``) of targets in
@@ -47,8 +50,9 @@ def _refine(base: DataFrame, t: DataFrame, keys: list[str], max_bracket: int, bi
         if n_big == 0:
             break
         bsel = big.select(*keys, "p", "_lo", "_hi", "_below", "_klo", "_khi")
-        width = F.col("_hi") - F.col("_lo")
-        b = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * bins), F.lit(bins - 1)).cast("int")
+        # halves, since the difference of two large numbers may be infinite
+        share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        b = F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
         hist = (base.join(broadcast_if_small(bsel.select(*keys, "p", "_lo", "_hi"), n_rows=n_big), keys)
                 .filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
                 .groupBy(*keys, "p", b.alias("_b"))
@@ -76,6 +80,8 @@ def _refine(base: DataFrame, t: DataFrame, keys: list[str], max_bracket: int, bi
             F.when(refined, F.col("_nbelow")).otherwise(F.col("_below")).alias("_below"),
             F.when(refined, F.col("_nend") - F.col("_nbelow")).otherwise(F.col("_inside")).alias("_inside"),
         ))
+    else:
+        raise RuntimeError(f"quantile brackets did not shrink in {max_rounds} rounds")
     return t
 
 
@@ -100,34 +106,12 @@ def _select(base: DataFrame, t: DataFrame, keys: list[str], n_targets: int) -> D
                          ((F.col("_a._side") == 0) & (F.col("_b._side") == 0)).alias("_ok"))
 
 
-# Up to this many values in total, Spark's exact ``percentile`` (a value→count
-# map per group) is used in a single pass: its memory is bounded by the same
-# number.  Larger inputs take the bracket algorithm.
-SMALL_EXACT_VALUES = 5_000_000
-
-
-def _small_exact(allv: DataFrame, keys: list[str], probs: list[float], extra_aggs: dict) -> DataFrame:
-    g = allv.groupBy(*keys).agg(F.count("_v").alias("n"),
-                                F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_qs"),
-                                *[a.alias(k) for k, a in extra_aggs.items()])
-    rows = F.arrays_zip(F.array(*[F.lit(p) for p in probs]).alias("p"), F.col("_qs").alias("q"))
-    out = g.select(*keys, "n", *extra_aggs, F.explode(rows).alias("_pq"))
-    return _persist(out.select(*keys, "_pq.p", "n", F.when(F.col("n") > 0, F.col("_pq.q")).alias("q"),
-                               *extra_aggs))
-
-
 def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str,
                     probs: Sequence[float], accuracy: int = 10_000,
                     max_bracket: int = 10_000, bins: int = 1024,
-                    max_rounds: int = 12, approx_start: bool = True,
-                    extra_aggs: dict | None = None, total_bound: int | None = None) -> DataFrame:
+                    max_rounds: int = 40, approx_start: bool = True) -> DataFrame:
     """Quantiles of ``value`` per ``keys`` group.
 
-    ``extra_aggs`` (name → aggregate over the value column ``_v``, NaN
-    already NULL) are computed in the same first pass and returned on every
-    output row.  ``total_bound`` is a known upper bound on the number of
-    values; at most ``SMALL_EXACT_VALUES`` selects the one-pass path.
-
     Returns ``keys…, p, n, q`` (``n`` non-null values; ``q`` NULL when n = 0),
     with pandas/DuckDB linear interpolation: ``h=(n-1)p``,
     ``q = x[floor h] + (h - floor h)(x[ceil h] - x[floor h])``.
@@ -136,18 +120,15 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str,
     """
     keys = list(keys)
     v = col(value).cast("double")
-    allv = long_df.select(*[col(k) for k in keys], F.nanvl(v, F.lit(None).cast("double")).alias("_v"))
+    # infinities rank as the largest finite numbers, so that bucket widths stay finite, and come back at the end
+    v = F.greatest(F.lit(-_LARGEST), F.least(F.lit(_LARGEST), F.nanvl(v, F.lit(None).cast("double"))))
+    allv = long_df.select(*[col(k) for k in keys], F.when(col(value).isNotNull(), v).alias("_v"))
     base = allv.filter(F.col("_v").isNotNull())
     probs = [float(p) for p in probs]
     margin = 3.0 / accuracy
     plist = F.array(*[F.lit(p) for p in probs])
 
-    extra_aggs = extra_aggs or {}
-    extra_names = list(extra_aggs)
-    if total_bound is not None and total_bound <= SMALL_EXACT_VALUES:
-        return _small_exact(allv, keys, probs, extra_aggs)
-    aggs = [F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-            *[a.alias(k) for k, a in extra_aggs.items()]]
+    aggs = [F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")]
     if approx_start:
         br = []
         for p in probs:
@@ -192,12 +173,13 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str,
         res = res.filter(F.col("_ok")).unionByName(redo)
 
     # groups whose values are all NULL keep a row with n = 0 and q NULL
-    allp = stats.select(*keys, "_n", *extra_names, F.explode(plist).alias("p"))
+    allp = stats.select(*keys, "_n", F.explode(plist).alias("p"))
     frac = t.select(*keys, "p", "_frac")
     out = allp.join(frac, keys + ["p"], "left").join(res, keys + ["p"], "left")
-    qv = F.when(F.col("_frac") == 0, F.col("_xlo")).otherwise(
-        F.col("_xlo") + F.col("_frac") * (F.col("_xhi") - F.col("_xlo")))
-    return _persist(out.select(*keys, "p", F.col("_n").alias("n"), qv.alias("q"), *extra_names))
+    low, high = (F.when(F.col(c) >= _LARGEST, F.lit(float("inf"))).when(F.col(c) <= -_LARGEST, F.lit(float("-inf")))
+                 .otherwise(F.col(c)) for c in ("_xlo", "_xhi"))
+    qv = F.when((F.col("_frac") == 0) | (low == high), low).otherwise(low + F.col("_frac") * (high - low))
+    return _persist(out.select(*keys, "p", F.col("_n").alias("n"), qv.alias("q")))
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
@@ -205,11 +187,7 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
     """Quantiles of several numeric columns (optionally per group) in one set of
     passes: the columns are unpivoted to ``(column, value)``."""
     by = list(by)
-    long = (df.select(*[col(b) for b in by], *[col(c).cast("double").alias(c) for c in columns])
-            .unpivot([col(b) for b in by] if by else [], [col(c) for c in columns], "column", "value"))
-    if "total_bound" not in kw:
-        # row count of a plain scan comes from file footers
-        kw["total_bound"] = df.count() * len(columns)
+    long = numeric_long(df, columns, by)
     return exact_quantiles(long, by + ["column"], "value", probs, **kw)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprobe.operators._util import broadcast_if_small, persist
-from tabprobe.sources.io import col
+from tabprobe.sources.io import col, q
 
 
 def _offsets(part: DataFrame, keys: list[str], weight: str) -> DataFrame:
@@ -61,5 +61,10 @@ def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     off = _offsets(part, keys, "_one")
     w = Window.partitionBy(*keys, "_pid").orderBy(*[col(o) for o in order])
     local = part.withColumn("_local", F.row_number().over(w) - 1)
-    out = local.join(broadcast_if_small(off), keys + ["_pid"])
+    # NULL keys are a group of their own: compare them null-safely
+    off = off.select("_off", F.col("_pid").alias("_opid"), *[col(k).alias(f"_o_{i}") for i, k in enumerate(keys)])
+    same = F.col("_pid") == F.col("_opid")
+    for i, k in enumerate(keys):
+        same = same & local[q(k)].eqNullSafe(F.col(f"_o_{i}"))
+    out = local.join(broadcast_if_small(off), same).drop("_opid", *[f"_o_{i}" for i in range(len(keys))])
     return out.withColumn(name, F.col("_off") + F.col("_local")).drop("_pid", "_one", "_off", "_local")

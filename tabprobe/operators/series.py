@@ -34,25 +34,18 @@ def _features(df: DataFrame, part: list, order, value: str, window: int,
                                       F.stddev_samp(F.col(ret)).over(wr)))
 
 
-# Entities with more rows than this are windowed in blocks (with ``"auto"``).
-AUTO_BLOCK_ROWS = 1_000_000
-
-
 def series_features(df: DataFrame, entity: str, time: str, value: str, window: int = 20,
-                    block_rows: int | str | None = "auto", ret: str = "daily_return",
+                    block_rows: int | None = None, ret: str = "daily_return",
                     logret: str = "log_return", vol: str | None = None,
                     norm: str = "normalized") -> DataFrame:
     """Adds percent change (×100), log return, rolling sample std of the percent
     change over ``window`` rows (only when all ``window`` values exist) and the
     value rebased to 100 at the entity's first row.
 
-    ``block_rows="auto"`` measures the largest entity (one aggregate) and
-    switches to blocked windows when it exceeds ``AUTO_BLOCK_ROWS``; ``None``
-    forces plain per-entity windows."""
+    ``block_rows`` cuts the series of every entity into blocks of that many rows
+    (see above); without it each entity is one window.  Both give the same rows;
+    rows without an entity form a series of their own, which is not rebased."""
     vol = vol or f"volatility_{window}"
-    if block_rows == "auto":
-        largest = df.groupBy(col(entity)).count().agg(F.max("count")).first()[0] or 0
-        block_rows = AUTO_BLOCK_ROWS if largest > AUTO_BLOCK_ROWS else None
     first = (df.filter(col(entity).isNotNull())
              .groupBy(col(entity)).agg(F.min_by(col(value), col(time)).alias("_first")))
     if block_rows is None:

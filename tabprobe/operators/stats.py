@@ -1,9 +1,10 @@
 """Descriptive statistics, histograms and box summaries for numeric columns.
 
-Moments come from one aggregate over the wide frame (map-side partial
+Moments come from one aggregate over the unpivoted values (map-side partial
 aggregation, one shuffle of a few numbers per partition); exact quartiles
 come from :mod:`tabprobe.operators.quantiles`.  Results are long tables with
-one row per (group…, column).
+one row per (group…, column).  NaN counts as missing and NULL group keys belong
+to no group.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabprobe.operators.quantiles import column_quantiles, quantile_wide
-from tabprobe.operators._util import broadcast_if_small, persist
+from tabprobe.operators._util import broadcast_if_small, numeric_frame, numeric_long, persist
 from tabprobe.sources.io import col
 
 
@@ -36,19 +37,20 @@ def _kurt_corrected(g2, n):
     return F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
 
 
-# Above this many columns moments are aggregated over the unpivoted values
-# (one small aggregate per (group, column)) instead of one wide aggregate:
-# at sf0.1, 30 columns took 100 s as a 210-expression aggregate and 7 s long.
-WIDE_MOMENT_COLUMNS = 8
-
+def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """count, mean, std (ddof 1), min, max, skew (G1), kurtosis (G2) per column, aggregated over the unpivoted values
+    (one small aggregate per (group, column), combined map side). Without groups every column has its row, also on
+    an empty frame.
 
-def _moments_long(df: DataFrame, columns: Sequence[str], by: list[str]) -> DataFrame:
-    long = df.select(*[col(b) for b in by], *[col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [col(b) for b in by] if by else [], [col(c) for c in columns], "column", "_x")
+    Constant columns give skew/kurtosis 0 (pandas), not NULL."""
+    by = list(by)
     x = F.col("_x")
-    m = long.groupBy(*by, "column").agg(
+    m = numeric_long(df, columns, by, "_x").groupBy(*by, "column").agg(
         F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
         F.min(x).alias("min"), F.max(x).alias("max"), F.skewness(x).alias("_g1"), F.kurtosis(x).alias("_g2"))
+    if not by:
+        names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+        m = names.join(m, "column", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     n = F.col("count").cast("double")
     const = F.col("min") == F.col("max")
     skew = F.when(const & (n >= 3), F.lit(0.0)).otherwise(_skew_corrected(F.col("_g1"), n))
@@ -56,33 +58,6 @@ def _moments_long(df: DataFrame, columns: Sequence[str], by: list[str]) -> DataF
     return m.select(*by, "column", "count", "mean", "std", "min", "max", skew.alias("skew"), kurt.alias("kurtosis"))
 
 
-def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """count, mean, std (ddof 1), min, max, skew (G1), kurtosis (G2) per column.
-
-    Constant columns give skew/kurtosis 0 (pandas), not NULL."""
-    by = list(by)
-    if len(columns) > WIDE_MOMENT_COLUMNS:
-        return _moments_long(df, columns, by)
-    aggs = []
-    for i, c in enumerate(columns):
-        x = col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                 F.skewness(x).alias(f"g1_{i}"), F.kurtosis(x).alias(f"g2_{i}")]
-    wide = df.groupBy(*[col(b) for b in by]).agg(*aggs)
-    recs = []
-    for i, c in enumerate(columns):
-        n = F.col(f"n{i}").cast("double")
-        const = F.col(f"lo{i}") == F.col(f"hi{i}")
-        skew = F.when(const & (n >= 3), F.lit(0.0)).otherwise(_skew_corrected(F.col(f"g1_{i}"), n))
-        kurt = F.when(const & (n >= 4), F.lit(0.0)).otherwise(_kurt_corrected(F.col(f"g2_{i}"), n))
-        recs.append(F.struct(
-            F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"m{i}").alias("mean"),
-            F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"),
-            skew.alias("skew"), kurt.alias("kurtosis")))
-    return wide.select(*[col(b) for b in by], F.inline(F.array(*recs)))
-
-
 def descriptive_stats(df: DataFrame, columns: Sequence[str] | None = None,
                       by: Sequence[str] = (), **qkw) -> DataFrame | None:
     """count, mean, std, min, p25, median, p75, max, skew, kurtosis per column.
@@ -107,43 +82,36 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 40, by: Sequenc
               lo: float | None = None, hi: float | None = None) -> DataFrame:
     """Equal-width histogram per column (optionally split by group columns).
 
-    Edges span [min, max] of the whole frame (shared by all groups, as for an
-    overlay), or [lo, hi] when given; values outside are dropped; the last bin
-    is closed.  Empty bins are emitted with count 0.  Output:
-    ``by…, column, bin, bin_lo, bin_hi, count``.
+    Edges span the finite [min, max] of the whole frame (shared by all groups, as
+    for an overlay), or [lo, hi] when given; values outside, so also infinities,
+    are dropped; the last bin is closed.  Empty bins are emitted with count 0.
+    Output: ``by…, column, bin, bin_lo, bin_hi, count``.
     """
     cols = numeric_columns(df, columns)
     by = list(by)
-    sel = df
+    long = numeric_long(df, cols, by).filter(F.col("value").isNotNull() & (F.abs("value") < float("inf")))
     # edges: 2 numbers per column, the only values brought to the driver
-    rng = df.agg(*[F.min(col(c).cast("double")).alias(f"a{i}") for i, c in enumerate(cols)],
-                 *[F.max(col(c).cast("double")).alias(f"b{i}") for i, c in enumerate(cols)]).first()
+    seen = {r["column"]: (r["a"], r["b"]) for r in
+            long.groupBy("column").agg(F.min("value").alias("a"), F.max("value").alias("b")).collect()}
     edges = {}
-    for i, c in enumerate(cols):
-        a = rng[f"a{i}"] if lo is None else float(lo)
-        b = rng[f"b{i}"] if hi is None else float(hi)
-        edges[c] = (a, b)
-    long = sel.select(*[col(x) for x in by], *[col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [col(x) for x in by] if by else [], [col(c) for c in cols], "column", "value")
-    long = long.filter(F.col("value").isNotNull())
-    bmin = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(edges[c][0]))])[F.col("column")]
-    bmax = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(edges[c][1]))])[F.col("column")]
-    width = (bmax - bmin) / F.lit(float(bins))
-    idx = F.when(bmax == bmin, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("value") - bmin) / width), F.lit(bins - 1))).cast("int")
-    counts = (long.filter(F.col("value").between(bmin, bmax))
-              .groupBy(*[col(x) for x in by], "column", idx.alias("bin"))
+    for c in cols:
+        a, b = seen.get(c, (None, None))
+        edges[c] = (a if lo is None else float(lo), b if hi is None else float(hi))
+    first, last = (F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(edges[c][k]).cast("double"))])[F.col("column")]
+                   for k in (0, 1))
+    width = (last - first) / F.lit(float(bins))
+    idx = F.when(last == first, F.lit(0)).otherwise(
+        F.least(F.floor((F.col("value") - first) / width), F.lit(bins - 1))).cast("int")
+    counts = (long.filter(F.col("value").between(first, last))
+              .groupBy(*by, "column", idx.alias("bin"))
               .agg(F.count(F.lit(1)).alias("count")))
     # grid of every (group, column, bin): observed groups × literal bin sequence
-    groups = long.select(*[col(x) for x in by], "column").distinct() if by else \
+    groups = long.select(*by, "column").distinct() if by else \
         df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
     grid = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = grid.join(counts, by + ["column", "bin"], "left").fillna(0, ["count"])
-    bmin2 = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(edges[c][0]))])[F.col("column")]
-    bmax2 = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(edges[c][1]))])[F.col("column")]
-    w2 = (bmax2 - bmin2) / F.lit(float(bins))
-    return out.select(*by, "column", "bin", (bmin2 + F.col("bin") * w2).alias("bin_lo"),
-                      (bmin2 + (F.col("bin") + 1) * w2).alias("bin_hi"), F.col("count").cast("long").alias("count"))
+    return out.select(*by, "column", "bin", (first + F.col("bin") * width).alias("bin_lo"),
+                      (first + (F.col("bin") + 1) * width).alias("bin_hi"), F.col("count").cast("long").alias("count"))
 
 
 def box_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
@@ -157,8 +125,7 @@ def box_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
                        ["q1", "median", "q3"])
     qs = (qs.withColumn("lower_fence", F.col("q1") - whisker * (F.col("q3") - F.col("q1")))
             .withColumn("upper_fence", F.col("q3") + whisker * (F.col("q3") - F.col("q1"))))
-    long = df.select(*[col(x) for x in by], *[col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [col(x) for x in by] if by else [], [col(c) for c in cols], "column", "value")
+    long = numeric_long(df, cols, by)
     # quantile table has one row per (group, column): bounded by the output size
     qs = persist(qs)
     j = long.filter(F.col("value").isNotNull()).join(broadcast_if_small(qs), by + ["column"])
@@ -173,17 +140,23 @@ def box_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
         "mean", "std", "outliers")
 
 
-def scatter_bins(df: DataFrame, x: str, y: str, x_bins: int = 50, y_bins: int = 50) -> DataFrame:
+def scatter_bins(df: DataFrame, x: str, y: str, x_bins: int = 50, y_bins: int = 50, by: Sequence[str] = ()) -> DataFrame:
     """2-D equal-width bin counts of (x, y) — the scale-safe form of a scatter
-    plot (output bounded by ``x_bins × y_bins``, whatever the row count)."""
-    r = df.agg(F.min(col(x)), F.max(col(x)), F.min(col(y)), F.max(col(y))).first()
+    plot, whose output is bounded by ``x_bins × y_bins`` per group whatever the
+    row count.  ``by`` adds the plot's colour, size class or facet columns; edges
+    are shared by all groups.  Rows whose x or y is missing or infinite have no
+    point."""
+    by = list(by)
+    finite = F.abs(F.col("_x")) < float("inf"), F.abs(F.col("_y")) < float("inf")
+    points = (numeric_frame(df.withColumns({"_x": col(x), "_y": col(y)}), ["_x", "_y"], by)
+              .filter(F.col("_x").isNotNull() & F.col("_y").isNotNull() & finite[0] & finite[1]))
+    r = points.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
     xa, xb, ya, yb = [float(v) if v is not None else 0.0 for v in r]
 
     def idx(c, a, b, n):
         if a == b:
             return F.lit(0)
-        return F.least(F.floor((col(c) - F.lit(a)) / ((F.lit(b) - F.lit(a)) / F.lit(float(n)))), F.lit(n - 1)).cast("int")
+        return F.least(F.floor((F.col(c) - F.lit(a)) / ((F.lit(b) - F.lit(a)) / F.lit(float(n)))), F.lit(n - 1)).cast("int")
 
-    return (df.filter(col(x).isNotNull() & col(y).isNotNull())
-            .groupBy(idx(x, xa, xb, x_bins).alias("x_bin"), idx(y, ya, yb, y_bins).alias("y_bin"))
+    return (points.groupBy(*by, idx("_x", xa, xb, x_bins).alias("x_bin"), idx("_y", ya, yb, y_bins).alias("y_bin"))
             .agg(F.count(F.lit(1)).alias("count")))

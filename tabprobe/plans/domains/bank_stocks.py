@@ -13,6 +13,7 @@ from tabprobe.operators import stats as st
 from tabprobe.plans.domains.common import LazyTables
 
 NUM_COLS = ["Open", "High", "Low", "Close", "Volume", "Daily_Return"]
+OUTLIER_COLS = ["Daily_Return", "Volume", "Day_Range"]
 
 
 def clean(df: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def apply_filters(df: DataFrame, tickers=None) -> DataFrame:
     return fl.filter_isin(df, "Ticker", tickers)
 
 
-def results(df: DataFrame, tickers: list[str], days: int = 365) -> dict[str, DataFrame]:
+def results(df: DataFrame, tickers: list[str], days: int = 365, window: int = 20) -> dict[str, DataFrame]:
     mean_ret = gp.nested_mean(df, ["Ticker"], "Daily_Return", "avg")
     kpis = df.agg(F.min("Date").alias("first_date"), F.max("Date").alias("last_date"),
                   F.count_distinct("Ticker").alias("tickers"), F.count(F.lit(1)).alias("rows"))
@@ -39,7 +40,7 @@ def results(df: DataFrame, tickers: list[str], days: int = 365) -> dict[str, Dat
         "kpis": lambda: kpis.withColumn("mean_daily_return", mean_ret.select("mean_avg_per_group").scalar()),
         "trading_days": lambda: gp.span_by_key(df, "Ticker", "Date"),
         "return_hist_by_ticker": lambda: st.histogram(df, ["Daily_Return"], bins=80, by=["Ticker"]),
-        "series": lambda: df.select("Ticker", "Date", "Close", "Normalized", "Volatility_20d", "Volume"),
+        "series": lambda: df.select("Ticker", "Date", "Close", "Normalized", f"Volatility_{window}d", "Volume"),
         "period_return": lambda: se.period_return(df, "Ticker", "Date", "Close", days=days),
         "return_correlation": lambda: cr.correlation_long(pivot, tickers) if len(tickers) > 1 else None,
         "mean_volume": lambda: gp.group_agg(df, ["Ticker"], F.avg("Volume").alias("avg_volume")),
@@ -50,9 +51,9 @@ def run(df: DataFrame, tickers=None) -> dict[str, DataFrame]:
     from tabprobe.plans.domains.common import profile_tables
     feat = features(clean(df))
     if tickers is None:
-        # default selection: the first six tickers (sorted, for determinism)
-        tickers = [r[0] for r in feat.select("Ticker").distinct().orderBy("Ticker").limit(6).collect()]
+        # no selection: every ticker (the pivot's columns, so that their names come to the driver)
+        tickers = [r[0] for r in feat.select("Ticker").distinct().dropna().orderBy("Ticker").collect()]
     sel = apply_filters(feat, tickers)
     out = results(sel, list(tickers))
-    out.update(profile_tables(sel, NUM_COLS, NUM_COLS))
+    out.update(profile_tables(sel, NUM_COLS, OUTLIER_COLS))
     return out

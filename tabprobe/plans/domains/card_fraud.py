@@ -39,9 +39,8 @@ def results(df: DataFrame, components: int = 10) -> dict[str, DataFrame]:
     hourly = df.withColumn("hour", cx.hour_of_day("Time", whole=True))
     return LazyTables({
         "kpis": lambda: kpis(df),
-        "amount_hist_by_class": lambda: st.histogram(df, ["Amount"], bins=50, by=["Class_Label"]),
-        "fraud_amount_zoom": lambda: st.histogram(df.filter((F.col("Class") == 1) & (F.col("Amount") <= 500)),
-                                          ["Amount"], bins=30),
+        "amount_hist_by_class": lambda: st.histogram(df, ["Amount"], bins=80, by=["Class_Label"]),
+        "amount_zoom_by_class": lambda: st.histogram(df.filter(F.col("Amount") <= 500), ["Amount"], bins=50, by=["Class_Label"]),
         "amount_by_class": lambda: gp.describe_by_class(df, "Amount", "Class_Label"),
         "fraud_rate_by_hour": lambda: gp.group_agg(hourly, ["hour"], F.avg("Class").alias("fraud_rate"),
                                            F.count("Class").alias("transactions")),
@@ -54,6 +53,6 @@ def run(df: DataFrame, **filters) -> dict[str, DataFrame]:
     from tabprobe.plans.domains.common import profile_tables
     df = apply_filters(features(df), **filters)
     out = results(df)
-    num = [c for c in df.columns if c.startswith("V")] + ["Time", "Amount"]
-    out.update(profile_tables(df, num, ["Amount", "Time"] + num[:4], target="Class"))
+    num = ["Time", "Amount"] + [f"V{i}" for i in range(1, 29)]
+    out.update(profile_tables(df, num, num, target="Class", box_cols=["Amount", "Time"] + [f"V{i}" for i in range(1, 7)]))
     return out

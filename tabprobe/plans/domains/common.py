@@ -15,13 +15,14 @@ from tabprobe.operators.outliers import outlier_report_iqr
 
 
 def profile_tables(df: DataFrame, stat_cols: Sequence[str], outlier_cols: Sequence[str],
-                   target: str | None = None, corr_cols: Sequence[str] | None = None) -> dict[str, DataFrame]:
+                   target: str | None = None, corr_cols: Sequence[str] | None = None,
+                   box_cols: Sequence[str] | None = None) -> dict[str, DataFrame]:
     out = {
         "duplicates": qa.duplicate_summary(df),
         "quality": qa.data_quality_report(df),
         "stats": st.descriptive_stats(df, stat_cols),
         "outliers": outlier_report_iqr(df, outlier_cols),
-        "boxes": st.box_summary(df, outlier_cols),
+        "boxes": st.box_summary(df, box_cols or outlier_cols),
     }
     out["missing"] = qa.missing_values(out["quality"])
     if target:

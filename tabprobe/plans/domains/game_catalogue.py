@@ -67,6 +67,6 @@ def run(df: DataFrame, **filters) -> dict[str, DataFrame]:
     from tabprobe.plans.domains.common import profile_tables
     df = apply_filters(features(clean(df)), **filters)
     out = results(df)
-    num = ["original_price", "achievements_count", "release_year", "age_years", "dev_game_count"]
-    out.update(profile_tables(df, num, ["original_price", "achievements_count"]))
+    num = ["original_price", "release_year", "achievements_count", "age_years"]
+    out.update(profile_tables(df, num, ["original_price", "achievements_count", "age_years"]))
     return out

@@ -17,7 +17,8 @@ GRADE_NUM = {"A": 1, "B": 2, "C": 3, "D": 4, "E": 5, "F": 6, "G": 7}
 RATE_EDGES = [0, 8, 12, 16, 20, 30]
 RATE_LABELS = ["<8%", "8-12%", "12-16%", "16-20%", "20%+"]
 DTI_EDGES = list(range(0, 45, 5))
-NUM_COLS = ["loan_amnt", "int_rate", "installment", "annual_inc", "dti"]
+NUM_COLS = ["loan_amnt", "int_rate", "installment", "annual_inc", "dti", "emp_years", "loan_to_income"]
+OUTLIER_COLS = ["loan_amnt", "int_rate", "installment", "annual_inc", "dti", "emp_years"]
 
 
 def clean(df: DataFrame) -> DataFrame:
@@ -58,5 +59,5 @@ def run(df: DataFrame, **filters) -> dict[str, DataFrame]:
     from tabprobe.plans.domains.common import profile_tables
     df = apply_filters(features(clean(df)), **filters)
     out = results(df)
-    out.update(profile_tables(df, NUM_COLS, NUM_COLS, target="default"))
+    out.update(profile_tables(df, NUM_COLS, OUTLIER_COLS, target="default"))
     return out

@@ -16,8 +16,8 @@ PAYMENT_LABELS = {1: "Credit Card", 2: "Cash", 3: "No Charge", 4: "Dispute", 5:
 DIST_EDGES = [0, 1, 2, 5, 10, 50]
 DIST_LABELS = ["<1", "1-2", "2-5", "5-10", "10+"]
 WEEKEND_LABELS = {0: "Weekday", 1: "Weekend"}
-NUM_COLS = ["fare_amount", "trip_distance", "tip_amount", "total_amount", "passenger_count",
-            "trip_duration_min", "speed_mph", "tip_pct"]
+NUM_COLS = ["fare_amount", "tip_amount", "trip_distance", "trip_duration_min", "speed_mph", "passenger_count", "total_amount"]
+OUTLIER_COLS = ["fare_amount", "tip_amount", "trip_distance", "trip_duration_min", "speed_mph"]
 
 
 def clean(df: DataFrame) -> DataFrame:
@@ -70,5 +70,5 @@ def run(df: DataFrame, **filters) -> dict[str, DataFrame]:
     from tabprobe.plans.domains.common import profile_tables
     df = apply_filters(features(clean(df)), **filters)
     out = results(df)
-    out.update(profile_tables(df, NUM_COLS, NUM_COLS[:4]))
+    out.update(profile_tables(df, NUM_COLS, OUTLIER_COLS))
     return out

@@ -27,7 +27,8 @@ GENERATION = {
 TIER_EDGES = [0, 0.1, 0.5, 1, 5, 10, 100]
 TIER_LABELS = ["<0.1M", "0.1-0.5M", "0.5-1M", "1-5M", "5-10M", "10M+"]
 REGIONS = ["NA_Sales", "EU_Sales", "JP_Sales", "Other_Sales"]
-NUM_COLS = ["NA_Sales", "EU_Sales", "JP_Sales", "Other_Sales", "Global_Sales"]
+NUM_COLS = ["Year", "Global_Sales", "NA_Sales", "EU_Sales", "JP_Sales", "Other_Sales"]
+OUTLIER_COLS = ["Global_Sales", "NA_Sales", "EU_Sales", "JP_Sales"]
 
 
 def clean(df: DataFrame) -> DataFrame:
@@ -58,8 +59,6 @@ def results(df: DataFrame, genres: list[str] | None = None) -> dict[str, DataFra
     genre_region = gp.group_agg(df, ["Genre"], F.sum("NA_Sales").alias("NA"), F.sum("EU_Sales").alias("EU"),
                                 F.sum("JP_Sales").alias("JP"))
 
-    def p95():
-        return gp.quantile_scalar(df, "Global_Sales", 0.95).select("q").first()[0]
     return LazyTables({
         "kpis": lambda: df.agg(F.count(F.lit(1)).alias("games"), F.sum("Global_Sales").alias("sales"),
                        F.avg("Global_Sales").alias("mean_sales"), F.count_distinct("Platform").alias("platforms"),
@@ -72,7 +71,8 @@ def results(df: DataFrame, genres: list[str] | None = None) -> dict[str, DataFra
         "by_year": lambda: sales_games("Year"),
         "by_region": lambda: gp.group_agg(regions, ["Region"], F.sum("Sales").alias("sales")),
         "genre_x_region": lambda: rs.melt(genre_region, ["Genre"], var_name="Region", value_name="Sales"),
-        "sales_hist_p95": lambda: st.histogram(df, ["Global_Sales"], bins=50, hi=p95()),
+        "sales_hist": lambda: st.histogram(df, ["Global_Sales"], bins=50),
+        "sales_hist_axis": lambda: gp.quantile_scalar(df, "Global_Sales", 0.95),  # where the plot's axis ends
     })
 
 
@@ -80,5 +80,5 @@ def run(df: DataFrame, **filters) -> dict[str, DataFrame]:
     from tabprobe.plans.domains.common import profile_tables
     df = apply_filters(features(clean(df)), **filters)
     out = results(df)
-    out.update(profile_tables(df, NUM_COLS, NUM_COLS))
+    out.update(profile_tables(df, NUM_COLS, OUTLIER_COLS))
     return out

@@ -188,12 +188,12 @@ def q_decade_label(spark, d):
 def _price_text(p):
     k = F.col("p_partkey") % 6
     return (F.when(k == 0, F.lit("Free")).when(k == 1, F.lit(" Free to Play "))
-            .when(k == 2, F.lit("tbd"))
+            .when(k == 2, F.element_at(F.array(F.lit("tbd"), F.lit("12d"), F.lit("$5f")), F.col("p_partkey").cast("int") % 3 + 1))
             .when(k == 3, F.concat(F.lit("$1,"), (F.col("p_partkey") % 900 + 100).cast("string")))
             .otherwise(F.concat(F.lit("$"), F.col("p_retailprice").cast("string"))))
 
 
-_PRICE_TEXT_SQL = """CASE p_partkey % 6 WHEN 0 THEN 'Free' WHEN 1 THEN ' Free to Play ' WHEN 2 THEN 'tbd'
+_PRICE_TEXT_SQL = """CASE p_partkey % 6 WHEN 0 THEN 'Free' WHEN 1 THEN ' Free to Play ' WHEN 2 THEN CASE p_partkey % 3 WHEN 0 THEN 'tbd' WHEN 1 THEN '12d' ELSE '$5f' END
   WHEN 3 THEN '$1,' || CAST(p_partkey % 900 + 100 AS VARCHAR) ELSE '$' || CAST(p_retailprice AS VARCHAR) END"""
 
 
@@ -226,13 +226,15 @@ def q_clean_date_text(spark, d):
 
 @query("clean_leading_int", """
 SELECT l_orderkey, l_linenumber,
-  CASE WHEN l_linenumber = 1 THEN 0 WHEN l_linenumber = 2 THEN 1000 ELSE CAST(l_quantity AS INTEGER) END AS achievements
+  CAST(CASE WHEN l_linenumber = 1 THEN 0 WHEN l_linenumber = 2 THEN 1000 WHEN l_linenumber = 3 THEN 99999999999
+       ELSE l_quantity END AS BIGINT) AS achievements
 FROM lineitem
 """)
 def q_clean_leading_int(spark, d):
     li = table(spark, d, "lineitem")
     txt = (F.when(F.col("l_linenumber") == 1, F.lit("no achievements"))
            .when(F.col("l_linenumber") == 2, F.lit("1_000 achievements"))
+           .when(F.col("l_linenumber") == 3, F.lit("99999999999 x"))
            .otherwise(F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" achievements"))))
     return li.select("l_orderkey", "l_linenumber", cx.clean_leading_int(txt).alias("achievements"))
 

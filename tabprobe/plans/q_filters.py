@@ -58,8 +58,17 @@ def q_dropna_subset(spark, d):
 SELECT doc_id, n_chars FROM documents WHERE trim(text, {_WS_SQL}) <> ''
 """)
 def q_filter_blank(spark, d):
-    doc = table(spark, d, "documents")
-    return doc.filter(F.trim(F.col("text"), F.lit(WHITESPACE)) != "").select("doc_id", "n_chars")
+    return fl.filter_blank(table(spark, d, "documents"), "text").select("doc_id", "n_chars")
+
+
+@query("filter_blank_tabs", f"""
+SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 5 <> 0
+""")
+def q_filter_blank_tabs(spark, d):
+    """Every third name is tabs and line ends only, every fifth is missing."""
+    p = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.lit("\t \r\n"))
+                                       .when(F.col("p_partkey") % 5 != 0, F.col("p_name")).alias("name"))
+    return fl.filter_blank(p, "name").select("p_partkey")
 
 
 @query("filter_isin", """

@@ -65,10 +65,10 @@ def test_decade_label(spark):
 
 
 def test_clean_money_text(spark):
-    vals = ["Free", " free to play ", "Play for Free!", "$1,299.00", "$5", "junk", None, "1_000.5", "nan"]
+    vals = ["Free", " free to play ", "Play for Free!", "$1,299.00", "$5", "junk", None, "1_000.5", "nan", "12d", "5f", "1e3", "-.5", "1.", "inf"]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "t string")
            .select(cx.clean_money_text("t")).collect()]
-    assert got == [0.0, 0.0, 0.0, 1299.0, 5.0, None, None, 1000.5, None]
+    assert got == [0.0, 0.0, 0.0, 1299.0, 5.0, None, None, 1000.5, None, None, None, 1000.0, -0.5, 1.0, float("inf")]
 
 
 def test_clean_date_text_year(spark):
@@ -79,10 +79,10 @@ def test_clean_date_text_year(spark):
 
 
 def test_clean_leading_int(spark):
-    vals = ["12 achievements", "  7", "none", None, "1_000 achievements", ""]
+    vals = ["12 achievements", "  7", "none", None, "1_000 achievements", "", "99999999999 x", "12d"]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "t string")
            .select(cx.clean_leading_int("t")).collect()]
-    assert got == [12, 7, 0, 0, 1000, 0]
+    assert got == [12, 7, 0, 0, 1000, 0, 99999999999, 0]
 
 
 def test_weekday_monday_zero(spark):

@@ -3,10 +3,28 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tabprobe.operators import correlation as cr
 
 
+def brute_force_tau_b(x, y):
+    """O(n²) reference."""
+    pts = [(a, b) for a, b in zip(x, y) if a is not None and b is not None
+           and not (isinstance(a, float) and math.isnan(a)) and not (isinstance(b, float) and math.isnan(b))]
+    s = n1 = n2 = 0
+    for i in range(len(pts)):
+        for j in range(i + 1, len(pts)):
+            dx = (pts[i][0] > pts[j][0]) - (pts[i][0] < pts[j][0])
+            dy = (pts[i][1] > pts[j][1]) - (pts[i][1] < pts[j][1])
+            s += dx * dy
+            n1 += dx == 0
+            n2 += dy == 0
+    n0 = len(pts) * (len(pts) - 1) // 2
+    den = (n0 - n1) * (n0 - n2)
+    return s / math.sqrt(den) if den > 0 else float("nan")
+
+
 def _frame(spark, n=300):
     rnd = random.Random(11)
     rows = []
@@ -58,7 +76,7 @@ def test_top_correlations_distinct_pairs(spark):
 
 @pytest.mark.parametrize("cap", [10_000, 7])
 def test_kendall_matches_brute_force(spark, cap):
-    from tabprobe.operators.kendall import brute_force_tau_b, kendall_pairs
+    from tabprobe.operators.kendall import kendall_pairs
     df, pdf, cols = _frame(spark, n=160)
     use = ["x", "y", "z", "w"]
     got = {(r.i, r.j): r.corr for r in kendall_pairs(df.repartition(3), use, cap=cap).collect()}
@@ -70,10 +88,25 @@ def test_kendall_matches_brute_force(spark, cap):
 
 
 def test_kendall_hot_value(spark):
-    from tabprobe.operators.kendall import brute_force_tau_b, kendall_pairs
+    from tabprobe.operators.kendall import kendall_pairs
     rnd = random.Random(4)
     rows = [(5.0 if rnd.random() < 0.4 else float(rnd.randint(0, 60)), float(rnd.randint(0, 80))) for _ in range(300)]
     df = spark.createDataFrame(rows, "a double, b double")
     got = {(r.i, r.j): r.corr for r in kendall_pairs(df, ["a", "b"], cap=9).collect()}
     exp = brute_force_tau_b([r[0] for r in rows], [r[1] for r in rows])
     assert abs(got[(0, 1)] - exp) < 1e-12
+
+
+@pytest.mark.parametrize("order", ["k", "-k", "k % 7"])
+def test_pearson_does_not_depend_on_a_prefix(spark, order):
+    """A column that is missing in its first rows and has a large mean."""
+    df = spark.range(40_000).select(F.col("id").alias("k"), F.when(F.col("id") >= 12_000, F.lit(1.7e9) + F.col("id") % 1000).alias("x"),
+                                    (F.col("id") % 1000).cast("double").alias("y"), F.lit(0.1).alias("c")).orderBy(F.expr(order))
+    got = {(r.var1, r.var2): r["corr"] for r in cr.correlation_long(df, ["x", "y", "c"]).collect()}
+    assert abs(got["x", "y"] - 1) < 1e-9 and abs(got["x", "x"] - 1) < 1e-9 and got["c", "c"] is None and got["x", "c"] is None
+
+
+def test_pearson_of_columns_without_common_rows(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, None), (None, 3.0), (None, 5.0)], "a double, b double")
+    got = {(r.var1, r.var2): r["corr"] for r in cr.correlation_long(df, ["a", "b"]).collect()}
+    assert got["a", "b"] is None and abs(got["a", "a"] - 1) < 1e-12

@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 import random
+import statistics
 
 import numpy as np
 import pandas as pd
@@ -94,14 +95,19 @@ def _stock_frame(spark, n=25):
     return spark.createDataFrame(rows, "k string, d date, close double"), pd.DataFrame(rows, columns=["k", "d", "close"])
 
 
-def _pandas_features(pdf):
-    pdf = pdf.sort_values(["k", "d"]).reset_index(drop=True)
-    g = pdf.groupby("k")["close"]
-    pdf["ret"] = g.transform(lambda x: x.pct_change() * 100)
-    pdf["logr"] = g.transform(lambda x: np.log(x / x.shift(1)))
-    pdf["vol"] = pdf.groupby("k")["ret"].transform(lambda x: x.rolling(20).std())
-    pdf["norm"] = g.transform(lambda x: x / x.iloc[0] * 100)
-    return pdf
+def _expected_features(pdf, window=20):
+    """From the definitions, by a walk over each entity's rows in time order."""
+    out = []
+    for k in sorted(set(pdf.k)):
+        rows = sorted((r.d, r.close) for r in pdf.itertuples() if r.k == k)
+        changes = []
+        for i, (d, close) in enumerate(rows):
+            before = rows[i - 1][1] if i else None
+            changes.append(None if before is None else 100.0 * (close - before) / before)
+            last = changes[max(0, i - window + 1):]
+            vol = statistics.stdev(last) if len(last) == window and None not in last else None
+            out.append((k, d, changes[-1], None if before is None else math.log(close) - math.log(before), vol, 100.0 * close / rows[0][1]))
+    return pd.DataFrame(out, columns=["k", "d", "ret", "logr", "vol", "norm"])
 
 
 def _check_features(out, pdf):
@@ -118,7 +124,7 @@ def _check_features(out, pdf):
 def test_series_features_first_vol_on_row_21(spark):
     df, pdf = _stock_frame(spark)
     out = se.series_features(df, "k", "d", "close", window=20)
-    exp = _pandas_features(pdf)
+    exp = _expected_features(pdf)
     _check_features(out, exp)
     a = exp[exp.k == "A"].reset_index(drop=True)
     assert a.vol.first_valid_index() == 20
@@ -127,7 +133,7 @@ def test_series_features_first_vol_on_row_21(spark):
 def test_series_features_blocked_equals_plain(spark):
     df, pdf = _stock_frame(spark)
     out = se.series_features(df, "k", "d", "close", window=20, block_rows=6)
-    _check_features(out, _pandas_features(pdf))
+    _check_features(out, _expected_features(pdf))
 
 
 def test_period_return(spark):
@@ -142,15 +148,18 @@ def test_period_return(spark):
         assert (got[k] is None and math.isnan(exp)) or abs(got[k] - exp) < 1e-12
 
 
-def test_series_auto_switches_to_blocks(spark):
-    df, pdf = _stock_frame(spark)
-    old = se.AUTO_BLOCK_ROWS
-    try:
-        se.AUTO_BLOCK_ROWS = 5          # every entity is "large": blocked path
-        out = se.series_features(df, "k", "d", "close", window=20)
-        _check_features(out, _pandas_features(pdf))
-    finally:
-        se.AUTO_BLOCK_ROWS = old
+def test_series_features_by_hand(spark):
+    df = spark.createDataFrame([("A", 1, 100.0), ("A", 2, 110.0), ("A", 3, 99.0), ("A", 4, 99.0)], "k string, d int, close double")
+    got = se.series_features(df, "k", "d", "close", window=2).orderBy("d").collect()
+    for r, (ret, vol, norm) in zip(got, [(None, None, 100), (10, None, 110), (-10, 14.142135623730951, 99), (0, 7.0710678118654755, 99)]):
+        for a, b in ((r.daily_return, ret), (r.volatility_2, vol), (r.normalized, norm)):
+            assert a is None if b is None else abs(a - b) < 1e-9
+
+
+def test_blocks_keep_rows_without_an_entity(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), (None, 1, 5.0), ("a", 2, 2.0), (None, 2, 6.0), (None, 3, 9.0)], "k string, d int, v double")
+    plain, blocks = (sorted(map(repr, se.series_features(df, "k", "d", "v", window=2, block_rows=n).collect())) for n in (None, 2))
+    assert plain == blocks and len(plain) == 5
 
 
 def test_pivot_returns_match_pandas(spark):

@@ -107,11 +107,52 @@ def test_quantiles_empty_group_gives_null(spark):
 
 def test_quantiles_invariant_under_repartition(spark):
     df, _ = _rand_frame(spark)
-    for bound in [None, 10**12]:  # one-pass built-in path and bracket path
-        a = sorted(tuple(r) for r in column_quantiles(df.repartition(1), ["a", "b"], [0.3], total_bound=bound).collect())
-        b = sorted(tuple(r) for r in column_quantiles(df.repartition(13), ["a", "b"], [0.3],
-                                                      total_bound=bound).collect())
-        assert a == b
+    a = sorted(tuple(r) for r in column_quantiles(df.repartition(1), ["a", "b"], [0.3]).collect())
+    b = sorted(tuple(r) for r in column_quantiles(df.repartition(13), ["a", "b"], [0.3]).collect())
+    assert a == b
+
+
+def test_quantiles_with_infinities(spark):
+    vals = [float(i) for i in range(3000)] + [float("inf"), float("-inf"), float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    for kw in ({}, {"max_bracket": 50, "approx_start": False}):
+        got = {r.p: (r.n, r.q) for r in column_quantiles(df, ["v"], [0.0, 0.25, 0.5, 1.0], **kw).collect()}
+        s = pd.Series([v for v in vals if v is not None]).dropna()
+        for p in (0.25, 0.5):
+            assert got[p] == (3002, float(s.quantile(p)))
+        assert got[0.0][1] == float("-inf") and got[1.0][1] == float("inf")
+
+
+def test_quantile_rounds_are_never_silent(spark):
+    df = spark.createDataFrame([(float(i) ** 9,) for i in range(2000)], "v double")
+    with pytest.raises(RuntimeError):
+        column_quantiles(df, ["v"], [0.5], max_bracket=5, bins=2, max_rounds=1, approx_start=False).collect()
+
+
+MISSING = [("a", 1.0), ("a", 2.0), ("a", float("nan")), ("a", 3.0), ("a", 4.0), (None, 50.0), (None, 60.0), ("b", None)]
+
+
+def test_missing_values_in_every_profile_operator(spark):
+    df = spark.createDataFrame(MISSING, "g string, x double")
+    five = df.filter("g = 'a'").select("x")
+    r = st.descriptive_stats(five, ["x"]).first()
+    assert (r["count"], r["mean"], r["max"], r["median"]) == (4, 2.5, 4.0, 2.5)
+    o = outlier_report_iqr(five, ["x"]).first()
+    assert (o.outliers, o.min, o.max, o.outlier_pct) == (0, 1.0, 4.0, 0.0)
+    assert st.box_summary(five, ["x"]).first().outliers == 0
+    assert [h["count"] for h in st.histogram(five, ["x"], bins=3).orderBy("bin").collect()] == [1, 1, 2]
+    for out in (st.descriptive_stats(df, ["x"], by=["g"]), outlier_report_iqr(df, ["x"], by=["g"]), st.box_summary(df, ["x"], by=["g"]),
+                st.histogram(df, ["x"], bins=2, by=["g"]), st.scatter_bins(df, "x", "x", 2, 2, by=["g"])):
+        assert None not in {r.g for r in out.collect()}
+    pts = df.select("g", "x", F.lit(1.0).alias("y")).union(spark.createDataFrame([("a", float("inf"), 1.0)], "g string, x double, y double"))
+    assert sum(r["count"] for r in st.scatter_bins(pts, "x", "y", by=["g"]).collect()) == 4
+    assert sum(r["count"] for r in st.histogram(pts, ["x"], bins=4, by=["g"]).collect()) == 4
+
+
+def test_moments_of_an_empty_frame(spark):
+    for k in (2, 12):
+        df = spark.createDataFrame([], ", ".join(f"c{i} double" for i in range(k)))
+        assert [(r["count"], r["mean"]) for r in st.moments(df, df.columns).collect()] == [(0, None)] * k
 
 
 def test_outlier_report_iqr_matches_pandas(spark):
@@ -155,38 +196,16 @@ def test_box_summary_whiskers(spark):
     assert close(r.median, float(np.median(vals)))
 
 
-def test_data_quality_wide_path_matches_narrow(spark):
-    from tabprobe.operators import quality as q2
+def test_data_quality_of_a_wide_frame(spark):
     rnd = random.Random(8)
     rows = [tuple([rnd.choice([None, 0.0, -0.0, 1.5, float("nan")])] + [rnd.randint(0, 5) for _ in range(11)]
                   + [rnd.choice(["a", "b", None])]) for _ in range(200)]
     schema = "d double, " + ", ".join(f"i{k} int" for k in range(11)) + ", s string"
-    df = spark.createDataFrame(rows, schema)
-    old = q2.WIDE_DISTINCT_COLUMNS
-    try:
-        wide = {r.column: tuple(r) for r in q2.data_quality_report(df).collect()}
-        q2.WIDE_DISTINCT_COLUMNS = 100
-        narrow = {r.column: tuple(r) for r in q2.data_quality_report(df).collect()}
-    finally:
-        q2.WIDE_DISTINCT_COLUMNS = old
-    assert wide == narrow
+    got = {r.column: r for r in qa.data_quality_report(spark.createDataFrame(rows, schema)).collect()}
     pdf = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-    assert wide["d"][5] == pdf["d"].nunique() and wide["d"][3] == int(pdf["d"].isna().sum())
-
+    for c in pdf.columns:
+        assert (got[c].cardinality, got[c].nulls, got[c].non_null) == (pdf[c].nunique(), int(pdf[c].isna().sum()), int(pdf[c].notna().sum()))
 
-def test_moments_long_path_matches_wide(spark):
-    df, _ = _rand_frame(spark)
-    old = st.WIDE_MOMENT_COLUMNS
-    try:
-        st.WIDE_MOMENT_COLUMNS = 0
-        a = {r.column: r for r in st.moments(df, ["a", "b", "c"], by=["g"]).collect() if r.g == "x"}
-        st.WIDE_MOMENT_COLUMNS = 100
-        b = {r.column: r for r in st.moments(df, ["a", "b", "c"], by=["g"]).collect() if r.g == "x"}
-    finally:
-        st.WIDE_MOMENT_COLUMNS = old
-    for c in "abc":
-        for k in ["count", "mean", "std", "min", "max", "skew", "kurtosis"]:
-            assert close(a[c][k], b[c][k], 1e-9), (c, k)
 
 
 def test_properties_correlation_symmetric_bounded(spark):

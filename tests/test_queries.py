@@ -6,12 +6,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from tabprobe.plans.registry import QUERIES as REGISTERED, load_all
 from tabprobe.sources.io import DRIVER_TABLES
 
 from conftest import SF_SMALL
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+load_all()
+QUERIES = {k: v for k, v in E.queries().items() if k in REGISTERED}
+ORACLE = {k: v for k, v in E.oracle_sql().items() if k in REGISTERED}
 
 
 def _norm(v):
