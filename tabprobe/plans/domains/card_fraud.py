@@ -44,7 +44,7 @@ def results(df: DataFrame, components: int = 10) -> dict[str, DataFrame]:
         "amount_by_class": lambda: gp.describe_by_class(df, "Amount", "Class_Label"),
         "fraud_rate_by_hour": lambda: gp.group_agg(hourly, ["hour"], F.avg("Class").alias("fraud_rate"),
                                            F.count("Class").alias("transactions")),
-        "component_sample": lambda: sample_n(df.select(*comps, "Class_Label", "Time", "Amount"), 5000, ["Time", "Amount"]),
+        "component_sample": lambda: sample_n(df.select(*comps, "Class_Label", "Time", "Amount"), 5000, [*comps, "Class_Label", "Time", "Amount"]),
         "component_corr": lambda: cr.correlation_long(df, comps + ["Amount", "Class"]),
     })
 

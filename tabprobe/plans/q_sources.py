@@ -27,7 +27,9 @@ def q_preview_topn(spark, d):
     return preview(table(spark, d, "orders"), ["o_orderdate", "o_orderkey"], 1000)
 
 
-@query("sample_n")
+@query("sample_n", """
+SELECT * FROM lineitem ORDER BY md5('42|' || l_orderkey || '|' || l_linenumber), l_orderkey, l_linenumber LIMIT 5000
+""")
 def q_sample_n(spark, d):
     # fixed-size deterministic sample of 5,000 rows (the feature is sampling)
     return sample_n(table(spark, d, "lineitem"), 5000, ["l_orderkey", "l_linenumber"])

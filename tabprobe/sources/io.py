@@ -142,21 +142,21 @@ def preview(df: DataFrame, order_by: list[str], n: int = 1000) -> DataFrame:
 def sample_n(df: DataFrame, n: int, key_cols: list[str], seed: int = 42) -> DataFrame:
     """Deterministic fixed-size sample without replacement.
 
-    The ``n`` rows with the smallest seeded hash of the key are kept.  The
-    64-bit hash is close to uniform, so a filter ``hash < threshold`` chosen
+    The ``n`` rows with the smallest MD5 of seed and key are kept (ties by key).
+    The digest is close to uniform, so a filter ``digest < threshold`` chosen
     for about ``3n`` rows keeps the candidates (a per-partition filter);
     only those go through the final ordered ``limit``, instead of every
     partition sending its own top ``n``.  The threshold is widened until at
     least ``n`` rows pass, so the result equals the plain top-``n``.  Frames
     with fewer than ``n`` rows come back whole.
     """
-    h = F.xxhash64(F.lit(seed), *[col(c) for c in key_cols])
-    keyed = df.withColumn("_h", h)
+    keys = [F.coalesce(col(c).cast("string"), F.lit("")) for c in key_cols]
+    keyed = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), *keys).cast("binary")))
     total = df.count()
     if total > n:
         frac = min(1.0, 3.0 * n / total)
         while frac < 1.0:
-            thr = int(-(2 ** 63) + frac * (2 ** 64 - 1))
+            thr = format(int(frac * 2 ** 64), "016x")
             cand = keyed.filter(F.col("_h") < F.lit(thr))
             if cand.count() >= n:
                 keyed = cand

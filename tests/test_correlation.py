@@ -110,3 +110,12 @@ def test_pearson_of_columns_without_common_rows(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, None), (None, 3.0), (None, 5.0)], "a double, b double")
     got = {(r.var1, r.var2): r["corr"] for r in cr.correlation_long(df, ["a", "b"]).collect()}
     assert got["a", "b"] is None and abs(got["a", "a"] - 1) < 1e-12
+
+
+def test_kendall_of_a_large_table_agrees_with_a_pair_count(spark):
+    """More points than one base case holds, so that the division into buckets runs."""
+    from tabprobe.operators.kendall import kendall_pairs
+    rnd = random.Random(3)
+    rows = [(float(rnd.randint(0, 40)), float(rnd.randint(0, 900))) for _ in range(1500)]
+    got = {(r.i, r.j): r["corr"] for r in kendall_pairs(spark.createDataFrame(rows, "a double, b double"), ["a", "b"], cap=200).collect()}
+    assert abs(got[0, 1] - brute_force_tau_b([r[0] for r in rows], [r[1] for r in rows])) < 1e-9
