@@ -244,7 +244,8 @@ b AS (SELECT *, CASE WHEN age > 0 AND age <= 25 THEN '<25' WHEN age > 25 AND age
   WHEN age > 35 AND age <= 45 THEN '35-44' WHEN age > 45 AND age <= 55 THEN '45-54'
   WHEN age > 55 AND age <= 65 THEN '55-64' WHEN age > 65 AND age <= 100 THEN '65+' END AS age_group
   FROM bank WHERE duration > 0)"""
-_AGE_LV = ", ".join(f"('{lab}', {i})" for i, lab in enumerate(bank_marketing.AGE_LABELS))
+_AGE_LV = (
+    "('<25', 0), ('25-34', 1), ('35-44', 2), ('45-54', 3), ('55-64', 4), ('65+', 5)")
 
 
 def _bank(spark, d):
@@ -303,7 +304,8 @@ _MED_SQL = """med AS (SELECT CAST(18 + c_custkey % 50 AS INTEGER) AS age, 15.0 +
 m AS (SELECT *, CASE WHEN bmi > 0 AND bmi <= 18.5 THEN 'Underweight' WHEN bmi > 18.5 AND bmi <= 25 THEN 'Normal'
   WHEN bmi > 25 AND bmi <= 30 THEN 'Overweight' WHEN bmi > 30 AND bmi <= 60 THEN 'Obese' END AS bmi_category
   FROM med WHERE charges > 0)"""
-_BMI_LV = ", ".join(f"('{lab}', {i})" for i, lab in enumerate(medical_cost.BMI_LABELS))
+_BMI_LV = (
+    "('Underweight', 0), ('Normal', 1), ('Overweight', 2), ('Obese', 3)")
 
 
 def _medical(spark, d):
@@ -420,9 +422,13 @@ def _games(spark, d):
     return game_catalogue.apply_filters(game_catalogue.features(game_catalogue.clean(games_view(spark, d))))
 
 
-_TIER_CASE = " ".join(f"WHEN price > {lo} AND price <= {hi} THEN '{lab}'" for lo, hi, lab in
-                      zip(game_catalogue.TIER_EDGES[:-1], game_catalogue.TIER_EDGES[1:], game_catalogue.TIER_LABELS))
-_TIER_LV = ", ".join(f"('{lab}', {i})" for i, lab in enumerate(game_catalogue.TIER_LABELS))
+_TIER_CASE = (
+    "WHEN price > -1 AND price <= 0 THEN 'Free' WHEN price > 0 AND price <= 5 THEN 'Budget (<$5)' WHEN price > "
+    "5 AND price <= 15 THEN 'Low ($5-15)' WHEN price > 15 AND price <= 30 THEN 'Mid ($15-30)' WHEN price > 30 "
+    "AND price <= 60 THEN 'Premium ($30-60)' WHEN price > 60 AND price <= 200 THEN 'Ultra ($60+)'")
+_TIER_LV = (
+    "('Free', 0), ('Budget (<$5)', 1), ('Low ($5-15)', 2), ('Mid ($15-30)', 3), ('Premium ($30-60)', 4), "
+    "('Ultra ($60+)', 5)")
 
 
 @query("games_price_tiers", f"""
@@ -475,7 +481,13 @@ def vgs_view(spark, d) -> DataFrame:
 
 
 _PLAT_SQL = "[" + ", ".join(f"'{x}'" for x in _PLATFORMS) + "]"
-_GEN_CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in video_game_sales.GENERATION.items())
+_GEN_CASE = (
+    "WHEN 'PS1' THEN 'Gen5' WHEN 'PS2' THEN 'Gen6' WHEN 'PS3' THEN 'Gen7' WHEN 'PS4' THEN 'Gen8' WHEN 'NES' "
+    "THEN 'Gen3' WHEN 'SNES' THEN 'Gen4' WHEN 'N64' THEN 'Gen5' WHEN 'GC' THEN 'Gen6' WHEN 'Wii' THEN 'Gen7' "
+    "WHEN 'WiiU' THEN 'Gen8' WHEN 'Switch' THEN 'Gen8' WHEN 'GB' THEN 'Gen4' WHEN 'GBA' THEN 'Gen5' WHEN 'DS' "
+    "THEN 'Gen7' WHEN '3DS' THEN 'Gen8' WHEN '2600' THEN 'Gen2' WHEN 'GEN' THEN 'Gen4' WHEN 'DC' THEN 'Gen6' "
+    "WHEN 'SAT' THEN 'Gen5' WHEN 'X360' THEN 'Gen7' WHEN 'XB' THEN 'Gen6' WHEN 'XOne' THEN 'Gen8' WHEN 'PSP' "
+    "THEN 'Gen7' WHEN 'PSV' THEN 'Gen8' WHEN 'PC' THEN 'PC'")
 _VGS_SQL = f"""v0 AS (SELECT {_PLAT_SQL}[CAST(l_partkey % {len(_PLATFORMS)} + 1 AS INTEGER)] AS Platform,
   year(l_shipdate) AS Year, p_type AS Genre, p_name AS Name,
   l_extendedprice / 100000 + l_quantity / 100 + l_discount + l_tax AS Global_Sales,
