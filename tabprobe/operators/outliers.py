@@ -7,25 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprobe.operators.quantiles import column_quantiles, quantile_wide
+from tabprobe.operators.quantiles import column_quartiles, quantile_wide
 from tabprobe.operators.stats import numeric_columns
 from tabprobe.operators._util import broadcast_if_small, numeric_long, persist
 
 
 def outlier_report_iqr(df: DataFrame, columns: Sequence[str] | None = None,
-                       multiplier: float = 1.5, by: Sequence[str] = (), **qkw) -> DataFrame | None:
+                       multiplier: float = 1.5, by: Sequence[str] = (), quartiles: DataFrame | None = None,
+                       **qkw) -> DataFrame | None:
     """Per column: outliers strictly outside ``[q1 - k·iqr, q3 + k·iqr]``, their
     share of **all** rows (missing values included, NULL groups not), the bounds,
     min and max.  NaN counts as missing.
 
-    Quartiles are exact; the counting pass joins the per-(group, column)
+    Quartiles are exact (or given, :func:`column_quartiles`); the counting pass joins the per-(group, column)
     bounds (one row per output row) to the unpivoted values."""
     cols = numeric_columns(df, columns)
     if not cols:
         return None
     by = list(by)
-    qs = quantile_wide(column_quantiles(df, cols, [0.25, 0.75], by=by, **qkw), by + ["column"],
-                       [0.25, 0.75], ["q1", "q3"])
+    if quartiles is None:
+        quartiles = column_quartiles(df, cols, by, **qkw)
+    qs = quantile_wide(quartiles.filter(F.col("column").isin(cols)), by + ["column"], [0.25, 0.75], ["q1", "q3"])
     bounds = qs.select(*by, "column",
                        (F.col("q1") - multiplier * (F.col("q3") - F.col("q1"))).alias("lower_bound"),
                        (F.col("q3") + multiplier * (F.col("q3") - F.col("q1"))).alias("upper_bound"))

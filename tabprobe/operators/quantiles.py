@@ -191,6 +191,14 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
     return exact_quantiles(long, by + ["column"], "value", probs, **kw)
 
 
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def column_quartiles(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), **kw) -> DataFrame:
+    """``by…, column, p, n, q`` of the three quartiles: compute once, hand to statistics, outliers and boxes."""
+    return column_quantiles(df, columns, QUARTILES, by=by, **kw)
+
+
 def quantile_wide(qdf: DataFrame, keys: Sequence[str], probs: Sequence[float],
                   names: Sequence[str]) -> DataFrame:
     """Turn ``keys…, p, q`` rows into one column per probability."""

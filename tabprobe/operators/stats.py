@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabprobe.operators.quantiles import column_quantiles, quantile_wide
+from tabprobe.operators.quantiles import QUARTILES, column_quartiles, quantile_wide
 from tabprobe.operators._util import broadcast_if_small, numeric_frame, numeric_long, persist
 from tabprobe.sources.io import col
 
@@ -59,20 +59,20 @@ def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Da
 
 
 def descriptive_stats(df: DataFrame, columns: Sequence[str] | None = None,
-                      by: Sequence[str] = (), **qkw) -> DataFrame | None:
+                      by: Sequence[str] = (), quartiles: DataFrame | None = None, **qkw) -> DataFrame | None:
     """count, mean, std, min, p25, median, p75, max, skew, kurtosis per column.
 
     Moments come from one aggregate over the wide frame, quartiles from the
-    exact-quantile engine.  Returns ``None`` when no requested column is
-    numeric."""
+    exact-quantile engine, or from ``quartiles`` (:func:`column_quartiles` of these
+    columns or more).  Returns ``None`` when no requested column is numeric."""
     cols = numeric_columns(df, columns)
     if not cols:
         return None
     by = list(by)
     m = moments(df, cols, by)
-    probs = [0.25, 0.5, 0.75]
-    qs = quantile_wide(column_quantiles(df, cols, probs, by=by, **qkw), by + ["column"], probs,
-                       ["p25", "median", "p75"])
+    if quartiles is None:
+        quartiles = column_quartiles(df, cols, by, **qkw)
+    qs = quantile_wide(quartiles, by + ["column"], QUARTILES, ["p25", "median", "p75"])
     out = m.join(qs, by + ["column"], "left")
     return out.select(*by, "column", "count", "mean", "std", "min", "p25", "median", "p75", "max",
                       "skew", "kurtosis")
@@ -115,14 +115,14 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 40, by: Sequenc
 
 
 def box_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
-                whisker: float = 1.5, **qkw) -> DataFrame:
+                whisker: float = 1.5, quartiles: DataFrame | None = None, **qkw) -> DataFrame:
     """Box-plot numbers per column: q1, median, q3, fences, whiskers (most
     extreme values inside the fences), mean, std, outlier count."""
     cols = numeric_columns(df, columns)
     by = list(by)
-    probs = [0.25, 0.5, 0.75]
-    qs = quantile_wide(column_quantiles(df, cols, probs, by=by, **qkw), by + ["column"], probs,
-                       ["q1", "median", "q3"])
+    if quartiles is None:
+        quartiles = column_quartiles(df, cols, by, **qkw)
+    qs = quantile_wide(quartiles.filter(F.col("column").isin(cols)), by + ["column"], QUARTILES, ["q1", "median", "q3"])
     qs = (qs.withColumn("lower_fence", F.col("q1") - whisker * (F.col("q3") - F.col("q1")))
             .withColumn("upper_fence", F.col("q3") + whisker * (F.col("q3") - F.col("q1"))))
     long = numeric_long(df, cols, by)
