@@ -10,7 +10,6 @@ from tabprobe.functions import filters as fl
 from tabprobe.operators import groups as gp
 from tabprobe.operators import reshape as rs
 from tabprobe.operators import stats as st
-from tabprobe.operators._util import broadcast_if_small
 from tabprobe.plans.domains.common import LazyTables
 
 # Price tiers (right-closed bins).
@@ -31,7 +30,7 @@ def features(df: DataFrame, as_of_year: int = 2026) -> DataFrame:
             .withColumn("age_years", cx.years_since("release_year", as_of_year)))
     # games per developer: one row per developer, joined back (NULL developer → NULL count)
     counts = gp.group_agg(df, ["developer"], F.count(F.lit(1)).alias("dev_game_count"))
-    return df.join(broadcast_if_small(counts), "developer", "left")
+    return df.join(counts, "developer", "left")  # AQE broadcasts the counts if they are small
 
 
 def apply_filters(df: DataFrame, genre: str = "All", price_max: float = 60) -> DataFrame:

@@ -39,6 +39,22 @@ def q_data_quality(spark, d):
     return _r(r, ["null_pct"])
 
 
+_LINEITEM_TYPES = {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double",
+                   "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string",
+                   "l_linestatus": "string", "l_shipdate": "timestamp"}
+_DQ_LINEITEM_SQL = _union_sql([
+    f"""SELECT '{c}' AS "column", '{t}' AS dtype, count({c}) AS non_null,
+  count(*) - count({c}) AS nulls, round((count(*) - count({c})) * 100.0 / count(*), 6) AS null_pct, count(DISTINCT {c}) AS cardinality
+  FROM lineitem""" for c, t in _LINEITEM_TYPES.items()])
+
+
+@query("data_quality_lineitem", _DQ_LINEITEM_SQL)
+def q_data_quality_lineitem(spark, d):
+    """Eleven columns; the samples, whose text form differs between engines, are left out."""
+    r = qa.data_quality_report(table(spark, d, "lineitem")).drop("sample")
+    return _r(r, ["null_pct"]).withColumn("dtype", F.regexp_replace("dtype", "_ntz$", ""))
+
+
 @query("duplicate_summary", """
 SELECT count(*) AS total_rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus,
   l_quantity, l_discount, l_tax FROM lineitem)) AS duplicate_rows,
