@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprobe.llm._common import chunks_by_bytes, mixed, small_batches, stored, text_array, word_codes, word_hashes
+from tabprobe.llm._common import chunks_by_bytes, distinct, mixed, small_batches, stored, text_array, word_codes, word_hashes
 from tabprobe.llm.graph import connected_components
 
 N = 5
@@ -219,7 +219,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         for whole in batches:
             for batch in chunks_by_bytes(whole, "text"):
                 hashes, offsets, _ = ngrams(text_array(batch.column("text")), n)
-                sets = [np.unique(hashes[a:b]) for a, b in zip(offsets, offsets[1:])]
+                sets = [distinct(hashes[a:b]) for a, b in zip(offsets, offsets[1:])]
                 cut = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
                 yield pa.record_batch([batch.column(c) for c in ("id", "copies", "root", "blocks", "block")]

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprobe.llm._common import chunks_by_bytes, text_array, word_codes, word_hashes
+from tabprobe.llm._common import chunks_by_bytes, distinct, small_batches, text_array, word_codes, word_hashes
 
 SAMPLE = 20_000
 DIMENSIONS = 1 << 14
@@ -83,7 +83,7 @@ class Texts:
         doc = np.repeat(np.arange(len(texts)), n)
         same = np.zeros(len(codes), np.int64)
         same[1:] = (codes[1:] == codes[:-1]) & (doc[1:] == doc[:-1])
-        distinct = np.bincount(np.unique(doc * (len(dictionary) or 1) + codes) // (len(dictionary) or 1), minlength=len(texts))
+        kinds_of_words = np.bincount(distinct(doc * (len(dictionary) or 1) + codes) // (len(dictionary) or 1), minlength=len(texts))
 
         def matching(pattern: str) -> np.ndarray:
             return per_text(pc.match_substring_regex(dictionary, pattern).to_numpy(zero_copy_only=False).astype(np.int64)) / words
@@ -95,11 +95,11 @@ class Texts:
         at = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lines.offsets)))[full]
         which = flat.filter(pa.array(full)).dictionary_encode().indices.to_numpy().astype(np.int64)
         of_lines = np.bincount(at, minlength=len(texts))
-        kinds = np.unique(at * (which.max(initial=0) + 1) + which) // (which.max(initial=0) + 1)
+        kinds = distinct(at * (which.max(initial=0) + 1) + which) // (which.max(initial=0) + 1)
         repeated = np.where(long, np.diff(np.concatenate([[0], np.cumsum(same)])[offsets]) / words, 0)
         symbols = per_byte(_SYMBOL) / np.maximum(per_byte(_START), 1)
         odd = 1 - matching(r"^\p{Lu}?[\p{Ll}\p{Lo}\p{M}'’-]+[.,;:?]?$")
-        alike = np.where(long, 1 - distinct / words, 0)
+        alike = np.where(long, 1 - kinds_of_words / words, 0)
         # how far the worst of four measures goes towards what prose does not show
         prose = np.stack([odd / 0.30, symbols / 0.02, repeated / 0.10, alike / 0.55]).max(axis=0)
         measures = np.stack([
@@ -207,6 +207,7 @@ def _train(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, target: np.n
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE,
         dimensions: int = DIMENSIONS) -> Model:
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,6 +251,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``score`` (probability of a fine text, by the scorer),
     ``posterior`` (by the labellers' votes) and ``votes`` (one of J, F, - for each labeller)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -269,6 +271,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 def score_column(spark, model: Model, text: Column) -> Column:
     """The score as a column expression, for filters that keep all columns."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

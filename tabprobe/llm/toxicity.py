@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprobe.llm._common import chunks_by_bytes, stored, text_array, word_codes
+from tabprobe.llm._common import chunks_by_bytes, small_batches, stored, text_array, word_codes
 
 EXAMPLES = 8192
 TERMS = 512
@@ -172,6 +172,7 @@ def _logistic(v: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS) -> Model:
     """A model from ``labels`` (``id_col``, ``label_col`` 0 or 1) and the texts of ``docs``."""
+    small_batches(docs.sparkSession)
     all_texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     chosen = (labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("long").alias("label"))
               .dropna().groupBy("id").agg(F.max("label").alias("label"))
@@ -247,6 +248,7 @@ def _index(vocabulary: Vocabulary, idf: np.ndarray, rows: list) -> Model:
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``score`` (0 to 1) and ``evidence``, the nearest labelled
     examples with cosine and label, nearest first."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -264,6 +266,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 def score_column(spark, model: Model, text: Column) -> Column:
     """The score as a column expression, for filters that keep all columns."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
