@@ -140,15 +140,17 @@ def box_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
         "mean", "std", "outliers")
 
 
-def scatter_bins(df: DataFrame, x: str, y: str, x_bins: int = 50, y_bins: int = 50, by: Sequence[str] = ()) -> DataFrame:
+def scatter_bins(df: DataFrame, x: str, y: str, x_bins: int = 50, y_bins: int = 50, by: Sequence[str] = (),
+                 means: Sequence[str] = ()) -> DataFrame:
     """2-D equal-width bin counts of (x, y) — the scale-safe form of a scatter
     plot, whose output is bounded by ``x_bins × y_bins`` per group whatever the
-    row count.  ``by`` adds the plot's colour, size class or facet columns; edges
-    are shared by all groups.  Rows whose x or y is missing or infinite have no
+    row count.  ``by`` adds the plot's colour or facet columns; edges are shared by
+    all groups.  ``means`` adds the mean of columns that stand for a continuous
+    colour or a size, as ``mean_<column>``.  Rows whose x or y is missing or infinite have no
     point."""
     by = list(by)
     finite = F.abs(F.col("_x")) < float("inf"), F.abs(F.col("_y")) < float("inf")
-    points = (numeric_frame(df.withColumns({"_x": col(x), "_y": col(y)}), ["_x", "_y"], by)
+    points = (numeric_frame(df.withColumns({"_x": col(x), "_y": col(y)}), ["_x", "_y", *means], by)
               .filter(F.col("_x").isNotNull() & F.col("_y").isNotNull() & finite[0] & finite[1]))
     r = points.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
     xa, xb, ya, yb = [float(v) if v is not None else 0.0 for v in r]
@@ -159,4 +161,4 @@ def scatter_bins(df: DataFrame, x: str, y: str, x_bins: int = 50, y_bins: int =
         return F.least(F.floor((F.col(c) - F.lit(a)) / ((F.lit(b) - F.lit(a)) / F.lit(float(n)))), F.lit(n - 1)).cast("int")
 
     return (points.groupBy(*by, idx("_x", xa, xb, x_bins).alias("x_bin"), idx("_y", ya, yb, y_bins).alias("y_bin"))
-            .agg(F.count(F.lit(1)).alias("count")))
+            .agg(F.count(F.lit(1)).alias("count"), *[F.avg(col(c)).alias(f"mean_{c}") for c in means]))

@@ -53,7 +53,7 @@ def results(df: DataFrame) -> dict[str, DataFrame]:
         "by_age_group": lambda: gp.rate_by_levels(df, "age_group", AGE_LABELS, "y_binary"),
         "by_month": lambda: gp.sort_by_levels(gp.rate_by_key(df, ["month"], "y_binary", count_name="contacts"),
                                       "month", MONTH_ORDER),
-        "econ_scatter": lambda: st.scatter_bins(df, "euribor3m", "cons.price.idx"),
+        "econ_scatter": lambda: st.scatter_bins(df, "euribor3m", "cons.price.idx", by=["y"]),
     })
 
 

@@ -47,7 +47,7 @@ def results(df: DataFrame) -> dict[str, DataFrame]:
                        F.avg("dti").alias("mean_dti")),
         "by_grade": lambda: gp.rate_by_key(df, ["grade"], "default", rate_name="default_rate"),
         "by_term": lambda: gp.group_agg(df, ["term"], F.avg("default").alias("rate")),
-        "income_loan_bins": lambda: st.scatter_bins(df, "annual_inc", "loan_amnt"),
+        "income_loan_bins": lambda: st.scatter_bins(df, "annual_inc", "loan_amnt", by=["default"]),
         "lti_box_by_default": lambda: st.box_summary(df, ["loan_to_income"], by=["default"]),
         "by_purpose": lambda: by_purpose,
         "dti_hist_by_default": lambda: st.histogram(df, ["dti"], bins=40, by=["default"]),

@@ -56,7 +56,8 @@ def results(df: DataFrame) -> dict[str, DataFrame]:
                                           by=["smoker"]),
         "region_x_smoker": lambda: gp.group_agg(df, ["region", "smoker"], F.avg("charges").alias("avg_charge"),
                                         F.count("charges").alias("count")),
-        "age_charges_bins": lambda: st.scatter_bins(df, "age", "charges"),
+        "age_charges_bins": lambda: st.scatter_bins(df, "age", "charges", by=["smoker"], means=["bmi"]),
+        "bmi_charges_bins": lambda: st.scatter_bins(df, "bmi", "charges", by=["smoker", "sex"]),
     })
 
 

@@ -55,7 +55,7 @@ def results(df: DataFrame) -> dict[str, DataFrame]:
                        F.avg("tipped").alias("tip_rate")),
         "by_hour": lambda: gp.group_agg(df, ["hour"], F.count("fare_amount").alias("trips"),
                                 F.avg("fare_amount").alias("avg_fare")),
-        "distance_fare_bins": lambda: st.scatter_bins(df, "trip_distance", "fare_amount"),
+        "distance_fare_bins": lambda: st.scatter_bins(df, "trip_distance", "fare_amount", means=["tip_amount"]),
         "fare_per_mile_by_distance": lambda: gp.rate_by_levels(dist, "dist_bin", DIST_LABELS, "fare_per_mile",
                                                        rate_name="fare_per_mile"),
         "tip_pct_hist": lambda: st.histogram(df, ["tip_pct"], bins=50),

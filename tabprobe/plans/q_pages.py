@@ -112,6 +112,11 @@ _page_table("page_medical_charges_hist", histogram_sql(qd._MED_SQL, "m", "charge
 _page_table("page_medical_charges_box", box_sql(qd._MED_SQL, "m", "charges", "charges", "smoker"),
             lambda s, d: medical_cost.results(qd._medical(s, d))["charges_box_by_smoker"])
 
+_page_table("page_medical_age_charges", f"""WITH {qd._MED_SQL}, e AS (SELECT min(age) AS xa, max(age) AS xb, min(charges) AS ya, max(charges) AS yb FROM m)
+SELECT smoker, CAST(least(floor((age - xa) / ((xb - xa) / 50.0)), 49) AS INTEGER) AS x_bin,
+  CAST(least(floor((charges - ya) / ((yb - ya) / 50.0)), 49) AS INTEGER) AS y_bin, count(*) AS count, round(avg(bmi), 6) AS mean_bmi
+FROM m, e GROUP BY ALL""", lambda s, d: medical_cost.results(qd._medical(s, d))["age_charges_bins"])
+
 # ── taxi ──────────────────────────────────────────────────────────────────
 _TAXI = {"fare_amount": "fare", "tip_amount": "tip", "trip_distance": "dist", "trip_duration_min": "dur", "speed_mph": "dist / (dur / 60)",
          "passenger_count": "pax", "total_amount": "fare + tip"}
