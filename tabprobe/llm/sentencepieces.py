@@ -33,7 +33,8 @@ from tabprobe.llm._common import chunks_by_bytes, small_batches, text_array
 
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
-KEPT_WORDS = 150_000
+KEPT_WORDS = 60_000
+LATTICE_BYTES = 200_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 
 
@@ -238,7 +239,13 @@ class Model:
         known, older = self.known, self.older
         known.update({w: older[w] for w in words if w not in known and w in older})
         new = [w for w in words if w not in known]
-        known.update(zip(new, self.segment([w.encode() for w in new])))
+        first = size = 0
+        raw = [w.encode() for w in new]
+        for n, w in enumerate(raw):  # a lattice of bounded size at a time, whole words
+            size += len(w)
+            if size >= LATTICE_BYTES or n + 1 == len(raw):
+                known.update(zip(new[first:n + 1], self.segment(raw[first:n + 1])))
+                first, size = n + 1, 0
         return [known[w] for w in words]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
