@@ -68,7 +68,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "__id", F.col("__id").alias("__keep"), F.lit(1).cast("long").alias("__size"),
         F.lit(True).alias("__kept"), "__sha")
     ids = rows.filter("__candidate").groupBy("__sha", "__id").agg(F.count(F.lit(1)).alias("__n"))
-    groups = ids.groupBy("__sha").agg(F.max("__id").alias("__keep"), F.sum("__n").alias("__size"))
+    # stored, so that the join reads both sides anew and a hot group's rows can be split over tasks
+    groups = stored(ids.groupBy("__sha").agg(F.max("__id").alias("__keep"), F.sum("__n").alias("__size")), "groups")
     several = (ids.join(groups, "__sha")
                .select("*", F.explode(F.sequence(F.lit(1).cast("long"), "__n")).alias("__copy"))
                .select("__id", "__keep", "__size",
