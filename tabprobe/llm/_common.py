@@ -28,7 +28,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Whole texts are long: hand Python at most ``rows`` at a time, unless the session asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
@@ -95,7 +95,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunks_by_bytes(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
+def chunks_by_bytes(batch: pa.RecordBatch, column: str, most: int = 2_000_000):
     """Slices of a batch whose texts take about ``most`` bytes together; a longer single
     text makes a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

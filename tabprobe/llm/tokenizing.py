@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 UNEVEN_SPACE = f"{_SPACE} | {_SPACE}"
-KEPT_WORDS = 150_000
+KEPT_WORDS = 80_000
 
 
 class WordEncoder:
