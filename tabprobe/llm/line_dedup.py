@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprobe.llm._common import chunks_by_bytes, mixed, stored, text_array, word_codes, word_hashes
+from tabprobe.llm._common import chunks_by_bytes, distinct, mixed, small_batches, stored, text_array, word_codes, word_hashes
 from tabprobe.llm.graph import connected_components
 from tabprobe.llm.verify import components_of, groups, links_of
 
@@ -40,7 +40,7 @@ FLAGS = 1 << 20
 GROUP_ROWS = 4096
 BLOCK_SETS = 256
 BLOCK_WORDS = 400_000
-LONG_RUN = 64
+COMPARED_ROWS = 200_000
 
 
 class Lines:
@@ -59,7 +59,7 @@ class Lines:
             rank[order] = np.arange(len(h))
             codes, h = rank[codes], h[order]
         n = len(h) or 1
-        key = np.unique(np.repeat(np.arange(len(self.text)), np.diff(offsets)) * n + codes)
+        key = distinct(np.repeat(np.arange(len(self.text)), np.diff(offsets)) * n + codes)
         self.line, self.words = key // n, h[key % n]
         self.size = np.bincount(self.line, minlength=len(self.text))
         self.start = np.concatenate([[0], np.cumsum(self.size)])
@@ -133,15 +133,18 @@ def _postings(docs: DataFrame, counters, threshold: float) -> DataFrame:
     return docs.mapInArrow(run, "word long, i int, j int, f1 long, f2 long, size int, place int, b0 long, b1 long")
 
 
-def _pass(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs of rows may be similar: length, positional and parity filters."""
+def _similar(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows (the first no larger than the second, and within the length bound) that may be similar:
+    positional filter first, then the parity maps."""
     n, m = x["size"][a], x["size"][b]
     least = np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)  # overlap of similar sets
-    fine = np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9
-    fine &= 1 + np.minimum(n - x["place"][a], m - x["place"][b]) - 1 >= least
+    fine = np.minimum(n - x["place"][a], m - x["place"][b]) >= least
+    a, b, most = a[fine], b[fine], (n + m - 2 * least)[fine]
     apart = sum(np.bitwise_count((x[c][a] ^ x[c][b]).view(np.uint64)).astype(np.int64) for c in ("b0", "b1"))
-    fine &= apart <= n + m - 2 * least
-    return fine & ((x["f1"][a] != x["f1"][b]) | (x["f2"][a] != x["f2"][b]))
+    fine = apart <= most
+    a, b = a[fine], b[fine]
+    fine = (x["f1"][a] != x["f1"][b]) | (x["f2"][a] != x["f2"][b])
+    return a[fine], b[fine]
 
 
 def _candidates(threshold: float):
@@ -162,56 +165,60 @@ def _candidates(threshold: float):
         return pa.record_batch({"a": binary(first[child]), "b": binary(first[root[child]])})
 
     def compare(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """The candidates among whole groups of rows, sorted by group."""
+        """The candidates among whole groups of rows, sorted by group and size: each row meets the rows 1, 2, ...
+        places behind it, until its group ends or the sets become too large for it."""
         rows = len(x["word"])
+        if not rows:
+            return
         new = np.ones(rows, bool)
         new[1:] = (x["word"][1:] != x["word"][:-1]) | (x["i"][1:] != x["i"][:-1]) | (x["j"][1:] != x["j"][:-1])
+        # one row for each set of a group: batches may post a set again
+        twin = ~new
+        twin[1:] &= (x["f1"][1:] == x["f1"][:-1]) & (x["f2"][1:] == x["f2"][:-1])
+        if twin.any():
+            x = {c: v[~twin] for c, v in x.items()}
+            new, rows = new[~twin], int((~twin).sum())
         run = np.cumsum(new) - 1
-        length = np.bincount(run, minlength=1)
-        pairs_a, pairs_b = [], []
-        few = np.flatnonzero((length[run] <= LONG_RUN) & (length[run] > 1)) if rows else np.empty(0, np.int64)
-        gap = 1
-        while len(few):
-            few = few[few + gap < rows]
-            few = few[run[few] == run[few + gap]]
-            hit = few[_pass(x, few, few + gap, threshold)]
-            pairs_a.append(hit)
-            pairs_b.append(hit + gap)
+        ends = np.append(np.flatnonzero(new)[1:], rows)[run]  # where each row's group ends
+        limit = x["size"] / threshold + 1e-9
+        at, gap, found_a, found_b, held = np.arange(rows), 1, [], [], 0
+        while len(at):
+            at = at[at + gap < ends[at]]
+            at = at[x["size"][at + gap] <= limit[at]]
+            a, b = _similar(x, at, at + gap, threshold)
+            if len(a):
+                found_a.append(a)
+                found_b.append(b)
+                held += len(a)
+            if held > 4 * rows:  # a forest of the pairs so far, so that they do not pile up
+                root = components_of(np.concatenate(found_a), np.concatenate(found_b), rows)
+                child = np.flatnonzero(root != np.arange(rows))
+                found_a, found_b, held = [child], [root[child]], len(child)
             gap += 1
-        if pairs_a and sum(map(len, pairs_a)):
-            yield forest(x, np.concatenate(pairs_a), np.concatenate(pairs_b))
-        for r in np.flatnonzero(length > LONG_RUN):
-            at = np.flatnonzero(run == r)
-            own = {k: v[at] for k, v in x.items()}
-            once = np.flatnonzero(~pd.DataFrame({"a": own["f1"], "b": own["f2"]}).duplicated().to_numpy())
-            own = {k: v[once] for k, v in own.items()}
-            found_a, found_b = [], []
-            for first in range(0, len(once), 256):
-                a = np.repeat(np.arange(first, min(first + 256, len(once))), len(once) - first)
-                b = np.tile(np.arange(first, len(once)), min(256, len(once) - first))
-                a, b = a[b > a], b[b > a]
-                fine = _pass(own, a, b, threshold)
-                if fine.any():  # a forest of the pairs so far, so that they do not pile up
-                    both = components_of(np.concatenate([*found_a[-1:], a[fine]]), np.concatenate([*found_b[-1:], b[fine]]), len(once))
-                    child = np.flatnonzero(both != np.arange(len(once)))
-                    found_a, found_b = [child], [both[child]]
-            if found_a:
-                yield forest(own, found_a[0], found_b[0])
+        if found_a:
+            yield forest(x, np.concatenate(found_a), np.concatenate(found_b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
+        held: list[pa.RecordBatch] = []
+        rows = 0
+
+        def rest() -> dict[str, np.ndarray]:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            return {c: whole.column(c).to_numpy() for c in names}
+
         for batch in batches:
-            if not batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < COMPARED_ROWS:
                 continue
-            x = {c: batch.column(c).to_numpy() for c in names}
-            if held is not None:
-                x = {c: np.concatenate([held[c], x[c]]) for c in names}
+            x = rest()
             last = np.flatnonzero((x["word"] != x["word"][-1]) | (x["i"] != x["i"][-1]) | (x["j"] != x["j"][-1]))
             cut = last[-1] + 1 if len(last) else 0  # the last group may go on in the next batch
-            held = {c: x[c][cut:] for c in names}
+            held = [pa.record_batch({c: x[c][cut:] for c in names})]
+            rows = 0 if cut else -COMPARED_ROWS  # a group longer than that waits for as many rows again
             yield from compare({c: x[c][:cut] for c in names})
-        if held is not None:
-            yield from compare(held)
+        if held:
+            yield from compare(rest())
 
     return run
 
@@ -221,6 +228,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     with a similarity of ``threshold`` or more, copies included), ``class_id`` and ``class_line`` (first line of the
     connected lines), ``match_id`` and ``match_line`` (first similar earlier line, else null) and ``kept``."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     split = stored(_split(texts), "lines")
     counters = np.zeros(BUCKETS, np.int32)
@@ -232,7 +240,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     some = texts.filter("id is not null")
     postings = _postings(some, spark.sparkContext.broadcast(counters), threshold)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ties = (postings.repartition(parts, "word", "i", "j").sortWithinPartitions("word", "i", "j")
+    ties = (postings.repartition(parts, "word", "i", "j").sortWithinPartitions("word", "i", "j", "size", "f1", "f2")
             .mapInArrow(_candidates(threshold), "a binary, b binary"))
     tied = connected_components(ties)
 
@@ -274,19 +282,24 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         "id", "line", "copies", "root", "block", "items", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, ["root", "i", "j"]):
-            group = group.combine_chunks().sort_by([("id", "ascending"), ("line", "ascending")])
-            a, b, links, least = links_of(group.column("items").combine_chunks(), group.column("block").to_numpy(), group.column("copies").to_numpy(),
-                                          group.column("i")[0] != group.column("j")[0], threshold)
-            rows = np.flatnonzero(links)
-            at = pa.array(np.concatenate([rows, a]))
-            to = pa.array(np.concatenate([least[rows], b]))
+        for table, edges in groups(batches, ["root", "i", "j"]):
+            items, block, copies = table.column("items").combine_chunks(), table.column("block").to_numpy(), table.column("copies").to_numpy()
+            across = table.column("i").to_numpy() != table.column("j").to_numpy()
+            cut, flat = np.asarray(items.offsets).astype(np.int64), np.asarray(items.flatten())
+            cut -= cut[0]
+            at, to, counts = [], [], []
+            for x, y in zip(edges, edges[1:]):
+                a, b, links, least = links_of(flat[cut[x]:cut[y]], cut[x:y + 1] - cut[x], block[x:y], copies[x:y], across[x], threshold)
+                rows = np.flatnonzero(links)
+                at += [rows + x, a + x]
+                to += [least[rows] + x, b + x]
+                counts += [links[rows], np.zeros(len(a), np.int64)]
+            at, to = pa.array(np.concatenate(at)), pa.array(np.concatenate(to))
             if len(at):
-                yield pa.record_batch([group.column(c).combine_chunks().take(t) for t in (at, to) for c in ("id", "line")]
-                                      + [pa.array(np.concatenate([links[rows], np.zeros(len(a), np.int64)]))],
+                yield pa.record_batch([table.column(c).combine_chunks().take(t) for t in (at, to) for c in ("id", "line")] + [pa.array(np.concatenate(counts))],
                                       names=["id", "line", "to_id", "to_line", "links"])
 
-    found = stored(pairs.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    found = stored(pairs.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "id", "line")
                    .mapInArrow(compare, f"id {kind}, line int, to_id {kind}, to_line int, links long"), "links")
     edges = found.filter("links = 0").select(F.struct("id", "line").alias("a"), F.struct(F.col("to_id").alias("id"), F.col("to_line").alias("line")).alias("b"))
     classes = connected_components(edges).withColumnRenamed("node", "first")
@@ -310,8 +323,9 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 def remove_lines(docs: DataFrame, lines: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines that ``lines`` (of ``line_dedup``) does not keep taken out of their texts. Rows with a
     null id and texts without such lines stay as they are."""
-    gone = lines.filter("not kept").groupBy(F.col(f"`{id_col}`").alias("__id")).agg(F.collect_set(F.col("line_no").cast("int")).alias("__gone"))
-    cut = F.array_join(F.transform(F.filter(F.transform(F.split(F.col(f"`{text_col}`"), "\n", -1), lambda x, n: F.struct(n.alias("n"), x.alias("x"))),
-                                            lambda s: ~F.array_contains("__gone", s["n"])), lambda s: s["x"]), "\n")
-    joined = docs.join(gone, docs[id_col] == gone["__id"], "left")
-    return joined.select(*[(F.when(F.col("__gone").isNull(), docs[c]).otherwise(cut).alias(c) if c == text_col else docs[c]) for c in docs.columns])
+    gone = lines.filter("not kept").groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.collect_set(F.col("line_no").cast("int")).alias("gone"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("own"))
+    numbered = F.transform(F.split(F.col("row")[text_col], "\n", -1), lambda x, n: F.struct(n.alias("n"), x.alias("x")))
+    rest = F.transform(F.filter(numbered, lambda s: ~F.array_contains("gone", s["n"])), lambda s: s["x"])
+    text = F.when(F.col("gone").isNull(), F.col("row")[text_col]).otherwise(F.array_join(rest, "\n"))
+    return rows.join(gone, F.col("own") == F.col("id"), "left").select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])

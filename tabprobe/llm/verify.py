@@ -7,25 +7,36 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from tabprobe.llm._common import distinct
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The runs of equal keys of a sorted partition."""
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """A sorted partition as tables of whole groups of equal keys, about ``rows`` rows each, with the rows at which
+    the groups begin and the end. A longer group makes a table of its own."""
     held: list[pa.RecordBatch] = []
-    last = None
+    have = 0
+
+    def edges(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            c = table.column(k).to_numpy()
+            new[1:] |= c[1:] != c[:-1]
+        return np.append(np.flatnonzero(new), table.num_rows)
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        edges = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
-            key = tuple(c[a] for c in columns)
-            if last is not None and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
+        held.append(batch)
+        have += batch.num_rows
+        if have >= rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            cut = edges(table)
+            if len(cut) > 2:  # the last group may go on in the next batch
+                yield table.slice(0, cut[-2]), cut[:-1]
+            held, have = table.slice(cut[-2]).to_batches(), 0
     if held:
-        yield pa.Table.from_batches(held)
+        table = pa.Table.from_batches(held).combine_chunks()
+        if table.num_rows:
+            yield table, edges(table)
 
 
 def components_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -44,15 +55,14 @@ def components_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             root = up
 
 
-def links_of(sets: pa.ListArray, block: np.ndarray, weight: np.ndarray, across: bool, threshold: float):
-    """(a, b, links, least) of rows whose sets of whole numbers have a Jaccard similarity of ``threshold`` or more:
+def links_of(items: np.ndarray, cut: np.ndarray, block: np.ndarray, weight: np.ndarray, across: bool, threshold: float):
+    """(a, b, links, least) of rows whose sets of whole numbers (row i: ``items[cut[i]:cut[i + 1]]``) have a Jaccard similarity of ``threshold`` or more:
     a spanning forest of the links, each row's sum of its partners' weights and its first partner (a row number;
     the row's own where it has none). ``across``: only pairs of different blocks count."""
-    cut = np.asarray(sets.offsets).astype(np.int64)
     sizes = np.diff(cut)
     order = np.argsort(sizes, kind="stable")
-    _, codes = np.unique(np.asarray(sets.flatten()), return_inverse=True)
-    flat = np.concatenate([codes[cut[i] - cut[0]:cut[i + 1] - cut[0]] for i in order])
+    codes = np.searchsorted(distinct(items), items)
+    flat = np.concatenate([codes[cut[i]:cut[i + 1]] for i in order])
     size = sizes[order]
     start = np.concatenate([[0], np.cumsum(size)])
     mark = np.zeros(codes.max() + 1, np.int8)
