@@ -1,6 +1,8 @@
 """Quality classifier from weak labels.
 
-1. Overlapping heuristic labellers look at each whole text and vote junk, fine or nothing.
+1. Overlapping heuristic labellers look at each whole text and vote junk, fine or nothing. Variety of words
+   is the share of distinct words in each of the text's consecutive windows of ``WINDOW`` words, averaged by
+   words over all of them, so that it does not depend on length.
 2. Expectation-maximisation over the counts of vote patterns (of *all* documents; at most
    3 ** labellers patterns, whatever the input) estimates the share of junk and the accuracy of
    each labeller from how they overlap. That gives each pattern a posterior.
@@ -49,6 +51,7 @@ LABELLERS = {
     "not_prose": (NEVER, 1.0),
 }
 LEAST_WORDS = 20  # for the measures that say little about a few words
+WINDOW = 200  # words: repeats are counted within windows, as over a whole text their share rises with its length
 
 _BYTES = np.arange(256)
 _SYMBOL = np.isin(_BYTES, np.frombuffer(b"*$&%#|<>{}[]=+~^\\_@", np.uint8))
@@ -83,7 +86,12 @@ class Texts:
         doc = np.repeat(np.arange(len(texts)), n)
         same = np.zeros(len(codes), np.int64)
         same[1:] = (codes[1:] == codes[:-1]) & (doc[1:] == doc[:-1])
-        kinds_of_words = np.bincount(distinct(doc * (len(dictionary) or 1) + codes) // (len(dictionary) or 1), minlength=len(texts))
+        # all consecutive windows of each text; a window's distinct words count towards its text
+        windows = -(-n // WINDOW)
+        first = np.cumsum(windows) - windows
+        window = first[doc] + (np.arange(len(codes)) - offsets[:-1][doc]) // WINDOW
+        kinds = distinct(window * (len(dictionary) or 1) + codes) // (len(dictionary) or 1)
+        kinds_of_words = np.bincount(np.repeat(np.arange(len(texts)), windows)[kinds], minlength=len(texts))
 
         def matching(pattern: str) -> np.ndarray:
             return per_text(pc.match_substring_regex(dictionary, pattern).to_numpy(zero_copy_only=False).astype(np.int64)) / words

@@ -1,7 +1,10 @@
 """Toxicity and quality: exact neighbours, held-out accuracy, estimation, edge cases."""
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tabprobe.llm import quality as Q, toxicity as X
 from tabprobe.llm._common import text_array
@@ -103,3 +106,42 @@ def test_quality_edge_cases(docs_of):
     assert votes[1]["no_words"] == votes[2]["no_words"] == votes[3]["no_words"] == "J" and votes[50]["capital_words"] == "J" and votes[51]["symbols"] == "J"
     assert Q.score(docs_of([]), Q.fit(docs_of([]))).count() == 0
     assert Q.fit(docs_of([])).score(text_array(pa.array(["a"])))[0] == 0.5
+
+
+LICENCES = Path("/usr/share/common-licenses")
+
+
+def long_prose(words: int) -> str:
+    """Real prose: the licence texts of the system one after another, from the start again until there are enough words."""
+    texts = [p.read_text() for p in sorted(LICENCES.iterdir()) if not p.is_symlink() and p.name != "BSD"]
+    out, n = [], 0
+    while n < words:
+        out.append(texts[len(out) % len(texts)])
+        n += len(out[-1].split())
+    return "\n".join(out)
+
+
+def measure(text: str, name: str) -> float:
+    return float(Q.Texts.of(text_array(pa.array([text]))).measures[0, list(Q.LABELLERS).index(name)])
+
+
+def test_variety_does_not_depend_on_length():
+    w = [f"w{k}" for k in range(150)]
+    for n in (200, 2_000, 50_000):
+        assert abs(measure(" ".join(w[k % 200 % 150] for k in range(n)), "little_variety") - 0.25) < 1e-9
+    # every window counts, the last and shorter one too, and windows of one text do not reach into the next
+    two = Q.Texts.of(text_array(pa.array([" ".join(w[:100] * 3), " ".join(w[:100]), None, " ".join(["same"] * 30)])))
+    assert np.allclose(two.measures[:, list(Q.LABELLERS).index("little_variety")], [1 / 3, 0, 0, 29 / 30])
+
+
+@pytest.mark.skipif(not LICENCES.is_dir(), reason="no licence texts on this system")
+def test_long_clean_prose_is_kept(spark):
+    text = long_prose(50_000)
+    assert len(text.split()) >= 50_000
+    assert measure(text, "little_variety") < 0.45 and measure(text, "not_prose") < 1
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    df = docs.unionByName(spark.createDataFrame([(-1, text), (-2, "cheap pills buy " * 20_000)], docs.schema))
+    got = {r.doc_id: r for r in Q.score(df, Q.fit(df)).filter("doc_id < 0").collect()}
+    votes = dict(zip(Q.LABELLERS, got[-1].votes))
+    assert votes["little_variety"] == "-" and votes["not_prose"] == "F"
+    assert got[-1].score >= 0.5 and got[-1].posterior >= 0.5 and got[-2].score < 0.5
