@@ -1,6 +1,7 @@
 """Licence scan by canonical digest lookup, with DataFrame functions only.
 
-A text is made canonical: lower case, copyright lines removed, punctuation and
+A text is made canonical: lower case, copyright statements at the start of a line
+removed up to the end of their sentence (at most the line), punctuation and
 white space folded to single spaces, equivalent spellings unified. Its SHA-256
 is looked up in the digests of the known licences, which pass through the same
 expressions. The same lookup runs for every line, which finds the one-line
@@ -23,7 +24,17 @@ from tabprobe.llm.license_texts import KNOWN
 
 # Fixed values: (pattern, replacement), applied in this order to lower-case text. Both Java's
 # and RE2's regular expressions read them alike.
-COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n]*(copyright [^\n]*[0-9]{4}|copyright ?\(c\)|copyright ?©|\(c\) ?[0-9]{4}|©)[^\n]*"
+# A copyright statement goes from the start of a line to the end of its sentence. A point inside a word, before a
+# digit or sign, before "and", "or", "et" and "its", or after an initial does not end it; an initial does where the
+# next word may begin a notice or licence (licensed, released, all rights, this, permission, MIT, Apache and so on).
+# A statement with more than 40 such points ends there, so that Java's matcher needs little stack.
+_UP_TO_POINT = r"[^\n.!?]*"
+_NAME = (r"([^\s.!?abdgilmprtz]|a([^lp]|p[^a]|l([^l]|l[^ ]))|b[^s]|d([^i]|i[^s])|g[^n]|i([^s]|s[^c])|l([^i]|i[^c])|m([^io]|i[^t]|o[^z])"
+         r"|p([^e]|e([^r]|r[^m]))|r([^e]|e[^dl])|t([^h]|h[^ei])|z[^l])")
+_GOES_ON = rf"([.!?]+[^\s.!?]|[.!?][ \t]+([0-9<(\[&,;:/-]|and |or |et |its )|[ ,.(]([^\s.!?0-9]\.[ \t]*){{1,3}}{_NAME})"
+_SENTENCE = rf"({_UP_TO_POINT}{_GOES_ON}){{0,40}}{_UP_TO_POINT}"
+COPYRIGHT_LINE = (rf"(^|\n)[^\p{{L}}\p{{N}}\n]*(copyright {_SENTENCE}[0-9]{{4}}|copyright ?\(c\)|copyright ?©|\(c\) ?[0-9]{{4}}|©)"
+                  rf"{_SENTENCE}[.!?]*")
 SPELLINGS = [
     (r"\blicenc(e|ed|es|ing)\b", "licens{1}"),
     (r"\bsub[ -]licens", "sublicens"),

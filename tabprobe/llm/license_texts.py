@@ -2,9 +2,14 @@
 
 Each entry is (licence id, kind, text); ``text`` entries are whole licences and
 ``notice`` entries are the one-line statements that point to one. Copyright
-lines are left out, since the scan ignores them.
+statements are left out of the short texts, since the scan ignores them; the long
+ones are whole files in ``license_files``, named by licence id. A text is also known
+with "All rights reserved." before it, which often stands between the copyright
+statement and the licence.
 """
 
+from importlib.resources import files
+
 _MIT = """
 MIT License
 
@@ -133,7 +138,10 @@ WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
 For more information, please refer to <http://unlicense.org/>
 """
 
-KNOWN = [
+_FILES = ("Apache-2.0", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0",
+          "MPL-1.1", "MPL-2.0")
+
+_TEXTS = [
     ("MIT", "text", _MIT),
     ("ISC", "text", _ISC),
     ("0BSD", "text", _0BSD),
@@ -141,6 +149,12 @@ KNOWN = [
     ("BSD-3-Clause", "text", _BSD_HEAD + _BSD_THIRD + _BSD_TAIL),
     ("Zlib", "text", _ZLIB),
     ("Unlicense", "text", _UNLICENSE),
+    *[(name, "text", files(__package__).joinpath("license_files", f"{name}.txt").read_text("utf-8")) for name in _FILES],
+]
+
+KNOWN = [
+    *_TEXTS,
+    *[(name, kind, "All rights reserved.\n" + text) for name, kind, text in _TEXTS],
     ("MIT", "notice", "Released under the MIT License."),
     ("MIT", "notice", "Licensed under the MIT License."),
     ("MIT", "notice", "This project is licensed under the MIT License."),
