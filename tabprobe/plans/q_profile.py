@@ -266,6 +266,30 @@ def q_corr_kendall(spark, d):
     return _r(cr.correlation_long(table(spark, d, "customer"), _KENDALL_COLS, "kendall"), ["corr"], 9)
 
 
+def _kendall_lineitem_sql() -> str:
+    """Tau-b without a pair join: one column of each pair has few levels. For each value of the other one, rows
+    below it are counted by level, and concordant less discordant pairs are summed over (value, level) cells."""
+    cols = sorted(_CORR_COLS, key=lambda c: c != "l_extendedprice")
+    one = [f"SELECT '{c}' AS var1, '{c}' AS var2, 1.0::DOUBLE AS corr" for c in cols]
+    for k, a in enumerate(cols):
+        for b in cols[k + 1:]:
+            one.append(f"""SELECT unnest(['{a}', '{b}']) AS var1, unnest(['{b}', '{a}']) AS var2, corr FROM (
+WITH g AS (SELECT {a} AS x, {b} AS y, count(*) AS n FROM lineitem WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL),
+cells AS (SELECT x, y, coalesce(n, 0) AS n FROM (SELECT DISTINCT x FROM g) CROSS JOIN (SELECT DISTINCT y FROM g) LEFT JOIN g USING (x, y)),
+below AS (SELECT x, y, n, coalesce(sum(n) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM cells),
+sides AS (SELECT n, coalesce(sum(b) OVER (PARTITION BY x ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS less,
+                 coalesce(sum(b) OVER (PARTITION BY x ORDER BY y ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS more FROM below),
+pairs AS (SELECT (SELECT sum(n) FROM g) AS m, (SELECT sum(n * (n - 1)) FROM (SELECT sum(n) AS n FROM g GROUP BY x)) AS tx,
+                 (SELECT sum(n * (n - 1)) FROM (SELECT sum(n) AS n FROM g GROUP BY y)) AS ty, (SELECT sum(n * (less - more)) FROM sides) AS s)
+SELECT round(2.0::DOUBLE * s / (sqrt((m * (m - 1) - tx)::DOUBLE) * sqrt((m * (m - 1) - ty)::DOUBLE)), 9) AS corr FROM pairs)""")
+    return " UNION ALL ".join(one)
+
+
+@query("corr_kendall_lineitem", _kendall_lineitem_sql())
+def q_corr_kendall_lineitem(spark, d):
+    return _r(cr.correlation_long(table(spark, d, "lineitem"), _CORR_COLS, "kendall"), ["corr"], 9)
+
+
 @query("top_correlations", f"""
 SELECT var1, var2, corr FROM ({_corr_sql()}) m
 WHERE list_position({_CORR_COLS!r}, var1) < list_position({_CORR_COLS!r}, var2)

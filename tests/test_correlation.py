@@ -119,3 +119,22 @@ def test_kendall_of_a_large_table_agrees_with_a_pair_count(spark):
     rows = [(float(rnd.randint(0, 40)), float(rnd.randint(0, 900))) for _ in range(1500)]
     got = {(r.i, r.j): r["corr"] for r in kendall_pairs(spark.createDataFrame(rows, "a double, b double"), ["a", "b"], cap=200).collect()}
     assert abs(got[0, 1] - brute_force_tau_b([r[0] for r in rows], [r[1] for r in rows])) < 1e-9
+
+
+def test_kendall_of_lineitem_in_small_base_cases(spark):
+    """All of lineitem's columns and rows through the division into buckets, against all pairs of rows."""
+    import numpy as np
+    from conftest import SF_SMALL
+    from tabprobe.operators.kendall import kendall_pairs
+    from tabprobe.plans.q_profile import _CORR_COLS
+    from tabprobe.plans.registry import QUERIES
+    df = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").select(_CORR_COLS)
+    pdf = df.toPandas().astype(float)
+    assert len(pdf) == 6000
+    signs = [np.sign(v[:, None] - v[None, :]).astype(np.float32) for v in (pdf[c].to_numpy() for c in _CORR_COLS)]
+    size = [np.sqrt(np.abs(s).sum(dtype=float)) for s in signs]
+    exp = {(i, j): (signs[i] * signs[j]).sum(dtype=float) / (size[i] * size[j]) for i in range(5) for j in range(i, 5)}
+    got = {(r.i, r.j): r["corr"] for r in kendall_pairs(df, _CORR_COLS, cap=500).collect()}
+    assert got.keys() == exp.keys() and all(abs(got[k] - exp[k]) < 1e-9 for k in exp)
+    registered = {(r.var1, r.var2): r["corr"] for r in QUERIES["corr_kendall_lineitem"](spark, SF_SMALL).collect()}
+    assert all(abs(registered[_CORR_COLS[i], _CORR_COLS[j]] - v) < 2e-9 for (i, j), v in exp.items())
