@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import exact_dedup, license_scan, line_dedup, multi_index, ngram_join, packing, quality, sentencepieces, toxicity, warc
+from tabprobe.llm import (exact_dedup, license_scan, line_dedup, multi_index, ngram_join, packing, periodic_runs, quality,
+                          sentencepieces, toxicity, warc)
 from tabprobe.llm.license_texts import KNOWN
 from tabprobe.sources.io import table
 
@@ -129,3 +130,33 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentencepieces.load(tokenizer_path("piece_bpe_32k.model"))
     decoded = sentencepieces.decode(sentencepieces.encode(docs, model), model)
     return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def run_digests(docs: DataFrame) -> DataFrame:
+    """Periodic runs of ``documents``, one in ten of which is rewritten first: from word a on it repeats p words."""
+    def rewritten(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        place = lambda i: F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, place(i))), " "))
+
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    text = F.when(h % 10 == 0, F.transform(F.array(words), rewritten)[0]).otherwise(F.col("text"))  # words are split once
+    found = periodic_runs.periodic_runs(docs.select("doc_id", text.alias("text")))
+    kind = found.schema["runs"].dataType.elementType
+    best = F.reduce("runs", F.lit(None).cast(kind), lambda top, r: F.when(
+        top.isNull() | (r["length"] * top["period"] > top["length"] * r["period"]), r).otherwise(top))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.withColumn("top", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.floor(F.col("top.length") * 1000 / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(table(spark, sf_dir, "documents"))
