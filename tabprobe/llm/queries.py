@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabprobe.llm import (exact_dedup, license_scan, line_dedup, multi_index, ngram_join, packing, periodic_runs, quality,
-                          sentencepieces, toxicity, warc)
+                          sentencepieces, toxicity, vector_cells, warc)
 from tabprobe.llm.license_texts import KNOWN
 from tabprobe.sources.io import table
 
@@ -160,3 +160,8 @@ def run_digests(docs: DataFrame) -> DataFrame:
 @query("op13_periodic_runs")
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op12_vector_cells")
+def op12_vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_cells.near_vectors(table(spark, sf_dir, "embeddings"))
