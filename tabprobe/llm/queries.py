@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabprobe.llm import (exact_dedup, license_scan, line_dedup, multi_index, ngram_join, packing, periodic_runs, quality,
-                          sentencepieces, toxicity, vector_cells, warc)
+                          sentencepieces, toxicity, vector_cells, warc, whitening)
 from tabprobe.llm.license_texts import KNOWN
 from tabprobe.sources.io import table
 
@@ -165,3 +165,9 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_vector_cells")
 def op12_vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_cells.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
