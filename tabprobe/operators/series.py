@@ -1,13 +1,11 @@
-"""Per-entity time-series features: returns, rolling volatility, rebasing,
-period returns and the return correlation across entities.
+"""Per-entity time-series features: returns, rolling volatility, rebasing and
+period returns.
 
 Input is a series unique on ``(entity, time)`` (e.g. one close per ticker per
-day; raw events are aggregated to that grain first).  Windows are
-partitioned by entity.  For very long series ``block_rows`` switches to
-blocked windows: rows get a distributed position (range partitioning, no
-single-partition window), are cut into blocks of ``block_rows`` and each
-block carries a halo of the ``window`` rows before it, so no task holds
-more than ``block_rows + window`` rows of one entity.
+day; raw events are aggregated to that grain first).  Rows get a distributed
+position (range partitioning, no single-partition window), are cut into blocks
+of ``block_rows`` and each block carries a halo of the ``window`` rows before
+it, so no task holds more than ``block_rows + window`` rows of one entity.
 """
 
 from __future__ import annotations
@@ -18,9 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprobe.operators._util import broadcast_if_small
+from tabprobe.operators.co_moments import long_returns
 from tabprobe.operators.ranks import row_index
 from tabprobe.sources.io import col
 
+BLOCK_ROWS = 1 << 17
+
 
 def _features(df: DataFrame, part: list, order, value: str, window: int,
               ret: str, logret: str, vol: str) -> DataFrame:
@@ -35,34 +36,29 @@ def _features(df: DataFrame, part: list, order, value: str, window: int,
 
 
 def series_features(df: DataFrame, entity: str, time: str, value: str, window: int = 20,
-                    block_rows: int | None = None, ret: str = "daily_return",
+                    block_rows: int = BLOCK_ROWS, ret: str = "daily_return",
                     logret: str = "log_return", vol: str | None = None,
                     norm: str = "normalized") -> DataFrame:
     """Adds percent change (×100), log return, rolling sample std of the percent
     change over ``window`` rows (only when all ``window`` values exist) and the
     value rebased to 100 at the entity's first row.
 
-    ``block_rows`` cuts the series of every entity into blocks of that many rows
-    (see above); without it each entity is one window.  Both give the same rows;
-    rows without an entity form a series of their own, which is not rebased."""
+    The rows do not depend on ``block_rows``; rows without an entity form a series of
+    their own, which is not rebased."""
     vol = vol or f"volatility_{window}"
     first = (df.filter(col(entity).isNotNull())
              .groupBy(col(entity)).agg(F.min_by(col(value), col(time)).alias("_first")))
-    if block_rows is None:
-        out = _features(df, [col(entity)], col(time), value, window, ret, logret, vol)
-    else:
-        idx = row_index(df, [entity], [time], name="_idx")
-        halo = window
-        blk = F.floor(F.col("_idx") / block_rows)
-        own = idx.withColumn("_blk", blk).withColumn("_halo", F.lit(False))
-        # a row is halo for every later block whose first ``halo`` predecessors include it
-        last = F.floor((F.col("_idx") + halo) / block_rows)
-        nxt = (idx.filter(last > blk)
-               .withColumn("_blk", F.explode(F.sequence((blk + 1).cast("long"), last.cast("long"))))
-               .withColumn("_halo", F.lit(True)))
-        both = own.unionByName(nxt)
-        out = _features(both, [col(entity), F.col("_blk")], F.col("_idx"), value, window, ret, logret, vol)
-        out = out.filter(~F.col("_halo")).drop("_idx", "_blk", "_halo")
+    idx = row_index(df, [entity], [time], name="_idx")
+    blk = F.floor(F.col("_idx") / block_rows)
+    own = idx.withColumn("_blk", blk).withColumn("_halo", F.lit(False))
+    # a row is halo for every later block whose first ``window`` predecessors include it
+    last = F.floor((F.col("_idx") + window) / block_rows)
+    nxt = (idx.filter(last > blk)
+           .withColumn("_blk", F.explode(F.sequence((blk + 1).cast("long"), last.cast("long"))))
+           .withColumn("_halo", F.lit(True)))
+    both = own.unionByName(nxt)
+    out = _features(both, [col(entity), F.col("_blk")], F.col("_idx"), value, window, ret, logret, vol)
+    out = out.filter(~F.col("_halo")).drop("_idx", "_blk", "_halo")
     out = out.join(broadcast_if_small(first), entity, "left")
     return out.withColumn(norm, F.try_divide(col(value), F.col("_first")) * 100).drop("_first")
 
@@ -85,13 +81,6 @@ def pivot_returns(df: DataFrame, entity: str, time: str, value: str,
     pivot of mean values; rows with any NULL dropped (pandas
     ``pivot_table().pct_change().dropna()``)."""
     ents = list(entities)
-    grid_vals = (df.filter(col(entity).isin(ents))
-                 .groupBy(col(time).alias("_t"), col(entity).alias("_e"))
-                 .agg(F.avg(col(value)).alias("_x")))
-    times = grid_vals.select("_t").distinct()
-    grid = times.select("_t", F.explode(F.array(*[F.lit(e) for e in ents])).alias("_e"))
-    full = grid.join(grid_vals, ["_t", "_e"], "left")
-    w = Window.partitionBy("_e").orderBy("_t")
-    full = full.withColumn("_r", F.try_divide(F.col("_x"), F.lag("_x").over(w)) - 1)
-    wide = full.groupBy("_t").pivot("_e", ents).agg(F.first("_r"))
-    return wide.dropna(subset=ents).withColumnRenamed("_t", time)
+    returns = long_returns(df.filter(col(entity).isin(ents)), entity, time, value)
+    wide = returns.groupBy(col(time)).pivot(entity, ents).agg(F.first("ret"))
+    return wide.dropna(subset=ents)

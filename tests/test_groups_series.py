@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabprobe.operators import groups as gp
 from tabprobe.operators import ranks as rk
 from tabprobe.operators import reshape as rs
+from tabprobe.operators import co_moments as cm
 from tabprobe.operators import series as se
 
 
@@ -158,7 +159,7 @@ def test_series_features_by_hand(spark):
 
 def test_blocks_keep_rows_without_an_entity(spark):
     df = spark.createDataFrame([("a", 1, 1.0), (None, 1, 5.0), ("a", 2, 2.0), (None, 2, 6.0), (None, 3, 9.0)], "k string, d int, v double")
-    plain, blocks = (sorted(map(repr, se.series_features(df, "k", "d", "v", window=2, block_rows=n).collect())) for n in (None, 2))
+    plain, blocks = (sorted(map(repr, se.series_features(df, "k", "d", "v", window=2, block_rows=n).collect())) for n in (100, 2))
     assert plain == blocks and len(plain) == 5
 
 
@@ -169,3 +170,57 @@ def test_pivot_returns_match_pandas(spark):
     assert set(got) == set(exp.index)
     for d, row in exp.iterrows():
         assert abs(got[d][0] - row["A"]) < 1e-12 and abs(got[d][1] - row["B"]) < 1e-12
+
+
+def _expected_correlation(pdf, complete):
+    """pandas: pivot of means, change between rows, pairwise correlation."""
+    r = pdf.pivot_table(index="t", columns="e", values="v").sort_index().pct_change(fill_method=None)
+    r = r.dropna() if complete else r
+    c, has = r.corr(min_periods=2), r.notna().astype(int)
+    n = has.T @ has
+    return {(a, b): (int(n.loc[a, b]), None if math.isnan(c.loc[a, b]) else c.loc[a, b]) for a in c.index for b in c.columns}
+
+
+def _check_correlation(df, pdf, **sizes):
+    for complete in (True, False):
+        returns = cm.long_returns(df, "e", "t", "v")
+        names = returns.select("e").distinct()
+        if complete:
+            returns = cm.complete_rows(returns, names.count())
+        got = {(r.var1, r.var2): (r.n, r["corr"]) for r in cm.long_correlation(returns, "e", names=names, **sizes).collect()}
+        want = _expected_correlation(pdf, complete)
+        assert set(got) == set(want)
+        for k, (n, c) in want.items():
+            assert got[k][0] == n, k
+            assert (got[k][1] is None) == (c is None) and (c is None or abs(got[k][1] - c) < 1e-9), (k, got[k], c)
+
+
+def test_long_correlation_equals_pandas_with_a_hot_entity(spark):
+    """One entity holds a third of all rows; others are sparse, one is constant, one has a single value."""
+    r = np.random.default_rng(8)
+    rows = [("hot", t, float(v)) for t, v in enumerate(50 + r.normal(size=300).cumsum())]
+    rows += [(f"e{i}", int(t), float(100 + 30 * i + r.normal())) for i in range(20) for t in sorted(r.choice(300, 28, replace=False))]
+    rows += [(f"d{i}", t, float(10 + r.random())) for i in range(3) for t in range(40, 60)]
+    rows += [("flat", t, 7.0) for t in range(30, 60)] + [("one", 5, 1.0)] + [("hot", 7, 55.0)]
+    pdf = pd.DataFrame(rows, columns=["e", "t", "v"])
+    df = spark.createDataFrame(rows + [(None, 3, 1.0), ("hot", None, 2.0)], "e string, t int, v double")
+    _check_correlation(df, pdf, entities=4, time_rows=16)
+    few = pdf[pdf.e.isin(["hot", "d0", "d1", "flat"])]
+    _check_correlation(spark.createDataFrame(few), few)
+
+
+def test_long_correlation_of_many_entities(spark):
+    df = (spark.range(600).withColumnRenamed("id", "e").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(11))))
+          .withColumn("v", 10 + F.pmod(F.xxhash64("e", "t"), F.lit(1000)) / 100.0))
+    got = cm.return_correlation(df, "e", "t", "v")
+    assert got.count() == 600 * 600 and got.filter("n <> 11 or corr is null or abs(corr) > 1").count() == 0
+    pdf = df.toPandas()
+    want = _expected_correlation(pdf[pdf.e < 5], True)
+    assert all(abs(r["corr"] - want[r.var1, r.var2][1]) < 1e-9 for r in got.filter("var1 < 5 and var2 < 5").collect())
+
+
+def test_long_correlation_of_nothing(spark):
+    df = spark.createDataFrame([], "e string, t int, v double")
+    assert cm.return_correlation(df, "e", "t", "v").count() == 0
+    one = spark.createDataFrame([("a", 1, 2.0)], "e string, t int, v double")
+    assert [(r.var1, r.n, r["corr"]) for r in cm.return_correlation(one, "e", "t", "v", complete=False).collect()] == [("a", 0, None)]
