@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tabprobe.functions import filters as fl
 from tabprobe.plans.registry import query
+from tabprobe.session import ensure_checkpoint_dir
+from tabprobe.sources.clustered import read_clustered, write_clustered
 from tabprobe.sources.io import table
 
 # Characters Python's str.strip() removes in ASCII text.
@@ -13,6 +17,9 @@ WHITESPACE = " \t\n\r\x0b\x0c"
 _WS_SQL = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 
 
+_CLUSTERED = ["l_extendedprice", "l_quantity", "l_partkey"]
+
+
 @query("filter_positive", """
 SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0
 """)
@@ -31,6 +38,30 @@ def q_filter_range(spark, d):
     return li.select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
+def _clustered_lineitem(spark, d) -> str:
+    """The folder of a copy of ``lineitem`` clustered by price, quantity and part."""
+    path = f"{ensure_checkpoint_dir(spark)}/lineitem-{uuid.uuid4().hex}"
+    write_clustered(table(spark, d, "lineitem"), path, _CLUSTERED, bloom=["l_partkey"])
+    return path
+
+
+@query("clustered_filter_range", """
+SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+WHERE l_extendedprice >= 10000 AND l_extendedprice <= 20000 AND l_quantity >= 10 AND l_quantity <= 30
+""")
+def q_clustered_filter_range(spark, d):
+    li = read_clustered(spark, _clustered_lineitem(spark, d), _CLUSTERED, ranges={"l_extendedprice": (10000, 20000), "l_quantity": (10, 30)})
+    return li.select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query("clustered_lookup", """
+SELECT * FROM lineitem WHERE l_partkey IN (7, 77, 777, 1500) AND l_quantity >= 5
+""")
+def q_clustered_lookup(spark, d):
+    return read_clustered(spark, _clustered_lineitem(spark, d), _CLUSTERED, ranges={"l_quantity": (5, None)},
+                          values={"l_partkey": [7, 77, 777, 1500], "l_returnflag": []})
+
+
 @query("filter_derived_cap", """
 SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity AS unit_price
 FROM lineitem WHERE l_quantity > 0 AND l_extendedprice / l_quantity <= 1500
