@@ -43,16 +43,23 @@ def rate_by_levels(df: DataFrame, key: str, levels: Sequence[str], target: str,
 
     With ``by`` the grid is levels × observed values of the ``by`` keys; it
     is generated by exploding a literal level array, not by a join."""
+    agg = df.groupBy(*[col(k) for k in [*by, key]]).agg(F.avg(col(target)).alias(rate_name), F.count(col(target)).alias(count_name))
+    return fill_levels(agg, key, levels, by, count_name)
+
+
+def fill_levels(agg: DataFrame, key: str, levels: Sequence[str], by: Sequence[str] = (), count_name: str = "count") -> DataFrame:
+    """An aggregated table (keys ``by`` and ``key``, groups with NULL keys included) with a row for every level, per
+    observed ``by`` keys: missing ones get NULLs and the count 0."""
     by = list(by)
-    agg = group_agg(df, by + [key], F.avg(col(target)).alias(rate_name), F.count(col(target)).alias(count_name))
     lv = F.explode(F.array(*[F.lit(x) for x in levels])).alias(key)
     if by:
-        grid = _nonnull_keys(df, by).select(*[col(b) for b in by]).distinct().select("*", lv)
+        grid = _nonnull_keys(agg, by).select(*[col(b) for b in by]).distinct().select("*", lv)
     else:
-        grid = df.sparkSession.range(1).select(lv)
+        grid = agg.sparkSession.range(1).select(lv)
     pos = F.array_position(F.array(*[F.lit(x) for x in levels]), col(key))
-    out = grid.join(agg, by + [key], "left").fillna(0, [count_name])
-    return out.select(*by, key, (pos - 1).cast("int").alias(f"{key}_ord"), rate_name,
+    out = grid.join(_nonnull_keys(agg, by + [key]), by + [key], "left").fillna(0, [count_name])
+    others = [c for c in agg.columns if c not in {*by, key, count_name}]
+    return out.select(*by, key, (pos - 1).cast("int").alias(f"{key}_ord"), *others,
                       F.col(count_name).cast("long").alias(count_name))
 
 

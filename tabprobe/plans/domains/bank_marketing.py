@@ -9,6 +9,7 @@ from tabprobe.functions import columns as cx
 from tabprobe.functions import filters as fl
 from tabprobe.operators import groups as gp
 from tabprobe.operators import stats as st
+from tabprobe.operators.grouping import GroupedTables
 from tabprobe.plans.domains.common import LazyTables
 from tabprobe.sources.io import col
 
@@ -46,13 +47,18 @@ def kpis(df: DataFrame) -> DataFrame:
 
 
 def results(df: DataFrame) -> dict[str, DataFrame]:
+    rate = {"rate": ("avg", "y_binary"), "count": ("count", "y_binary")}
+    grouped = GroupedTables(df, {
+        "kpis": ((), {"contacts": ("count", "*"), "subscriptions": ("sum", "y_binary"), "conversion_rate": ("avg", "y_binary"),
+                      "mean_duration": ("avg", "duration"), "mean_campaign": ("avg", "campaign")}),
+        "job": (["job"], rate), "age": (["age_group"], rate),
+        "month": (["month"], {"rate": ("avg", "y_binary"), "contacts": ("count", "y_binary")})})
     return LazyTables({
-        "kpis": lambda: kpis(df),
-        "by_job": lambda: gp.rate_by_key(df, ["job"], "y_binary"),
+        "kpis": lambda: grouped["kpis"],
+        "by_job": lambda: grouped["job"],
         "age_hist_by_y": lambda: st.histogram(df, ["age"], bins=40, by=["y"]),
-        "by_age_group": lambda: gp.rate_by_levels(df, "age_group", AGE_LABELS, "y_binary"),
-        "by_month": lambda: gp.sort_by_levels(gp.rate_by_key(df, ["month"], "y_binary", count_name="contacts"),
-                                      "month", MONTH_ORDER),
+        "by_age_group": lambda: gp.fill_levels(grouped.rows("age"), "age_group", AGE_LABELS),
+        "by_month": lambda: gp.sort_by_levels(grouped["month"], "month", MONTH_ORDER),
         "econ_scatter": lambda: st.scatter_bins(df, "euribor3m", "cons.price.idx", by=["y"]),
     })
 

@@ -9,6 +9,7 @@ from tabprobe.functions import columns as cx
 from tabprobe.functions import filters as fl
 from tabprobe.operators import groups as gp
 from tabprobe.operators import stats as st
+from tabprobe.operators.grouping import GroupedTables
 from tabprobe.plans.domains.common import LazyTables
 
 # Employment-length codes, grade order, interest-rate brackets.
@@ -39,19 +40,22 @@ def apply_filters(df: DataFrame, grades=None, purposes=None) -> DataFrame:
 
 def results(df: DataFrame) -> dict[str, DataFrame]:
     dti = df.withColumn("dti_bin", cx.cut("dti", DTI_EDGES))
-    by_purpose = gp.group_agg(df, ["purpose"], F.avg("int_rate").alias("avg_rate"),
-                              F.avg("default").alias("default_rate")).orderBy("avg_rate", "purpose")
+    grouped = GroupedTables(dti, {
+        "kpis": ((), {"loans": ("count", "*"), "default_rate": ("avg", "default"), "mean_loan": ("avg", "loan_amnt"),
+                      "mean_rate": ("avg", "int_rate"), "mean_dti": ("avg", "dti")}),
+        "grade": (["grade"], {"default_rate": ("avg", "default"), "count": ("count", "default")}),
+        "term": (["term"], {"rate": ("avg", "default")}),
+        "purpose": (["purpose"], {"avg_rate": ("avg", "int_rate"), "default_rate": ("avg", "default")}),
+        "dti": (["dti_bin"], {"rate": ("avg", "default"), "count": ("count", "default")})})
     return LazyTables({
-        "kpis": lambda: df.agg(F.count(F.lit(1)).alias("loans"), F.avg("default").alias("default_rate"),
-                       F.avg("loan_amnt").alias("mean_loan"), F.avg("int_rate").alias("mean_rate"),
-                       F.avg("dti").alias("mean_dti")),
-        "by_grade": lambda: gp.rate_by_key(df, ["grade"], "default", rate_name="default_rate"),
-        "by_term": lambda: gp.group_agg(df, ["term"], F.avg("default").alias("rate")),
+        "kpis": lambda: grouped["kpis"],
+        "by_grade": lambda: grouped["grade"],
+        "by_term": lambda: grouped["term"],
         "income_loan_bins": lambda: st.scatter_bins(df, "annual_inc", "loan_amnt", by=["default"]),
         "lti_box_by_default": lambda: st.box_summary(df, ["loan_to_income"], by=["default"]),
-        "by_purpose": lambda: by_purpose,
+        "by_purpose": lambda: grouped["purpose"].orderBy("avg_rate", "purpose"),
         "dti_hist_by_default": lambda: st.histogram(df, ["dti"], bins=40, by=["default"]),
-        "by_dti_bin": lambda: gp.rate_by_levels(dti, "dti_bin", cx.interval_labels(DTI_EDGES), "default"),
+        "by_dti_bin": lambda: gp.fill_levels(grouped.rows("dti"), "dti_bin", cx.interval_labels(DTI_EDGES)),
     })
 
 

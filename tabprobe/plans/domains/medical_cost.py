@@ -9,6 +9,7 @@ from tabprobe.functions import columns as cx
 from tabprobe.functions import filters as fl
 from tabprobe.operators import groups as gp
 from tabprobe.operators import stats as st
+from tabprobe.operators.grouping import GroupedTables
 from tabprobe.plans.domains.common import LazyTables
 
 # BMI categories and age groups (right-closed bins).
@@ -35,27 +36,27 @@ def apply_filters(df: DataFrame, regions=None, smoker: str = "All") -> DataFrame
 
 
 def results(df: DataFrame) -> dict[str, DataFrame]:
+    cost = {"cost": ("avg", "charges"), "count": ("count", "charges")}
+    charge = {"avg_charge": ("avg", "charges"), "count": ("count", "charges")}
+    grouped = GroupedTables(df, {
+        "kpis": ((), {"patients": ("count", "*"), "mean_cost": ("avg", "charges"), "mean_age": ("avg", "age"), "mean_bmi": ("avg", "bmi")}),
+        "smoker": (["smoker"], charge), "children": (["smoker", "has_children"], {"cost": ("avg", "charges")}),
+        "age": (["smoker", "age_group"], cost), "bmi": (["smoker", "bmi_category"], cost), "region": (["region", "smoker"], charge)})
+
     def by_smoker():
-        med = gp.median_by(df, ["smoker"], "charges")
-        return gp.group_agg(df, ["smoker"], F.avg("charges").alias("avg_charge"),
-                            F.count("charges").alias("count")).join(med, "smoker")
-    kpis = df.agg(F.count(F.lit(1)).alias("patients"), F.avg("charges").alias("mean_cost"),
-                  F.avg("age").alias("mean_age"), F.avg("bmi").alias("mean_bmi"))
+        return grouped["smoker"].join(gp.median_by(df, ["smoker"], "charges"), "smoker")
 
     def median_cost():
         return gp.quantile_scalar(df, "charges", 0.5).select("q").scalar()
     return LazyTables({
-        "kpis": lambda: kpis.withColumn("median_cost", median_cost()),
+        "kpis": lambda: grouped["kpis"].withColumn("median_cost", median_cost()),
         "charges_hist_by_smoker": lambda: st.histogram(df, ["charges"], bins=50, by=["smoker"]),
         "charges_box_by_smoker": lambda: st.box_summary(df, ["charges"], by=["smoker"]),
         "by_smoker": by_smoker,
-        "by_smoker_children": lambda: gp.group_agg(df, ["smoker", "has_children"], F.avg("charges").alias("cost")),
-        "age_group_x_smoker": lambda: gp.rate_by_levels(df, "age_group", AGE_LABELS, "charges", rate_name="cost",
-                                                by=["smoker"]),
-        "bmi_x_smoker": lambda: gp.rate_by_levels(df, "bmi_category", BMI_LABELS, "charges", rate_name="cost",
-                                          by=["smoker"]),
-        "region_x_smoker": lambda: gp.group_agg(df, ["region", "smoker"], F.avg("charges").alias("avg_charge"),
-                                        F.count("charges").alias("count")),
+        "by_smoker_children": lambda: grouped["children"],
+        "age_group_x_smoker": lambda: gp.fill_levels(grouped.rows("age"), "age_group", AGE_LABELS, ["smoker"]),
+        "bmi_x_smoker": lambda: gp.fill_levels(grouped.rows("bmi"), "bmi_category", BMI_LABELS, ["smoker"]),
+        "region_x_smoker": lambda: grouped["region"],
         "age_charges_bins": lambda: st.scatter_bins(df, "age", "charges", by=["smoker"], means=["bmi"]),
         "bmi_charges_bins": lambda: st.scatter_bins(df, "bmi", "charges", by=["smoker", "sex"]),
     })

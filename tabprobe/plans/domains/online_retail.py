@@ -9,6 +9,7 @@ from tabprobe.functions import columns as cx
 from tabprobe.functions import filters as fl
 from tabprobe.operators import groups as gp
 from tabprobe.operators import stats as st
+from tabprobe.operators.grouping import GroupedTables
 from tabprobe.plans.domains.common import LazyTables
 
 # Month names for the month-of-year table.
@@ -55,7 +56,9 @@ def results(df: DataFrame, cancellations: DataFrame, sales_rows: DataFrame) -> d
     cust = gp.group_agg(df, ["CustomerID"], F.sum("Revenue").alias("total_spend"),
                         F.count_distinct("InvoiceNo").alias("orders"), F.avg("Revenue").alias("avg_order"))
 
-    moy = gp.group_agg(df, ["Month_of_Year"], F.sum("Revenue").alias("revenue"))
+    grouped = GroupedTables(df, {
+        "month": (["Month_of_Year"], {"revenue": ("sum", "Revenue")}),
+        "product": (["Description"], {"revenue": ("sum", "Revenue"), "qty": ("sum", "Quantity")})})
     return LazyTables({
         "kpis": lambda: kpis.withColumn("mean_order_value", per_inv.select(F.avg("rev")).scalar()),
         "missing_customer": lambda: fl.missing_key_audit(sales_rows, "CustomerID"),
@@ -65,10 +68,9 @@ def results(df: DataFrame, cancellations: DataFrame, sales_rows: DataFrame) -> d
                                                           F.count(F.lit(1)).alias("cancellations")),
                                              "cancellations", 10, ["Country"]),
         "revenue_by_country": lambda: revenue_by(df, "Country", 15),
-        "top_products": lambda: gp.top_k(gp.group_agg(df, ["Description"], F.sum("Revenue").alias("revenue"),
-                                              F.sum("Quantity").alias("qty")), "revenue", 20, ["Description"]),
+        "top_products": lambda: gp.top_k(grouped["product"], "revenue", 20, ["Description"]),
         "monthly": lambda: revenue_by(df, "Month"),
-        "month_of_year": lambda: moy.withColumn("Month_Name", F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]),
+        "month_of_year": lambda: grouped["month"].withColumn("Month_Name", F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]),
                                                                    F.col("Month_of_Year"))),
         "customers": lambda: cust,
         "spend_hist": lambda: st.histogram(cust, ["total_spend"], bins=50),

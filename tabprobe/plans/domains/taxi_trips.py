@@ -9,6 +9,7 @@ from tabprobe.functions import columns as cx
 from tabprobe.functions import filters as fl
 from tabprobe.operators import groups as gp
 from tabprobe.operators import stats as st
+from tabprobe.operators.grouping import GroupedTables
 from tabprobe.plans.domains.common import LazyTables
 
 # Payment codes and trip-distance bins.
@@ -46,23 +47,22 @@ def apply_filters(df: DataFrame, min_dist: float = 0.0, max_fare: float = 200) -
 
 def results(df: DataFrame) -> dict[str, DataFrame]:
     dist = df.withColumn("dist_bin", cx.cut("trip_distance", DIST_EDGES, DIST_LABELS))
-    pax = gp.group_agg(df, ["passenger_count"], F.count("fare_amount").alias("trips"),
-                       F.avg("fare_amount").alias("avg_fare"))
-    wk = gp.group_agg(df, ["weekend"], F.count("fare_amount").alias("trips"))
+    fares = {"trips": ("count", "fare_amount"), "avg_fare": ("avg", "fare_amount")}
+    grouped = GroupedTables(dist, {
+        "kpis": ((), {"trips": ("count", "*"), "mean_fare": ("avg", "fare_amount"), "mean_tip": ("avg", "tip_amount"),
+                      "mean_distance": ("avg", "trip_distance"), "tip_rate": ("avg", "tipped")}),
+        "hour": (["hour"], fares), "passengers": (["passenger_count"], fares), "weekend": (["weekend"], {"trips": ("count", "fare_amount")}),
+        "distance": (["dist_bin"], {"fare_per_mile": ("avg", "fare_per_mile"), "count": ("count", "fare_per_mile")}),
+        "payment": (["payment_label"], {"tip_rate": ("avg", "tipped"), "avg_tip": ("avg", "tip_amount"), "count": ("count", "tipped")})})
     return LazyTables({
-        "kpis": lambda: df.agg(F.count(F.lit(1)).alias("trips"), F.avg("fare_amount").alias("mean_fare"),
-                       F.avg("tip_amount").alias("mean_tip"), F.avg("trip_distance").alias("mean_distance"),
-                       F.avg("tipped").alias("tip_rate")),
-        "by_hour": lambda: gp.group_agg(df, ["hour"], F.count("fare_amount").alias("trips"),
-                                F.avg("fare_amount").alias("avg_fare")),
+        "kpis": lambda: grouped["kpis"],
+        "by_hour": lambda: grouped["hour"],
         "distance_fare_bins": lambda: st.scatter_bins(df, "trip_distance", "fare_amount", means=["tip_amount"]),
-        "fare_per_mile_by_distance": lambda: gp.rate_by_levels(dist, "dist_bin", DIST_LABELS, "fare_per_mile",
-                                                       rate_name="fare_per_mile"),
+        "fare_per_mile_by_distance": lambda: gp.fill_levels(grouped.rows("distance"), "dist_bin", DIST_LABELS),
         "tip_pct_hist": lambda: st.histogram(df, ["tip_pct"], bins=50),
-        "by_payment": lambda: gp.group_agg(df, ["payment_label"], F.avg("tipped").alias("tip_rate"),
-                                   F.avg("tip_amount").alias("avg_tip"), F.count("tipped").alias("count")),
-        "by_passengers": lambda: gp.share_of_total(pax, "trips", "share"),
-        "weekday_weekend": lambda: wk.withColumn("weekend", cx.recode("weekend", WEEKEND_LABELS)),
+        "by_payment": lambda: grouped["payment"],
+        "by_passengers": lambda: gp.share_of_total(grouped["passengers"], "trips", "share"),
+        "weekday_weekend": lambda: grouped["weekend"].withColumn("weekend", cx.recode("weekend", WEEKEND_LABELS)),
     })
 
 

@@ -10,6 +10,7 @@ from tabprobe.functions import filters as fl
 from tabprobe.operators import groups as gp
 from tabprobe.operators import reshape as rs
 from tabprobe.operators import stats as st
+from tabprobe.operators.grouping import GroupedTables
 from tabprobe.plans.domains.common import LazyTables
 
 # Platform → console generation.
@@ -50,27 +51,25 @@ def apply_filters(df: DataFrame, platforms=None, genres=None, year_range=(2000,
 
 
 def results(df: DataFrame, genres: list[str] | None = None) -> dict[str, DataFrame]:
-    def sales_games(key):
-        return gp.group_agg(df, [key], F.sum("Global_Sales").alias("sales"), F.count("Name").alias("games"))
-
-    by_gen_genre = gp.group_agg(df, ["Generation", "Genre"], F.sum("Global_Sales").alias("sales"))
-    regions = rs.melt(df.select("Name", *REGIONS), ["Name"], var_name="Region", value_name="Sales")
-    regions = regions.withColumn("Region", F.replace("Region", F.lit("_Sales"), F.lit("")))
-    genre_region = gp.group_agg(df, ["Genre"], F.sum("NA_Sales").alias("NA"), F.sum("EU_Sales").alias("EU"),
-                                F.sum("JP_Sales").alias("JP"))
+    sales = {"sales": ("sum", "Global_Sales"), "games": ("count", "Name")}
+    by_region = {r.removesuffix("_Sales"): ("sum", r) for r in REGIONS}
+    grouped = GroupedTables(df, {
+        "Platform": (["Platform"], sales), "Generation": (["Generation"], sales), "Genre": (["Genre"], sales), "Year": (["Year"], sales),
+        "generation_genre": (["Generation", "Genre"], {"sales": ("sum", "Global_Sales")}),
+        "region": ((), by_region), "genre_region": (["Genre"], {r: by_region[r] for r in ("NA", "EU", "JP")})})
 
     return LazyTables({
         "kpis": lambda: df.agg(F.count(F.lit(1)).alias("games"), F.sum("Global_Sales").alias("sales"),
                        F.avg("Global_Sales").alias("mean_sales"), F.count_distinct("Platform").alias("platforms"),
                        F.count_distinct("Publisher").alias("publishers")),
-        "platform_top15": lambda: gp.top_k(sales_games("Platform"), "sales", 15, ["Platform"]),
-        "by_generation": lambda: sales_games("Generation").orderBy(F.desc("sales"), "Generation"),
-        "genre_share": lambda: gp.share_of_total(sales_games("Genre"), "sales", "share"),
-        "generation_x_genre": lambda: rs.pivot_table(by_gen_genre, ["Generation"], "Genre", "sales", levels=genres,
+        "platform_top15": lambda: gp.top_k(grouped["Platform"], "sales", 15, ["Platform"]),
+        "by_generation": lambda: grouped["Generation"].orderBy(F.desc("sales"), "Generation"),
+        "genre_share": lambda: gp.share_of_total(grouped["Genre"], "sales", "share"),
+        "generation_x_genre": lambda: rs.pivot_table(grouped["generation_genre"], ["Generation"], "Genre", "sales", levels=genres,
                                              aggfunc="sum"),
-        "by_year": lambda: sales_games("Year"),
-        "by_region": lambda: gp.group_agg(regions, ["Region"], F.sum("Sales").alias("sales")),
-        "genre_x_region": lambda: rs.melt(genre_region, ["Genre"], var_name="Region", value_name="Sales"),
+        "by_year": lambda: grouped["Year"],
+        "by_region": lambda: rs.melt(grouped.rows("region"), var_name="Region", value_name="sales"),
+        "genre_x_region": lambda: rs.melt(grouped["genre_region"], ["Genre"], var_name="Region", value_name="Sales"),
         "sales_hist": lambda: st.histogram(df, ["Global_Sales"], bins=50),
         "sales_hist_axis": lambda: gp.quantile_scalar(df, "Global_Sales", 0.95),  # where the plot's axis ends
     })

@@ -193,7 +193,8 @@ def fraud_view(spark, d) -> DataFrame:
 
 
 _FRAUD_SQL = """fraud AS (SELECT CAST(epoch(l_shipdate) - 788918400 + l_linenumber * 3600 + l_orderkey % 3600 AS DOUBLE)
-  AS Time, l_extendedprice / 10 AS Amount, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS Class FROM lineitem),
+  AS Time, l_extendedprice / 10 AS Amount, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS Class,
+  l_quantity AS V1, l_discount AS V2, l_tax AS V3, CAST(l_linenumber AS DOUBLE) AS V4 FROM lineitem),
 f AS (SELECT * FROM fraud WHERE Amount <= 5000)"""
 
 
@@ -239,7 +240,8 @@ def bank_view(spark, d) -> DataFrame:
 
 _BANK_SQL = """bank AS (SELECT CAST(18 + o_custkey % 90 AS INTEGER) AS age, o_orderpriority AS job,
   lower(strftime(o_orderdate, '%b')) AS month, CAST(trunc(o_totalprice / 1000) AS INTEGER) AS duration,
-  CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y_binary FROM orders),
+  CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y_binary, (o_totalprice % 500) / 100 AS euribor3m,
+  92.0 + (o_custkey % 300) / 100 AS cons_price FROM orders),
 b AS (SELECT *, CASE WHEN age > 0 AND age <= 25 THEN '<25' WHEN age > 25 AND age <= 35 THEN '25-34'
   WHEN age > 35 AND age <= 45 THEN '35-44' WHEN age > 45 AND age <= 55 THEN '45-54'
   WHEN age > 55 AND age <= 65 THEN '55-64' WHEN age > 65 AND age <= 100 THEN '65+' END AS age_group
@@ -297,7 +299,8 @@ def medical_view(spark, d) -> DataFrame:
         F.col("r_name").alias("region"), (F.col("c_acctbal") + 1000).alias("charges"))
 
 
-_MED_SQL = """med AS (SELECT CAST(18 + c_custkey % 50 AS INTEGER) AS age, 15.0 + (c_acctbal + 1000) / 250 AS bmi,
+_MED_SQL = """med AS (SELECT CAST(18 + c_custkey % 50 AS INTEGER) AS age, CASE WHEN c_custkey % 2 = 0 THEN 'female' ELSE 'male' END AS sex,
+  CASE WHEN c_custkey % 4 > 0 THEN 1 ELSE 0 END AS has_children, 15.0 + (c_acctbal + 1000) / 250 AS bmi,
   CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'yes' ELSE 'no' END AS smoker, r_name AS region,
   c_acctbal + 1000 AS charges
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
@@ -491,7 +494,8 @@ _GEN_CASE = (
 _VGS_SQL = f"""v0 AS (SELECT {_PLAT_SQL}[CAST(l_partkey % {len(_PLATFORMS)} + 1 AS INTEGER)] AS Platform,
   year(l_shipdate) AS Year, p_type AS Genre, p_name AS Name,
   l_extendedprice / 100000 + l_quantity / 100 + l_discount + l_tax AS Global_Sales,
-  l_extendedprice / 100000 AS NA_Sales, l_quantity / 100 AS EU_Sales, l_discount AS JP_Sales, l_tax AS Other_Sales
+  l_extendedprice / 100000 AS NA_Sales, l_quantity / 100 AS EU_Sales, l_discount AS JP_Sales, l_tax AS Other_Sales,
+  CASE WHEN l_suppkey % 9 <> 0 THEN p_brand ELSE 'Unknown' END AS Publisher
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 v AS (SELECT *, coalesce(CASE Platform {_GEN_CASE} END, 'Other') AS Generation FROM v0
   WHERE Global_Sales > 0 AND Year BETWEEN 2000 AND 2020)"""
@@ -553,7 +557,8 @@ def loan_view(spark, d) -> DataFrame:
 _LOAN_SQL = f"""l0 AS (SELECT ['A','B','C','D','E','F','G'][CAST(o_orderkey % 7 + 1 AS INTEGER)] AS grade,
   {[*_EMP_CODES]!r}[CAST(o_custkey % {len(_EMP_CODES)} + 1 AS INTEGER)] AS emp_length,
   5.0 + (o_orderkey % 260) / 10 AS int_rate, o_orderpriority AS purpose, CAST(o_orderkey % 50 AS DOUBLE) AS dti,
-  CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS "default"
+  CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS "default", o_totalprice / 10 AS loan_amnt,
+  CASE WHEN o_orderkey % 2 = 0 THEN '36 months' ELSE '60 months' END AS term, c_acctbal * 50 + 60000 AS annual_inc
   FROM orders JOIN customer ON o_custkey = c_custkey),
 l AS (SELECT * FROM l0 WHERE emp_length <> 'n/a' AND dti IS NOT NULL)"""
 

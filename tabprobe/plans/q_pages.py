@@ -128,6 +128,8 @@ _page_table("page_taxi_kpis", f"""WITH {qd._TAXI_SQL} SELECT count(*) AS trips,
 _page_table("page_taxi_tip_hist", histogram_sql(qd._TAXI_SQL, "t2", "tip_pct", "tip_pct", 50), lambda s, d: taxi_trips.results(qd._taxi(s, d))["tip_pct_hist"])
 
 # ── retail ────────────────────────────────────────────────────────────────
+_RETAIL_SQL_CUSTOMERS = qd._RETAIL_SQL + """, cu AS (SELECT CustomerID, sum(Revenue) AS total_spend, count(DISTINCT InvoiceNo) AS orders,
+  avg(Revenue) AS avg_order FROM clean GROUP BY 1)"""
 _RETAIL = {"Quantity": "Quantity", "UnitPrice": "UnitPrice", "Revenue": "Revenue"}
 _page_table("page_retail_stats", stats_sql(qd._RETAIL_SQL, "clean", _RETAIL), lambda s, d: st.descriptive_stats(qd._retail(s, d)[2], online_retail.NUM_COLS))
 _page_table("page_retail_outliers", outlier_sql(qd._RETAIL_SQL, "clean", _RETAIL), lambda s, d: outlier_report_iqr(qd._retail(s, d)[2], online_retail.NUM_COLS))
