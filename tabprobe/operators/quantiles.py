@@ -109,7 +109,7 @@ def _select(base: DataFrame, t: DataFrame, keys: list[str], n_targets: int) -> D
 def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str,
                     probs: Sequence[float], accuracy: int = 10_000,
                     max_bracket: int = 10_000, bins: int = 1024,
-                    max_rounds: int = 40, approx_start: bool = True) -> DataFrame:
+                    max_rounds: int = 40, approx_start: bool = True, approx: bool = False) -> DataFrame:
     """Quantiles of ``value`` per ``keys`` group.
 
     Returns ``keys…, p, n, q`` (``n`` non-null values; ``q`` NULL when n = 0),
@@ -117,8 +117,12 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str,
     ``q = x[floor h] + (h - floor h)(x[ceil h] - x[floor h])``.
     ``approx_start`` seeds brackets from ``percentile_approx`` (use it when
     groups are few; for many small groups plain refinement is cheaper).
+    ``approx=True`` gives the quantiles of KLL sketches instead, from one pass.
     """
     keys = list(keys)
+    if approx:
+        from tabprobe.operators.sketches import approx_quantiles
+        return approx_quantiles(long_df, keys, value, probs)
     v = col(value).cast("double")
     # infinities rank as the largest finite numbers, so that bucket widths stay finite, and come back at the end
     v = F.greatest(F.lit(-_LARGEST), F.least(F.lit(_LARGEST), F.nanvl(v, F.lit(None).cast("double"))))

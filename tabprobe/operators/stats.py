@@ -9,9 +9,12 @@ to no group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -162,3 +165,84 @@ def scatter_bins(df: DataFrame, x: str, y: str, x_bins: int = 50, y_bins: int =
 
     return (points.groupBy(*by, idx("_x", xa, xb, x_bins).alias("x_bin"), idx("_y", ya, yb, y_bins).alias("y_bin"))
             .agg(F.count(F.lit(1)).alias("count"), *[F.avg(col(c)).alias(f"mean_{c}") for c in means]))
+
+
+def scatter_matrix(df: DataFrame, columns: Sequence[str] = (), bins: int = 20, vector: str | None = None) -> DataFrame:
+    """``x, y, x_bin, y_bin, count``: the 2-D bins of every pair of columns (x before y), from one pass after the one for the
+    ranges. With ``vector``, the columns are the places (from 0) of an array column; its rows of another length than the
+    longest have no points. A point counts where both values are finite; tasks emit count arrays, at most
+    ``bins ** 2`` rows a pair."""
+    if vector is not None:
+        source = df.select(F.transform(col(vector), lambda c: c.cast("double")).alias("v")).filter("v is not null")
+        width = source.agg(F.max(F.size("v"))).first()[0] or 0
+        source = source.filter(F.size("v") == width)
+        names = [str(i) for i in range(width)]
+    else:
+        names = numeric_columns(df, columns or None)
+        frame = numeric_frame(df, names)
+        source = frame.select(F.array(*[col(c) for c in names]).alias("v"))
+        width = len(names)
+    finite = F.abs("x") < float("inf")
+    ranges = {r["i"]: (r["a"], r["b"]) for r in source.select(F.posexplode("v").alias("i", "x")).filter(F.col("x").isNotNull() & finite)
+              .groupBy("i").agg(F.min("x").alias("a"), F.max("x").alias("b")).collect()}  # one row a column
+    low = np.array([ranges.get(i, (0.0, 0.0))[0] for i in range(width)])
+    high = np.array([ranges.get(i, (0.0, 0.0))[1] for i in range(width)])
+    step = (high - low) / float(bins)
+
+    def count(batches):
+        grids = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+            fits = np.isfinite(x)
+            with np.errstate(all="ignore"):
+                place = np.where(fits & (step > 0), np.minimum(np.floor((x - low) / step), bins - 1), 0).astype(np.int64)
+            for i in range(width):
+                for j in range(i + 1, width):
+                    both = fits[:, i] & fits[:, j]
+                    grids[i, j] = grids.get((i, j), 0) + np.bincount(place[both, i] * bins + place[both, j], minlength=bins * bins)
+        for (i, j), grid in grids.items():
+            at = np.flatnonzero(grid)
+            yield pa.record_batch({"i": pa.array(np.full(len(at), i, np.int32)), "j": pa.array(np.full(len(at), j, np.int32)),
+                                   "x_bin": pa.array((at // bins).astype(np.int32)), "y_bin": pa.array((at % bins).astype(np.int32)),
+                                   "count": pa.array(grid[at])})
+
+    counts = (source.mapInArrow(count, "i int, j int, x_bin int, y_bin int, count long")
+              .groupBy("i", "j", "x_bin", "y_bin").agg(F.sum("count").alias("count")))
+    label = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    return counts.select(F.get(label, "i").alias("x"), F.get(label, "j").alias("y"), "x_bin", "y_bin", "count")
+
+
+def nice_step(low: float, high: float, most_bins: int) -> float:
+    """The smallest 1, 2 or 5 times a power of ten that cuts [low, high] into at most ``most_bins`` parts; 1 for a single point."""
+    raw = (high / 2 - low / 2) / most_bins * 2
+    if not raw > 0:
+        return 1.0
+    power = 10.0 ** math.floor(math.log10(raw))
+    return next(m * power for m in (1.0, 2.0, 5.0, 10.0) if raw <= m * power * (1 + 1e-12))
+
+
+def histogram_nice(df: DataFrame, columns: Sequence[str], most_bins: int = 40, by: Sequence[str] = ()) -> DataFrame:
+    """Histogram whose bins are whole multiples of a step of 1, 2 or 5 times a power of ten: ``most_bins`` is an upper bound of the
+    step's choice (one more bin may be needed at an edge). All groups share the edges; bins are closed on the left;
+    infinities are dropped; empty bins between the ends count 0. Output: ``by…, column, bin_lo, bin_hi, count``."""
+    by = list(by)
+    cols = numeric_columns(df, columns)
+    long = numeric_long(df, cols, by).filter(F.col("value").isNotNull() & (F.abs("value") < float("inf")))
+    ends = {r["column"]: (r["a"], r["b"]) for r in
+            long.groupBy("column").agg(F.min("value").alias("a"), F.max("value").alias("b")).collect()}  # one row a column
+    steps = {c: nice_step(a, b, most_bins) for c, (a, b) in ends.items()}
+
+    def of(values: dict) -> Column:
+        return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("column")] if values else F.lit(None).cast("double")
+
+    step = of(steps)
+    place = F.floor(F.col("value") / step)
+    counts = long.groupBy(*[col(b) for b in by], "column", place.alias("place")).agg(F.count(F.lit(1)).alias("count"))
+    first, last = (of({c: math.floor(e[k] / steps[c]) for c, e in ends.items()}).cast("long") for k in (0, 1))
+    groups = long.select(*[col(b) for b in by], "column").distinct()
+    grid = groups.select("*", F.explode(F.sequence(first, last)).alias("place"))
+    out = grid.join(counts, [*by, "column", "place"], "left")
+    return out.select(*[col(b) for b in by], "column", (F.col("place") * step).alias("bin_lo"), ((F.col("place") + 1) * step).alias("bin_hi"),
+                      F.coalesce("count", F.lit(0)).cast("long").alias("count"))

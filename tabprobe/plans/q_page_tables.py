@@ -101,11 +101,15 @@ def _retail(name):
     return tables
 
 
+def _retail_customers(name):
+    return lambda s, d: _retail(name)(s, d).withColumn("avg_order", F.col("avg_order") + OFF_TIE)
+
+
 _page_table("page_retail_month_of_year", f"""WITH {qd._RETAIL_SQL} SELECT CAST(month(InvoiceDate) AS INTEGER) AS Month_of_Year, round(sum(Revenue), 6) AS revenue,
   strftime(any_value(InvoiceDate), '%b') AS Month_Name FROM clean GROUP BY 1""", _retail("month_of_year"))
-_CUSTOMERS = "SELECT CustomerID, round(total_spend, 6) AS total_spend, orders, round(avg_order, 6) AS avg_order FROM cu"
-_page_table("page_retail_customers", f"WITH {_RETAIL_SQL_CUSTOMERS} {_CUSTOMERS}", _retail("customers"))
-_page_table("page_retail_top_customers", f"WITH {_RETAIL_SQL_CUSTOMERS} {_CUSTOMERS} ORDER BY cu.total_spend DESC, CustomerID LIMIT 10", _retail("top_customers"))
+_CUSTOMERS = f"SELECT CustomerID, round(total_spend, 6) AS total_spend, orders, round(avg_order + {OFF_TIE}, 6) AS avg_order FROM cu"
+_page_table("page_retail_customers", f"WITH {_RETAIL_SQL_CUSTOMERS} {_CUSTOMERS}", _retail_customers("customers"))
+_page_table("page_retail_top_customers", f"WITH {_RETAIL_SQL_CUSTOMERS} {_CUSTOMERS} ORDER BY cu.total_spend DESC, CustomerID LIMIT 10", _retail_customers("top_customers"))
 _page_table("page_retail_spend_axis", f"WITH {_RETAIL_SQL_CUSTOMERS} SELECT count(*) AS n, round(quantile_cont(total_spend, 0.95), 6) AS q FROM cu",
             _retail("spend_hist_axis"))
 

@@ -31,4 +31,5 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from tabprobe.plans import (  # noqa: F401
-        q_columns, q_csv, q_domains, q_filters, q_groups, q_page_tables, q_pages, q_profile, q_series, q_sources)
+        q_columns, q_csv, q_domains, q_filters, q_groups, q_page_tables, q_pages, q_profile, q_series, q_sketches,
+        q_sources)

@@ -7,9 +7,10 @@ the Parquet copy (column pruning, pushed filters, parallel splits).
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,6 +116,18 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     w.parquet(path)
 
 
+def write_observed(df: DataFrame, path: str, metrics: dict[str, Column], mode: str = "overwrite",
+                   max_records_per_file: int = 5_000_000) -> DataFrame:
+    """Write ``df`` as Parquet and return ``metrics`` (plain aggregates, by name) over the rows written as one row: both come
+    from the same scan. The aggregates run in the writing stage itself, whose tasks count once even when they are
+    run again."""
+    seen = Observation(f"write-{uuid.uuid4().hex}")
+    (df.observe(seen, *[c.alias(n) for n, c in metrics.items()]).write.mode(mode)
+     .option("maxRecordsPerFile", max_records_per_file).parquet(path))
+    kinds = df.agg(*[c.alias(n) for n, c in metrics.items()]).schema
+    return df.sparkSession.createDataFrame([tuple(seen.get[n] for n in metrics)], kinds)
+
+
 def dataset_audit(spark: SparkSession, sf_dir: str,
                   declared: dict[str, int] | None = None,
                   names: list[str] | None = None) -> DataFrame:
