@@ -113,7 +113,8 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     def key_of(column: pa.Array) -> pa.Array:
         return pa.array(curve_keys(text_array(column)))
 
-    sampled = (texts.join(F.broadcast(chosen), "id", "left_semi")
+    # one row an id, so that an id that holds many rows adds one to what the driver gets
+    sampled = (texts.join(F.broadcast(chosen), "id", "left_semi").groupBy("id", "tie").agg(F.min("text").alias("text"))
                .select(key_of("text").alias("key"), "tie", F.octet_length("text").alias("size")).toArrow())
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = _cuts(sampled, parts)
@@ -126,28 +127,26 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
 
     keyed = texts.withColumn("at", placed("text", "tie")).select("id", "text", F.col("at.key").alias("key"), F.col("at.part").alias("part"))
     kind = docs.schema[id_col].dataType.simpleString()
-    end = np.array([end_id], "<u4")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence, filled = TaskContext.get().partitionId() << 40, 0
         for whole in batches:
             for batch in chunks_by_bytes(whole, "text"):
                 ids, offsets = encoder(tokenizer_path).encode(text_array(batch.column("text")))
-                rows: list[tuple] = []
-                for d, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
-                    own = np.concatenate([ids[a:b], end])
-                    at = 0
-                    while at < len(own):
-                        n = min(length - filled, len(own) - at)
-                        rows.append((d, at, n, own[at:at + n].tobytes(), len(own), sequence, filled))
-                        at, filled = at + n, filled + n
-                        if filled == length:
-                            sequence, filled = sequence + 1, 0
-                if rows:
-                    d, *columns = zip(*rows)
-                    long = [pa.array(c, pa.binary() if i == 2 else pa.int64()) for i, c in enumerate(columns)]
-                    yield pa.record_batch([batch.column("id").take(pa.array(d)), *long, batch.column("key").take(pa.array(d))],
-                                          names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "curve_key"])
+                # all documents end to end, each with its end id; pieces end with documents and with sequences
+                begin = offsets + np.arange(len(offsets))
+                own = np.full(begin[-1], end_id, "<u4")
+                inner = np.ones(len(own), bool)
+                inner[begin[1:] - 1] = False
+                own[inner] = ids
+                cut_at = np.unique(np.concatenate([begin, np.arange(length - filled, len(own), length)]))
+                at = cut_at[:-1]
+                d = np.searchsorted(begin, at, "right") - 1
+                pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((4 * cut_at).astype(np.int32)), pa.py_buffer(own)])
+                columns = [at - begin[d], np.diff(cut_at), pieces, np.diff(begin)[d], sequence + (filled + at) // length, (filled + at) % length]
+                sequence, filled = sequence + (filled + len(own)) // length, (filled + len(own)) % length
+                yield pa.record_batch([batch.column("id").take(pa.array(d)), *[pa.array(c) for c in columns], batch.column("key").take(pa.array(d))],
+                                      names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "curve_key"])
 
     return (keyed.repartitionById(parts, "part").drop("part").sortWithinPartitions("key", "id", "text")
             .mapInArrow(cut, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, "

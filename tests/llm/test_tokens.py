@@ -30,7 +30,6 @@ def model():
 @pytest.fixture(scope="module")
 def bpe():
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     return t
 
 
@@ -139,7 +138,6 @@ def test_registered_query_derives_the_digest(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = QUERIES["op6_packing"](spark, sf).collect()
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     ids = {i: np.array(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4") for i, x in texts.items()}
     assert all(p.ids_crc32 == zlib.crc32(ids[p.doc_id][p.start:p.start + p.length].tobytes()) for p in got)
     assert sum(p.length for p in got) == sum(map(len, ids.values()))
@@ -151,3 +149,35 @@ def test_hilbert_curve_visits_each_point_by_unit_steps():
     assert sorted(keys.tolist()) == list(range(512))
     path = grid[np.argsort(keys)]
     assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_ids_are_those_of_the_plain_call(bpe):
+    """Special tokens' strings, odd white space and words beyond the memory; batches of any size."""
+    from tabprobe.llm import tokenizing
+    texts = TEXTS + ["a <|endoftext|>b", "<|endoftext|>", "x<|endoftext|> <|endoftext|> y", "end\n", "\tw end\n next", " ", "é ü ß", "a\u00a0b c"]
+    texts += [prose(i, 30) + f" w{i}x" for i in range(200)]
+    want = [bpe.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[texts.index("<|endoftext|>")] == [50256]
+    import pyarrow as pa
+    for most in (5, 300_000):
+        enc = tokenizing.WordEncoder(BPE)
+        tokenizing.KEPT_WORDS, kept = most, tokenizing.KEPT_WORDS
+        try:
+            for step in (7, 300, 1):
+                got = []
+                for i in range(0, len(texts), step):
+                    ids, cut = enc.encode(pa.array(texts[i:i + step], pa.large_string()))
+                    got += [ids[a:b].tolist() for a, b in zip(cut, cut[1:])]
+                assert got == want
+        finally:
+            tokenizing.KEPT_WORDS = kept
+
+
+def test_an_id_with_most_rows_adds_one_to_the_sample(spark, docs_of, monkeypatch):
+    import public_tokenizers as pt
+    seen = []
+    real = packing._cuts
+    monkeypatch.setattr(packing, "_cuts", lambda sampled, parts: seen.append(sampled.num_rows) or real(sampled, parts))
+    rows = [(1, prose(i, 20)) for i in range(60)] + [(i, prose(i, 5)) for i in range(2, 8)]
+    assert packing.pack(docs_of(rows), pt.path("byte_bpe_50k.json")).agg({"doc_tokens": "count"}).first()[0] >= len(rows)
+    assert seen == [7]
