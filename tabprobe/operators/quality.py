@@ -6,15 +6,16 @@ their inputs are scanned in a bounded number of distributed passes.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabprobe.operators._util import BROADCAST_ROWS, persist
 from tabprobe.sources.io import col
 
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
-# Hash flags for the duplicate check: a table of at most this many rows, whatever the input.
-DUP_FLAGS = 1 << 20
 
 
 def hashable_columns(df: DataFrame) -> list[str]:
@@ -47,14 +48,14 @@ def _value(f: T.StructField):
     return c
 
 
-def data_quality_report(df: DataFrame, approx: bool = False) -> DataFrame:
+def data_quality_report(df: DataFrame, approx: bool = False, order_by: Sequence[str] = ()) -> DataFrame:
     """One row per column: column, dtype, non_null, nulls, null_pct, cardinality, sample.
 
     * NaN counts as missing;
     * cardinality = distinct non-null values (NULL for nested columns, which
       cannot be counted; ``approx=True`` uses HyperLogLog sketches);
-    * sample = the smallest non-null value as text (deterministic stand-in for
-      "first row"), '' when the column is empty or nested.
+    * sample = the first non-null value in the order ``order_by`` (columns that order the
+      rows), else the smallest one, as text; '' when the column is empty or nested.
 
     Samples come from one aggregate, counts and distinct counts from one unpivoted
     two-stage aggregation (map-side de-duplication of (column, value hash)).
@@ -62,10 +63,16 @@ def data_quality_report(df: DataFrame, approx: bool = False) -> DataFrame:
     fields = df.schema.fields
     countable = [f for f in fields if not isinstance(f.dataType, _NESTED)]
     aggs = [F.count(F.lit(1)).alias("_rows")]
+
+    def sample(f: T.StructField):
+        if not order_by:
+            return F.min(_value(f))
+        return F.min_by(_value(f), F.when(_value(f).isNotNull(), F.struct(*[col(c) for c in order_by])))
+
     for i, f in enumerate(fields):
         nested = isinstance(f.dataType, _NESTED)
         aggs.append((F.count(col(f.name)) if nested else F.lit(None).cast("long")).alias(f"_nn{i}"))
-        aggs.append((F.lit("") if nested else F.min(_value(f)).cast("string")).alias(f"_s{i}"))
+        aggs.append((F.lit("") if nested else sample(f).cast("string")).alias(f"_s{i}"))
     one = df.agg(*aggs)
     rows = F.array(*[
         F.struct(F.lit(i).alias("_i"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"),
@@ -94,11 +101,11 @@ def missing_values(report: DataFrame) -> DataFrame:
 def duplicate_summary(df: DataFrame) -> DataFrame:
     """total_rows, duplicate_rows (rows minus distinct rows), duplicate_pct.
 
-    Nested columns are ignored.  Exact, in two stages: 64-bit row hashes are
-    counted first (8-byte shuffle keys, combined map side); rows in a hash flag
-    that holds a repeated hash are then grouped on their full values, which
-    separates real duplicates from hash collisions.  The flags are a table of at
-    most ``DUP_FLAGS`` rows, so that they can be broadcast.
+    Nested columns are ignored.  64-bit row hashes are counted first (8-byte
+    shuffle keys, combined map side).  If few enough repeat to be broadcast, only
+    rows with a repeated hash are grouped on their full values, which separates real
+    duplicates from hash collisions.  Otherwise rows are counted by 128 bits of hashes,
+    so that not even then whole rows are moved.
     """
     spark = df.sparkSession
     cols = hashable_columns(df)
@@ -106,11 +113,13 @@ def duplicate_summary(df: DataFrame) -> DataFrame:
     if not cols:
         return spark.createDataFrame([(df.count(), 0, 0.0)], schema)
     h = F.xxhash64(*[col(c) for c in cols])
-    flag = F.pmod(h, F.lit(DUP_FLAGS))
-    flags = (df.select(h.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
-             .select(F.pmod("_h", F.lit(DUP_FLAGS)).alias("_f")).distinct())
-    rows = df.select(*[col(c) for c in cols], flag.alias("_f"))
-    groups = rows.join(F.broadcast(flags), "_f", "left_semi").groupBy(*[col(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
+    repeated = persist(df.select(h.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_h"))
+    if repeated.count() <= BROADCAST_ROWS:
+        rows = df.select(*[col(c) for c in cols], h.alias("_h"))
+        groups = rows.join(F.broadcast(repeated), "_h", "left_semi").groupBy(*[col(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        second = F.xxhash64(F.lit("second"), *[col(c) for c in cols])
+        groups = df.select(h.alias("_h"), second.alias("_g")).groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n"))
     dups = groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("d")).select("d").scalar()
     total = df.select(F.count(F.lit(1)).alias("t")).scalar()
     return spark.range(1).select(total.alias("total_rows"), dups.alias("duplicate_rows"),

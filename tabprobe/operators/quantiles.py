@@ -159,7 +159,7 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str,
                  F.lit(0).cast("long").alias("_below"),
                  # only "refine" targets carry an exact in-bracket count to shrink
                  F.when(small | ~sketch_ok, F.col("_n")).otherwise(F.lit(0)).cast("long").alias("_inside"))
-    t = _persist(t.filter(F.col("_n") > 0))
+    t = t.filter(F.col("_n") > 0)  # a projection of the stored statistics
     n_targets, n_refine = t.agg(F.count(F.lit(1)), F.count_if(F.col("_mode") == "refine")).first()
     if n_refine:
         t = _refine(base, t, keys, max_bracket, bins, max_rounds)
@@ -174,7 +174,7 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str,
                        .withColumn("_stuck", F.lit(False)))
         bad = _refine(base, bad, keys, max_bracket, bins, max_rounds)
         redo = _select(base, bad, keys, n_bad)
-        res = res.filter(F.col("_ok")).unionByName(redo)
+        res = _persist(res.filter(F.col("_ok")).unionByName(redo))
 
     # groups whose values are all NULL keep a row with n = 0 and q NULL
     allp = stats.select(*keys, "_n", F.explode(plist).alias("p"))
@@ -183,7 +183,7 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str,
     low, high = (F.when(F.col(c) >= _LARGEST, F.lit(float("inf"))).when(F.col(c) <= -_LARGEST, F.lit(float("-inf")))
                  .otherwise(F.col(c)) for c in ("_xlo", "_xhi"))
     qv = F.when((F.col("_frac") == 0) | (low == high), low).otherwise(low + F.col("_frac") * (high - low))
-    return _persist(out.select(*keys, "p", F.col("_n").alias("n"), qv.alias("q")))
+    return out.select(*keys, "p", F.col("_n").alias("n"), qv.alias("q"))  # of stored tables
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],

@@ -229,3 +229,20 @@ def test_properties_duplicates_plus_distinct_is_rows(spark):
     sub = df.select("a", "g")
     r = qa.duplicate_summary(sub).first()
     assert r.total_rows - r.duplicate_rows == sub.distinct().count()
+
+
+def test_sample_is_the_first_value_in_a_stated_order(spark):
+    rows = [(3, "z", None, 1.0), (1, None, "late", float("nan")), (2, "m", "b", 2.5), (4, "a", "a", 0.5)]
+    df = spark.createDataFrame(rows, "at int, x string, y string, v double").withColumn("none", F.lit(None).cast("int"))
+    first = {r.column: r["sample"] for r in qa.data_quality_report(df, order_by=["at"]).collect()}
+    assert first == {"at": "1", "x": "m", "y": "late", "v": "2.5", "none": ""}
+    assert {r.column: r["sample"] for r in qa.data_quality_report(df).collect()}["x"] == "a"
+
+
+def test_duplicates_with_more_repeated_hashes_than_are_broadcast(spark, monkeypatch):
+    df = spark.range(6000).select((F.col("id") % 1500).alias("a"), F.when(F.col("id") % 3 == 0, "hot").otherwise("cold").alias("b"), F.lit(None).cast("string").alias("c"))
+    want = 6000 - df.distinct().count()
+    for limit in (0, 10 ** 6):
+        monkeypatch.setattr(qa, "BROADCAST_ROWS", limit)
+        r = qa.duplicate_summary(df).first()
+        assert (r.total_rows, r.duplicate_rows) == (6000, want)
