@@ -42,13 +42,17 @@ SEED = 20240613
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> tuple[int, int]:
     """(bands, rows): the most rows a band, so the fewest false candidates, for which at most ``most_hashes``
-    hashes find a pair at the threshold with probability ``recall``."""
-    best = (1, 1)
+    hashes find a pair at the threshold with probability ``recall``. An error where no choice does."""
+    if not 0 < threshold <= 1 or not 0 < recall < 1:
+        raise ValueError(f"threshold {threshold} or recall {recall} is not a share")
+    best = None
     for rows in range(1, most_hashes + 1):
         hit = threshold ** rows
-        bands = 1 if hit >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - hit))
+        bands = 1 if hit >= 1 else math.ceil(math.log1p(-recall) / math.log1p(-hit))
         if bands * rows <= most_hashes:
             best = (bands, rows)
+    if best is None:
+        raise ValueError(f"{most_hashes} hashes do not find pairs of similarity {threshold} with probability {recall}")
     return best
 
 

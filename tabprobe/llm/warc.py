@@ -21,6 +21,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections import OrderedDict
@@ -33,9 +34,11 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tabprobe.llm._common import shared_path, stored
 
+TASK_BYTES = 64 << 20  # of records read back by a task
 LEAST_BYTES = 100
 BLOCK_LINES = 3000
 FILE_BYTES = 1 << 30
@@ -96,7 +99,7 @@ def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _file_system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))  # Spark's names of the store
 
 
 def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -193,7 +196,8 @@ def write_index(captures: DataFrame, path: str) -> list[Part]:
 class Reader:
     """Looks captures up and reads their records; keeps one directory, one block and a few files open."""
 
-    def __init__(self, path: str, index_path: str, parts: list[Part]):
+    def __init__(self, path: str, index_path: str, parts: list[Part], whole_ids: bool = True):
+        self.whole_ids = whole_ids  # ids are whole numbers, not texts
         self.parts, self.starts = parts, [p.first for p in parts]
         self.archive, self.index = _file_system(path), _file_system(index_path)
         self.files: OrderedDict = OrderedDict()
@@ -247,7 +251,7 @@ class Reader:
         fields, payload = parse_record(self._range(self.archive, *place))
         if fields["warc-type"] == "revisit":
             refers_to = fields["warc-refers-to"].removeprefix("<urn:x-page:").removesuffix(">")
-            own = int(refers_to) if refers_to.lstrip("-").isdigit() else refers_to
+            own = int(refers_to) if self.whole_ids else refers_to
             target = self.find(url_key(fields["warc-refers-to-target-uri"]), own)
             _, _, size, digest = self.summary(target[0])
             found = ("revisit", refers_to, size, digest)
@@ -262,7 +266,7 @@ class Reader:
 
 
 def read_captures(wanted: DataFrame, path: str, index_path: str, parts: list[Part], *, id_col: str = "page_id",
-                  url_col: str = "url") -> DataFrame:
+                  url_col: str = "url", record_bytes: int = 0) -> DataFrame:
     """One row per capture of the (``id_col``, ``url_col``) pairs of ``wanted``: ``id_col``, ``payload_bytes``,
     ``payload_digest`` (both of the whole payload read back), ``record_type``, ``refers_to``."""
     @F.arrow_udf("string")
@@ -271,9 +275,12 @@ def read_captures(wanted: DataFrame, path: str, index_path: str, parts: list[Par
 
     pairs = wanted.select(F.col(f"`{id_col}`").alias("id"), keys(F.col(f"`{url_col}`")).alias("key")).distinct()
     id_type = wanted.schema[id_col].dataType.simpleString()
+    whole_ids = isinstance(wanted.schema[id_col].dataType, IntegralType)
+    # keys are small, records are not: adaptive execution must not put them all into one task
+    tasks = max(int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-record_bytes // TASK_BYTES))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(path, index_path, parts)
+        reader = Reader(path, index_path, parts, whole_ids)
         for batch in batches:
             rows = [(own_id, size, digest, kind, refers) for own_id, k in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist())
                     for kind, refers, size, digest in map(reader.summary, reader.find(k, own_id))]
@@ -281,7 +288,7 @@ def read_captures(wanted: DataFrame, path: str, index_path: str, parts: list[Par
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (batch.column("id").type, pa.int64(), pa.string(), pa.string(), pa.string()))],
                                   names=["id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return (pairs.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    return (pairs.repartitionByRange(tasks, "key", "id").sortWithinPartitions("key", "id")
             .mapInArrow(read, f"id {id_type}, payload_bytes long, payload_digest string, record_type string, refers_to string")
             .select(F.col("id").alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type).alias("refers_to")))
 
@@ -290,4 +297,5 @@ def archive_and_read(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     """Write the archive and its index into the shared folder and read every page back through the index."""
     path, index_path = (shared_path(pages.sparkSession, x) for x in ("warc", "cdx"))
     captures = write_archive(pages, path, id_col=id_col, url_col=url_col, payload_col=payload_col)
-    return read_captures(pages, path, index_path, write_index(captures, index_path), id_col=id_col, url_col=url_col)
+    total = captures.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return read_captures(pages, path, index_path, write_index(captures, index_path), id_col=id_col, url_col=url_col, record_bytes=total)

@@ -1,4 +1,5 @@
 import hashlib
+import types
 
 from tabprobe.llm import warc as W
 from tabprobe.llm._common import shared_path
@@ -51,3 +52,23 @@ def test_keys():
     assert W.url_key("HTTPS://User@WWW.Example.org:443/A?b=c#d") == "org,example,www)/A?b=c"
     assert W.url_key("http://example.org:8080") == "org,example:8080)/"
     assert W.url_key(None) == "" and W.clean_url("a b\r\n") == "a%20b%0D%0A"
+
+
+def test_text_ids_and_tasks(spark):
+    """Ids that are texts of digits; records are read back by several tasks."""
+    rows = [(str(i), f"https://a.example/{i}", page(i % 3)) for i in range(30)] + [("007", "https://a.example/b", page(0)), ("-1", None, page("x"))]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    out = W.archive_and_read(df)
+    got = {r.page_id: r for r in out.collect()}
+    for i, _, html in rows:
+        first = min(j for j, _, h in rows if h == html)
+        assert got[i].refers_to == (None if first == i else first) and got[i].payload_bytes == len(html.encode())
+    assert out.rdd.getNumPartitions() > 1
+
+
+def test_file_system_of_spark_paths(monkeypatch):
+    asked = []
+    monkeypatch.setattr(W, "fs", types.SimpleNamespace(FileSystem=types.SimpleNamespace(from_uri=asked.append)))
+    for p in ("s3a://bucket/x", "s3n://bucket/x", "s3://bucket/x", "hdfs://host/x", "/tmp/x"):
+        W._file_system(p)
+    assert asked == ["s3://bucket/x"] * 3 + ["hdfs://host/x", "/tmp/x"]
