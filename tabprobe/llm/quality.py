@@ -246,7 +246,8 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
                     "value": pa.ListArray.from_arrays(cut, pa.array(total, pa.float32()))})
 
     ids = texts.select("id").dropna().distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = (texts.join(F.broadcast(ids), "id", "left_semi")  # at most `sample` documents
+    # at most `sample` rows: of rows that repeat an id, the smallest text
+    rows = (texts.join(F.broadcast(ids), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
             .select("text").mapInArrow(featured, "pattern long, feature array<int>, value array<float>").toArrow())
     lists = rows.column("feature").combine_chunks()
     doc = np.repeat(np.arange(rows.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False)) if rows.num_rows else np.empty(0, np.int64)

@@ -16,7 +16,8 @@ The model has a fixed size (examples and terms are bounded) and travels as one b
 Defined cases: texts without any term of the vocabulary, so also null and empty ones, get the
 share of label 1 among the examples without terms; labels that are null or belong to no document
 teach nothing, and of several labels of one id the largest counts; without any labels every score
-is 0; equal cosines rank by example id; repeated rows each get their score; other columns are not read.
+is 0; equal cosines rank by example id; repeated rows each get their score, and teach once (of different texts of
+one id the smallest); ids are whole numbers or texts; other columns are not read.
 """
 
 from __future__ import annotations
@@ -151,7 +152,7 @@ class Model:
             if len(i):
                 out[d] = 1 / (1 + np.exp(-(self.slope * self.vote(i, s) + self.shift)))
             if evidence:
-                near[d] = [{"example_id": int(self.ids[k]), "cosine": float(c), "label": int(self.labels[k])} for k, c in zip(i, s)]
+                near[d] = [{"example_id": self.ids[k].item(), "cosine": float(c), "label": int(self.labels[k])} for k, c in zip(i, s)]
         return (out, near) if evidence else out
 
 
@@ -177,7 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     chosen = (labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("long").alias("label"))
               .dropna().groupBy("id").agg(F.max("label").alias("label"))
               .orderBy(F.xxhash64("id"), "id").limit(examples))
-    sample = stored(all_texts.join(F.broadcast(chosen), "id"), "examples")  # at most `examples` documents
+    # at most `examples` rows: of rows that repeat an id, the smallest text
+    sample = stored(all_texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")), "examples")
 
     counted = (sample.select("text", "label").mapInArrow(_count_terms, "term string, n long, ones long")
                .groupBy("term").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")))
@@ -251,16 +253,18 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema[id_col].dataType.simpleString()
+    text_ids = model.ids.dtype.kind == "U"
+    example, example_type = (pa.string(), "string") if text_ids else (pa.int64(), "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("example_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+        kind = pa.list_(pa.struct([("example_id", example), ("cosine", pa.float64()), ("label", pa.int32())]))
         for whole in batches:
             for batch in chunks_by_bytes(whole, "text"):
                 s, near = shared.value.score(text_array(batch.column("text")), evidence=True)
                 yield pa.record_batch({"id": batch.column("id"), "score": pa.array(s), "evidence": pa.array(near, kind)})
 
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, score double, evidence array<struct<example_id:long,cosine:double,label:int>>"
+    return rows.mapInArrow(run, f"id {id_type}, score double, evidence array<struct<example_id:{example_type},cosine:double,label:int>>"
                            ).withColumnRenamed("id", id_col)
 
 

@@ -40,6 +40,19 @@ def test_toxicity_learns_and_gives_evidence(spark, docs_of):
     assert cosines == sorted(cosines, reverse=True)
 
 
+def test_text_ids_and_an_id_with_most_rows(spark):
+    docs, labels = labelled(90)
+    rows = [(f"d{i:03}", t) for i, t in docs] + [("d003", f"{prose(k, 9)} more") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    model = X.fit(df, spark.createDataFrame([(f"d{i:03}", t) for i, t in labels], "doc_id string, toxic int"))
+    assert len(set(model.ids.tolist())) == len(model.ids) <= 90
+    got = X.score(df, model).collect()
+    assert len(got) == 150 and {e.example_id for r in got for e in r.evidence} <= {i for i, _ in rows}
+    assert any(r.evidence for r in got)
+    scorer = Q.fit(df, sample=50)
+    assert Q.score(df, scorer).count() == 150
+
+
 def test_block_max_search_is_exact():
     r = np.random.default_rng(5)
     terms, n = 40, 500
