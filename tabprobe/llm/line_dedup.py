@@ -15,8 +15,8 @@ has its set or a linked one.
 Words are 64-bit hashes and sets 128-bit sums of them; nothing is dropped, capped or sampled.
 
 Defined cases: null texts and blank lines have no words, link to nothing and stay; rows with a null id take no part
-and their lines stay; ids are taken to be unique, so that rows which repeat an id are one document; an empty table
-gives an empty result; other columns are not read.
+and their lines stay; rows that repeat an id each have their lines, and lines of one id and number do not
+remove each other; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ BUCKETS = 1 << 20
 FLAGS = 1 << 20
 GROUP_ROWS = 4096
 BLOCK_SETS = 256
+CHUNK_BYTES = 4_000_000  # of texts at a time: copies within a chunk are posted once
 BLOCK_WORDS = 400_000
 COMPARED_ROWS = 200_000
 
@@ -88,7 +89,7 @@ def _split(docs: DataFrame) -> DataFrame:
         counted = np.zeros(BUCKETS, np.int32)
         id_type = None
         for whole in batches:
-            for batch in chunks_by_bytes(whole, "text"):
+            for batch in chunks_by_bytes(whole, "text", CHUNK_BYTES):
                 id_type = batch.column("id").type
                 lines = Lines(text_array(batch.column("text")))
                 counted += np.bincount((lines.words % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype(np.int32)
@@ -110,7 +111,7 @@ def _postings(docs: DataFrame, counters, threshold: float) -> DataFrame:
     """A row for each prefix word of each set (once a batch at least), and block pair of a frequent word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks_by_bytes(whole, "text"):
+            for batch in chunks_by_bytes(whole, "text", CHUNK_BYTES):
                 lines = Lines(text_array(batch.column("text")), counters.value)
                 f1, f2 = lines.fingerprints()
                 b0, b1 = lines.parities()
@@ -228,7 +229,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     with a similarity of ``threshold`` or more, copies included), ``class_id`` and ``class_line`` (first line of the
     connected lines), ``match_id`` and ``match_line`` (first similar earlier line, else null) and ``kept``."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 2000)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     split = stored(_split(texts), "lines")
     counters = np.zeros(BUCKETS, np.int32)
@@ -253,33 +254,39 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     # the members' words, from their documents only: a fixed number of flags keeps most others from being shuffled
     flag = F.pmod(F.xxhash64("id"), F.lit(FLAGS))
-    wanted = members.groupBy(F.col("first.id").alias("id")).agg(F.sort_array(F.collect_list("first.line")).alias("wanted"))
+    wanted = members.groupBy(F.col("first.id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("first.line", "f1", "f2"))).alias("wanted"))
     wanted = stored(wanted, "wanted")
     near = some.withColumn("flag", flag).join(F.broadcast(wanted.select(flag.alias("flag")).distinct()), "flag", "left_semi")
-    near = near.select("id", "text").dropDuplicates(["id"]).join(wanted, "id")
+    # an id may stand on several texts: each is looked through for the sets it has at their lines
+    near = near.select("id", "text", F.xxhash64("text").alias("hash")).dropDuplicates(["id", "hash"]).join(wanted, "id")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks_by_bytes(whole, "text"):
+            for batch in chunks_by_bytes(whole, "text", CHUNK_BYTES):
                 found = Lines(text_array(batch.column("text")))
                 starts = np.searchsorted(found.text, np.arange(batch.num_rows))
                 asked = batch.column("wanted")
                 doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(asked).to_numpy())
-                number = np.asarray(asked.flatten())
+                number, w1, w2 = (np.asarray(asked.flatten().field(k)) for k in range(3))
                 row = starts[doc] + number
+                there = row < np.append(starts, len(found.text))[doc + 1]
+                f1, f2 = found.fingerprints()
+                there[there] = (f1[row[there]] == w1[there]) & (f2[row[there]] == w2[there])
+                doc, number, row, w1, w2 = doc[there], number[there], row[there], w1[there], w2[there]
                 size = found.size[row]
                 cut = np.concatenate([[0], np.cumsum(size)])
                 values = found.words[np.repeat(found.start[row] - cut[:-1], size) + np.arange(cut[-1])]
-                yield pa.record_batch([batch.column("id").take(pa.array(doc)), pa.array(number, pa.int32()),
-                                       pa.ListArray.from_arrays(cut.astype(np.int32), pa.array(np.asarray(values).view(np.int64)))], names=["id", "line", "items"])
+                yield pa.record_batch([batch.column("id").take(pa.array(doc)), pa.array(number, pa.int32()), pa.array(w1), pa.array(w2),
+                                       pa.ListArray.from_arrays(cut.astype(np.int32), pa.array(np.asarray(values).view(np.int64)))], names=["id", "line", "f1", "f2", "items"])
 
-    items = near.select("id", "text", "wanted").mapInArrow(words, f"id {kind}, line int, items array<long>")
-    ready = (placed.select(F.col("first.id").alias("id"), F.col("first.line").alias("line"), "copies", "root", "blocks", "block")
-             .join(items, ["id", "line"]))
+    items = near.select("id", "text", "wanted").mapInArrow(words, f"id {kind}, line int, f1 long, f2 long, items array<long>")
+    key = ["id", "line", "f1", "f2"]  # a set: its first line, and its fingerprint, as rows that repeat an id may share a line number
+    ready = (placed.select(F.col("first.id").alias("id"), F.col("first.line").alias("line"), "f1", "f2", "copies", "root", "blocks", "block")
+             .join(items.dropDuplicates(key), key))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = ready.select("id", "line", "copies", "root", "block", "items", other.alias("other")).select(
-        "id", "line", "copies", "root", "block", "items", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    pairs = ready.select(*key, "copies", "root", "block", "items", other.alias("other")).select(
+        *key, "copies", "root", "block", "items", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edges in groups(batches, ["root", "i", "j"]):
@@ -296,18 +303,19 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 counts += [links[rows], np.zeros(len(a), np.int64)]
             at, to = pa.array(np.concatenate(at)), pa.array(np.concatenate(to))
             if len(at):
-                yield pa.record_batch([table.column(c).combine_chunks().take(t) for t in (at, to) for c in ("id", "line")] + [pa.array(np.concatenate(counts))],
-                                      names=["id", "line", "to_id", "to_line", "links"])
-
-    found = stored(pairs.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "id", "line")
-                   .mapInArrow(compare, f"id {kind}, line int, to_id {kind}, to_line int, links long"), "links")
-    edges = found.filter("links = 0").select(F.struct("id", "line").alias("a"), F.struct(F.col("to_id").alias("id"), F.col("to_line").alias("line")).alias("b"))
-    classes = connected_components(edges).withColumnRenamed("node", "first")
-    linked = found.filter("links > 0").groupBy(F.struct("id", "line").alias("first")).agg(
+                yield pa.record_batch([table.column(c).combine_chunks().take(t) for t in (at, to) for c in key] + [pa.array(np.concatenate(counts))],
+                                      names=[*key, *[f"to_{c}" for c in key], "links"])
+
+    found = stored(pairs.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", *key)
+                   .mapInArrow(compare, f"id {kind}, line int, f1 long, f2 long, to_id {kind}, to_line int, to_f1 long, to_f2 long, links long"), "links")
+    edges = found.filter("links = 0").select(F.struct(*key).alias("a"), F.struct(*[F.col(f"to_{c}").alias(c) for c in key]).alias("b"))
+    classes = connected_components(edges).select(F.col("node").alias("set"), F.struct("root.id", "root.line").alias("root"))
+    linked = found.filter("links > 0").groupBy(F.struct(*key).alias("set")).agg(
         F.sum("links").alias("links"), F.min(F.struct(F.col("to_id").alias("id"), F.col("to_line").alias("line"))).alias("least"))
 
     # of the distinct sets only those with copies or links say something about their lines
-    known = (sets.join(linked, "first", "left").join(classes, "first", "left").filter("copies > 1 or links > 0")
+    known = (sets.withColumn("set", F.struct("first.id", "first.line", "f1", "f2"))
+             .join(linked, "set", "left").join(classes, "set", "left").filter("copies > 1 or links > 0")
              .select(F.col("f1").alias("e1"), F.col("f2").alias("e2"), "first", "least", F.coalesce("root", "first").alias("class"),
                      (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
     known = stored(known, "known")

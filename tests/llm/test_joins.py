@@ -107,6 +107,30 @@ def test_line_dedup_matches_brute_force(docs_of, monkeypatch, group_rows):
     assert cleaned[50] is None and cleaned[None] == "short line\nshort line"
 
 
+def test_lines_of_rows_that_repeat_an_id(docs_of):
+    """One id on a short text, a long one, and one whose first lines are others; near and equal lines between them."""
+    near = variants(33, 30, 4)
+    long = [prose(100 + k, 12) for k in range(31)]
+    rows = [(1, "short"), (1, "\n".join(long)), (1, "\n".join([near[0], long[0], near[1]])), (2, "\n".join([near[2], long[30], "short"])), (3, near[3])]
+    lines = [(i, n, frozenset(x.lower().split())) for i, t in rows for n, x in enumerate(t.split("\n"))]
+    want = []
+    for i, n, w in lines:
+        alike = [(a, b) for a, b, v in lines if len(w & v) >= 0.8 * len(w | v)]
+        first = min(alike)
+        want.append((i, n, len(alike) - 1, first if first < (i, n) else (None, None)))
+    got = [(r.doc_id, r.line_no, r.n_links, (r.match_id, r.match_line)) for r in LD.line_dedup(docs_of(rows)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_thresholds_of_the_ngram_join(docs_of):
+    for t in (0.3, 0.5, 0.7, 0.74, 0.95, 1.0):
+        bands, rows = NJ.bands_for(t)
+        assert 1 - (1 - t ** rows) ** bands >= NJ.RECALL and bands * rows <= NJ.MOST_HASHES
+    for wrong in (0.01, 0, -1, 1.1):
+        with pytest.raises(ValueError):
+            NJ.bands_for(wrong)
+
+
 def test_edge_rows_and_empty_tables(docs_of):
     rows = list(dict.fromkeys(EDGE_ROWS))
     assert LD.line_dedup(docs_of(rows)).count() == sum(len((t or "").split("\n")) for _, t in rows)
