@@ -63,7 +63,7 @@ def test_queries_are_registered_and_sql_matches(spark):
     import duckdb
     import __spark_entry__ as E
     names = [q for q in E.queries() if q.startswith("op") and "_" in q and q[2].isdigit()]
-    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 11)) and "pipeline" in E.queries()
+    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 14)) and "pipeline" in E.queries()
     con = duckdb.connect()
     for t in ("documents", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
