@@ -219,6 +219,16 @@ def test_long_correlation_of_many_entities(spark):
     assert all(abs(r["corr"] - want[r.var1, r.var2][1]) < 1e-9 for r in got.filter("var1 < 5 and var2 < 5").collect())
 
 
+def test_long_correlation_shuffles_no_pairs(spark):
+    """With one span of times, the pairs leave their task finished; one without a value keeps its pairs."""
+    rows = [(e, t, float((e * 7 + t * t) % 11 + 1)) for e in range(40) for t in range(6)] + [(99, 3, 1.0)]
+    got = cm.return_correlation(spark.createDataFrame(rows, "e long, t int, v double"), "e", "t", "v", complete=False, digits=3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan[:plan.index("FlatMapGroupsInArrow")]
+    found = {(r.var1, r.var2): (r.n, r["corr"]) for r in got.collect()}
+    assert len(found) == 41 * 41 and found[99, 5] == found[5, 99] == (0, None) and found[3, 3] == (5, 1.0)
+
+
 def test_long_correlation_of_nothing(spark):
     df = spark.createDataFrame([], "e string, t int, v double")
     assert cm.return_correlation(df, "e", "t", "v").count() == 0
