@@ -138,3 +138,27 @@ def test_kendall_of_lineitem_in_small_base_cases(spark):
     assert got.keys() == exp.keys() and all(abs(got[k] - exp[k]) < 1e-9 for k in exp)
     registered = {(r.var1, r.var2): r["corr"] for r in QUERIES["corr_kendall_lineitem"](spark, SF_SMALL).collect()}
     assert all(abs(registered[_CORR_COLS[i], _CORR_COLS[j]] - v) < 2e-9 for (i, j), v in exp.items())
+
+
+def test_kendall_sweep_of_many_points_counts_discordant_pairs():
+    """A task's points are counted bit by bit of the ranks: weights, ties in either column, against all pairs."""
+    import numpy as np
+    from tabprobe.operators import kendall as kd
+    r = np.random.default_rng(5)
+    for levels in (2, 9, 70):
+        x, y = np.unique(np.stack([r.integers(0, 90, 400), r.integers(0, levels, 400)]), axis=1).astype(float)
+        w = r.integers(1, 6, len(x)).astype(float)
+        mixed = r.permutation(len(x))
+        x, y = x[mixed], y[mixed]
+        want = 0.5 * (w[:, None] * w * np.sign(x[:, None] - x) * np.sign(y[:, None] - y)).sum()
+        assert kd._s_points(x, y, w) == kd._s_points(y, x, w) == want
+    assert kd._s_points(np.array([2.0]), np.array([1.0]), np.array([3.0])) == 0
+
+
+def test_kendall_needs_few_sub_problems(spark, monkeypatch):
+    """60,000 points, three times the points a task took before, are one problem: no division into buckets."""
+    from tabprobe.operators import kendall as kd
+    monkeypatch.setattr(kd, "_split", lambda *a: (_ for _ in ()).throw(AssertionError("divided")), raising=False)
+    points = spark.range(60_000).select(F.lit("0-1").alias("pid"), F.col("id").cast("double").alias("x"), (-F.col("id")).cast("double").alias("y"),
+                                        F.lit(1.0).alias("w"))
+    assert kd.kendall_s(points).first()["s"] == -60_000 * 59_999 / 2
