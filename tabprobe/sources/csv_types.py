@@ -12,6 +12,8 @@ report names both types.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,20 @@ DATE_FORMATS = [
 ]
 
 
+def date_shape(pattern: str) -> str:
+    """A regular expression that every text read by a date format fits: digits (with a sign) for numbers, anything for names and
+    offsets, the format's own marks between them. A text that fails to be read costs an exception, one that does not fit, nothing."""
+    parts = re.findall(r"'([^']*)'|([A-Za-z])(\2*)|([^A-Za-z'])", pattern)
+    shape = "".join(re.escape(quoted or mark) if quoted or mark else ".+" if letter in "XVzOZx" or (letter in "ML" and len(more) > 1)
+                    else r"[+-]?\d*" for quoted, letter, more, mark in parts)
+    return rf"^(?is)\s*{shape}\s*$"
+
+
+def read_date(v: Column, pattern: str) -> Column:
+    """The time a format reads in a text, else NULL."""
+    return F.when(v.rlike(date_shape(pattern)), F.try_to_timestamp(v, F.lit(pattern)))
+
+
 def value_class(v: Column, missing_tokens: list[str] | None = None) -> Column:
     """The class of a text value: a place in ``CLASSES``."""
     tokens = MISSING_TOKENS if missing_tokens is None else missing_tokens
@@ -55,13 +71,15 @@ def infer_types(records: DataFrame, names: list[str], parse_dates: list[str] | N
     kind = value_class(F.col("v"), missing_tokens)
     asked = F.array_contains(dated, F.col("position"))
     classed = cells.withColumn("kind", kind).withColumn("negative", F.col("v").rlike(r"^\s*-"))
-    fails = [F.count_if(asked & (F.col("kind") > 0) & F.try_to_timestamp("v", F.lit(f)).isNull()) == 0 for f in DATE_FORMATS] if parse_dates else []
-    some_read = F.coalesce(*[F.try_to_timestamp("v", F.lit(f)) for f in DATE_FORMATS]) if parse_dates else F.lit(None)
+    formats = DATE_FORMATS if parse_dates else []
+    reads = F.array(*[read_date(F.col("v"), f).isNotNull() for f in formats]).cast("array<boolean>")  # once a value
+    classed = classed.withColumn("reads", F.when(asked & (F.col("kind") > 0), reads))
+    fails = [F.count_if(~F.get("reads", F.lit(i))) == 0 for i in range(len(formats))]
     seen = classed.groupBy("position").agg(
         F.count(F.lit(1)).alias("n_rows"), *[F.count_if(F.col("kind") == i).alias(c) for i, c in enumerate(CLASSES)],
         F.count_if((F.col("kind") == 1) & F.col("negative")).alias("n_negative"),
-        (F.count_if(asked & (F.col("kind") > 0) & some_read.isNull()) == 0).alias("any_format"),
-        F.array_compact(F.array(*[F.when(ok, F.lit(f)) for ok, f in zip(fails, DATE_FORMATS)])).cast("array<string>").alias("formats"))
+        (F.count_if(~F.array_contains("reads", True)) == 0).alias("any_format"),
+        F.array_compact(F.array(*[F.when(ok, F.lit(f)) for ok, f in zip(fails, formats)])).cast("array<string>").alias("formats"))
     has = {c: F.col(c) > 0 for c in CLASSES}
     numeric = ~has["n_text"] & ~has["n_bool"]
     some = F.col("n_missing") < F.col("n_rows")
@@ -85,7 +103,7 @@ def typed(v: Column, spark_type: str, formats: list[str] | None = None, missing_
     tokens = MISSING_TOKENS if missing_tokens is None else missing_tokens
     v = F.when(~v.isin(tokens), v)
     if spark_type == "timestamp":
-        return F.coalesce(*[F.try_to_timestamp(v, F.lit(f)) for f in (formats or DATE_FORMATS)])
+        return F.coalesce(*[read_date(v, f) for f in (formats or DATE_FORMATS)])
     if spark_type == "string":
         return v
     return F.trim(v).try_cast(spark_type) if spark_type.startswith("decimal") else v.try_cast(spark_type)

@@ -137,3 +137,16 @@ def test_dates_that_do_not_all_parse_stay_text(spark, tmp_path):
     path = in_file(tmp_path, "d,e\n2024-01-02,2024-01-02\nsoon,NA\n")
     df = C.read_csv(spark, path, parse_dates=["d", "e"])
     assert df.dtypes == [("d", "string"), ("e", "timestamp")]
+
+
+def test_date_formats_are_tried_only_on_texts_of_their_shape(spark):
+    """A guarded format reads what the format reads, and most formats are not tried on a text (each failure is an exception)."""
+    from pyspark.sql import functions as F
+    texts = ["2020-01-02", "+2020-01-02", " 2020-01-02", "2020-01-02 03:04", "2020-01-02T03:04:05.12", "2020-01-02T03:04:05Z", "2020-01-02t03:04:05",
+             "1/2/2020", "001/2/2020", "1/2/2020 3:04", "1/2/2020 3:04:05", "01-jan-2020", "1 Jan 2020", "jan 01, 2020", "1.2.2020", "20200102", "x", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    both = [F.struct(F.try_to_timestamp("v", F.lit(f)).cast("string").alias("a"), C.read_date(F.col("v"), f).cast("string").alias("b"),
+                     F.col("v").rlike(C.date_shape(f)).alias("tried")) for f in C.DATE_FORMATS]
+    rows = df.select("v", F.array(*both).alias("reads")).collect()
+    assert all(x.a == x.b for r in rows for x in r.reads)
+    assert {r.v: sum(x.tried for x in r.reads) for r in rows}["1/2/2020 3:04"] == 1
