@@ -246,3 +246,20 @@ def test_duplicates_with_more_repeated_hashes_than_are_broadcast(spark, monkeypa
         monkeypatch.setattr(qa, "BROADCAST_ROWS", limit)
         r = qa.duplicate_summary(df).first()
         assert (r.total_rows, r.duplicate_rows) == (6000, want)
+
+
+def test_statistics_and_outliers_read_their_source_once(spark):
+    """What is behind the frame (a join, say) runs once for all passes of quartiles and moments."""
+    from tabprobe.operators.outliers import outlier_report_iqr
+    from tabprobe.operators.stats import box_summary, descriptive_stats
+    for table in (descriptive_stats, outlier_report_iqr, box_summary):
+        runs = spark.sparkContext.accumulator(0)
+
+        def counted(batches):
+            for batch in batches:
+                runs.add(batch.num_rows)
+                yield batch
+
+        df = spark.range(30_000).selectExpr("id", "cast(id % 977 as double) x", "cast(id as double) y").mapInArrow(counted, "id long, x double, y double")
+        got = table(df, ["x", "y"])
+        assert {r["column"] for r in got.collect()} == {"x", "y"} and runs.value == 30_000, (table.__name__, runs.value)
