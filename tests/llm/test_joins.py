@@ -4,7 +4,9 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tabprobe.llm import line_dedup as LD, ngram_join as NJ
 from tabprobe.llm.verify import components_of
@@ -122,6 +124,47 @@ def test_lines_of_rows_that_repeat_an_id(docs_of):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_lines_are_the_sets_of_their_words():
+    """Words cut at all white space, equal ones once, in one order for all lines; breaks and empty texts at any place."""
+    r = random.Random(11)
+    parts = ["a", "B", "b", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u00a0", "\u2003", "\u2028", "\u3000", "\u00e9", "\u00c2", "\u2019s", "\U0001f600", "eightlet", "longerword", "w" * 40]
+    texts = ["", "x", "", "a\n", "\nb", "\n", " ", "", "y" * 30_000 + " y", *("".join(r.choices(parts, k=r.randrange(80))) for _ in range(300)), ""]
+    split = [(i, n, frozenset(x.lower().split())) for i, t in enumerate(texts) for n, x in enumerate(t.split("\n"))]
+    ranks = np.random.default_rng(2).permutation(LD.BUCKETS).astype(np.int32)
+    for order in (None, ranks, np.zeros(LD.BUCKETS, np.int32)):
+        lines = LD.Lines(pa.array(["first", *texts], pa.large_string()).slice(1), order)
+        assert [*zip(lines.text.tolist(), lines.number.tolist())] == [x[:2] for x in split]
+        sets = [lines.words[a:b].tolist() for a, b in zip(lines.start, lines.start[1:])]
+        hashes = {}
+        for (_, _, words), found in zip(split, sets):
+            assert len(found) == len(set(found)) == len(words)
+            assert found == sorted(found, key=lambda h: ((order[h % LD.BUCKETS] if order is not None else 0), h))
+            assert hashes.setdefault(words, set(found)) == set(found)
+        assert len({frozenset(x) for x in hashes.values()}) == len(hashes)
+
+
+def test_counters_and_postings_are_packed(spark, docs_of, monkeypatch):
+    """Few rows whatever the words; a bucket compared some of its groups at a time gives the same components."""
+    r = random.Random(12)
+    near = [x for k in range(12) for x in variants(50 + k, 20, 4)]
+    rows = [(i, "\n".join([*r.sample(near, 8), " ".join(f"word{r.randrange(10**6)}" for _ in range(60))])) for i in range(60)]
+    docs = docs_of(rows).select(F.col("doc_id").alias("id"), "text").coalesce(2)
+    split = LD._split(docs).collect()
+    assert 0 < sum(x.line is None for x in split) <= 2 * LD.BUCKETS // LD.SLICE and sum(x.line is not None for x in split) == 60 * 9
+    assert sum(np.frombuffer(x.counts, np.int32).sum() for x in split if x.line is None) == sum(x.size for x in split if x.line is not None)
+    counters = np.full(LD.BUCKETS, 2, np.int32)
+    shared = spark.sparkContext.broadcast((counters, np.arange(LD.BUCKETS, dtype=np.int32)))
+    posted = sorted(LD._postings(docs, shared, 0.8, 3).collect())
+    assert len(posted) <= 2 * 3 and sum(len(x.rows) for x in posted) // 48 > 1000
+    components = []
+    for most in (LD.COMPARED_ROWS, 100):
+        monkeypatch.setattr(LD, "COMPARED_ROWS", most)
+        batches = [pa.record_batch({"bucket": pa.array([x.bucket], pa.int32()), "rows": pa.array([bytes(x.rows)], pa.binary())}) for x in posted]
+        edges = [(a, b) for batch in LD._candidates(0.8, 3)(iter(batches)) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
+        components.append(classes(sorted({x for e in edges for x in e}), sorted(edges)))
+    assert components[0] == components[1] and len(components[0]) > 12
+
+
 def test_thresholds_of_the_ngram_join(docs_of):
     for t in (0.3, 0.5, 0.7, 0.74, 0.95, 1.0):
         bands, rows = NJ.bands_for(t)
