@@ -5,6 +5,7 @@ import statistics
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 from tabprobe.operators import groups as gp
@@ -229,6 +230,30 @@ def test_long_correlation_shuffles_no_pairs(spark):
     assert len(found) == 41 * 41 and found[99, 5] == found[5, 99] == (0, None) and found[3, 3] == (5, 1.0)
 
 
+def test_long_correlation_copies_a_series_a_few_times(spark, monkeypatch):
+    """What is dealt out to tasks grows with the entities: 8 copies of each of 20,000 series, not one per 1,024 entities."""
+    dealt = []
+    apply = GroupedData.applyInArrow
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, *a: dealt.append(self._df) or apply(self, *a))
+    returns = spark.range(20_000).select(F.col("id").alias("e"), F.lit(1).alias("position"), F.col("id").cast("double").alias("ret"))
+    cm.long_correlation(returns, "e")
+    assert [df.count() for df in dealt] == [8 * 20_000]
+
+
+def test_long_correlation_in_tiles(spark):
+    """Blocks of several tiles, also on the diagonal; a pair is the same in both directions, rounded or not."""
+    r = np.random.default_rng(3)
+    rows = [(f"e{i}", t, float(10 + r.random())) for i in range(50) for t in range(12) if r.random() < 0.8] + [("one", 3, 1.0)]
+    pdf, df = pd.DataFrame(rows, columns=["e", "t", "v"]), spark.createDataFrame(rows, "e string, t int, v double")
+    _check_correlation(df, pdf, entities=7, tile=3)
+    _check_correlation(df, pdf, entities=7, tile=3, time_rows=5)
+    want = _expected_correlation(pdf, False)
+    got = {(r.var1, r.var2): (r.n, r["corr"]) for r in cm.long_correlation(cm.long_returns(df, "e", "t", "v"), "e", names=df, tile=2, digits=6).collect()}
+    assert set(got) == set(want) and all(got[a, b] == got[b, a] for a, b in got)
+    for k, (n, c) in want.items():
+        assert got[k][0] == n and (got[k][1] is None if c is None else got[k][1] == round(got[k][1], 6) and abs(got[k][1] - c) < 6e-7), k
+
+
 def test_long_correlation_of_nothing(spark):
     df = spark.createDataFrame([], "e string, t int, v double")
     assert cm.return_correlation(df, "e", "t", "v").count() == 0
